@@ -8,7 +8,7 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import LOWER, as_bytes, join_bounded, mix64, small_batches, stash, word_hashes, word_starts
 from .components import connected_components
@@ -162,8 +162,24 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity is exactly at least that."""
     x = pairs.join(sets.select(F.col("p").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("p").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return x.where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    return x.where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
+
+
+def _alike(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sets are similar; their sizes are compared first."""
+    fits = F.least(F.size(x), F.size(y)) >= similarity * F.greatest(F.size(x), F.size(y)) - 1e-9
+    both = F.size(F.array_intersect(x, y))
+    return fits & (both >= similarity * (F.size(x) + F.size(y) - both) - 1e-9)
+
+
+def _linked_within(members: DataFrame, similarity: float) -> DataFrame:
+    """members: (band, p, root, bands, shingles). The similar pairs (a, b) of a
+    bucket whose roots differ. The join's condition is the exact check, made in
+    the first bucket that a pair shares, so only links leave the join."""
+    x, y = members.alias("x"), members.alias("y")
+    first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.band")
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") < F.col("y.p")) & (F.col("x.root") != F.col("y.root"))
+    return x.join(y, on & first & _alike(F.col("x.shingles"), F.col("y.shingles"), similarity)).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -208,9 +224,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     c = crowded.join(roots, crowded["p"] == roots["node"], "left").select("band", "p", F.coalesce("root", "p").alias("root"))
     mixed = c.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
     c = stash(c.join(mixed, "band", "left_semi"), "substring-mixed")
-    cross = c.alias("x").join(c.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.p") < F.col("y.p")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.p").alias("a"), F.col("y.p").alias("b")).distinct()
-    cross = cross.join(star.select(F.col("a").alias("sa_"), F.col("b").alias("sb_")), (F.col("a") == F.col("sa_")) & (F.col("b") == F.col("sb_")), "left_anti")
-    near = connected_components(first.unionByName(_similar(cross, sets, similarity)), "substring-components")
+    c = c.join(classes.select("p", "bands"), "p").join(sets, "p")
+    cross = stash(_linked_within(c, similarity), "substring-cross")
+    near = connected_components(first.unionByName(cross), "substring-components")
 
     keep = classes.join(near, classes["p"] == near["node"], "left").where(F.col("again") | F.col("root").isNotNull()).select("p", F.coalesce("root", "p").alias("class"), "id", "word")
     keep = stash(keep, "substring-repeats")
