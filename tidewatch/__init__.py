@@ -1,0 +1 @@
+"""Launch forensics on append-only event and snapshot history, with Spark."""
