@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 LIMB, LIMBS = 18, 5
 WAD = 10**18
@@ -24,13 +25,13 @@ def limb_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return s.select(*keys, _joined(*[F.col(f"l{i}") for i in range(LIMBS)]).alias("total"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _joined(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
     return pd.Series([str(sum(int(x) * 10 ** (LIMB * (LIMBS - 1 - i)) for i, x in enumerate(row))) for row in zip(a, b, c, d, e)], dtype=object)
 
 
 def _exact(compute: Callable[..., int | None], *columns: Column) -> Column:
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(values: pd.DataFrame) -> pd.Series:
         rows = values.itertuples(index=False, name=None)
         return pd.Series([None if any(v is None or v != v for v in r) or (y := compute(*map(int, r))) is None else str(y) for r in rows], dtype=object)
