@@ -8,9 +8,10 @@ from .common import stash
 
 
 def connected_components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge that has another node; root is the
-    component's least node. `edges` has columns a and b of one type; loops and
-    repeats are allowed, an empty table gives an empty one.
+    """(node, root) for every node that an edge links to another one, but for the
+    roots themselves; root is the component's least node. `edges` has columns a
+    and b of one type; loops and repeats are allowed, an empty table gives an
+    empty one.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each is a
     grouped minimum, combined on the map side, and an equi-join whose hot keys

@@ -227,6 +227,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     c = c.join(classes.select("p", "bands"), "p").join(sets, "p")
     cross = stash(_linked_within(c, similarity), "substring-cross")
     near = connected_components(first.unionByName(cross), "substring-components")
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
 
     keep = classes.join(near, classes["p"] == near["node"], "left").where(F.col("again") | F.col("root").isNotNull()).select("p", F.coalesce("root", "p").alias("class"), "id", "word")
     keep = stash(keep, "substring-repeats")
