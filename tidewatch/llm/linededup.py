@@ -16,7 +16,7 @@ def line_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(id, th, k, w1, w2): a 128-bit hash of each window of three consecutive
     lines. Lines are trimmed of spaces; lines that are then empty don't count.
     th tells apart rows that share an id."""
-    d = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("th"), F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x != "").alias("lines"))
+    d = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("th"), F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
     d = d.where(F.size("lines") >= WINDOW)
     d = d.select("id", "th", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"))
     parts = lambda h, k: [h[k + i][p] for i in range(WINDOW) for p in "ab"]
@@ -25,9 +25,9 @@ def line_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last columns: text and the starts of its windows to remove."""
+    """Columns: a row's others, its text, and the starts of windows to remove."""
     for batch in batches:
-        texts, starts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+        texts, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         total, gone = [], []
         for i, (text, ks) in enumerate(zip(texts, starts)):
             if text is None:
@@ -46,7 +46,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(n), gone.append(len(covered))
             if covered:
                 texts[i] = "\n".join(kept)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*batch.schema.names[:-2], "text__", "n_lines__", "n_removed__"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["row", "text", "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,12 +71,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     later = w.join(again, ["w1", "w2"]).where(at != F.col("first"))
     gone = later.groupBy("id", "th").agg(F.collect_set("k").alias("starts__")).select(F.col("id").alias("id__"), F.col("th").alias("th__"), "starts__")
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    d = docs.withColumn("th2__", F.xxhash64(F.col(key), F.col(text)))
-    d = d.join(gone, (F.col("th2__") == F.col("th__")) & F.col(key).eqNullSafe(F.col("id__")), "left").select(*[F.col(f"`{c}`") for c in rest], F.col(text), "starts__")
-    schema = T.StructType([*[d.schema[c] for c in rest], T.StructField("text__", T.StringType()), T.StructField("n_lines__", T.LongType()), T.StructField("n_removed__", T.LongType())])
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"), F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("th"))
+    d = d.join(gone, (F.col("th") == F.col("th__")) & F.col("id").eqNullSafe(F.col("id__")), "left").select("row", "text", "starts__")
+    schema = T.StructType([d.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = d.mapInArrow(_without, schema)
-    order = [F.col("text__").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*order, F.col("n_lines__").alias("n_lines"), F.col("n_removed__").alias("n_removed"))
+    order = [F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*order, "n_lines", "n_removed")
 
 
 def op2(docs: DataFrame) -> DataFrame:
