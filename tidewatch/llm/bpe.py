@@ -129,8 +129,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df and a binary column, the bytes of the ids; null ids give no bytes. An
-    id outside the vocabulary fails the job."""
+    id outside the vocabulary fails the job. A column named as `out` is replaced."""
     shared = _share(df, vocabulary, pattern)
+    df = df.drop(out) if out != ids else df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)

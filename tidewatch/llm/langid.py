@@ -151,7 +151,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 t += np.bincount(bucket[own], count[own], BUCKETS).astype(np.int64)
         for x, t in total.items():
             b = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(b)), pa.array(b), pa.array(t[b])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(b), pa.string()), pa.array(b), pa.array(t[b])], names=["lang", "bucket", "n"])
 
     counts = d.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     p = np.full((BUCKETS, len(languages)), smoothing)
@@ -194,6 +194,6 @@ def op3(docs: DataFrame) -> DataFrame:
 def identified_documents(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """docs without the rows whose language is undetermined, or whose best
     language has a share under `least`."""
-    d = docs.withColumn("whole__", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    got = identify(d.select("whole__", "text"), fitted(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole__"), "text")
+    got = identify(d, fitted(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return got.select("whole__.*")

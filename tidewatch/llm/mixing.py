@@ -111,9 +111,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that share a
     key are one document to the mix."""
     m = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "mixed_id")
-    joined = docs.join(m, docs["doc_id"].eqNullSafe(m["mixed_id"]))
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return joined.select(*[docs[c] for c in docs.columns], copy.alias("mixed_copy")).drop("mixed_copy")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
+    joined = d.join(m, d["key"].eqNullSafe(m["mixed_id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = r"""
