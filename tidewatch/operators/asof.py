@@ -40,3 +40,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, co
     rank = lambda m: F.struct(-F.abs(F.col(time) - F.col(f"{m}.t")), F.col(f"{m}.{tie}"))
     ahead: Column = F.col("back").isNull() | (F.col("ahead").isNotNull() & (rank("ahead") > rank("back")))
     return both.withColumn("match", F.when(ahead, F.col("ahead")).otherwise(F.col("back"))).select(*left.columns, "match")
+
+
+def assert_no_lookahead(df: DataFrame, asof: str, seen: Column) -> DataFrame:
+    """df; the job fails at a row whose evidence `seen` is later than its as-of
+    time."""
+    bad = F.raise_error(F.concat(F.lit("evidence is later than "), F.col(asof).cast("string"))).cast("boolean")
+    return df.where(F.when(seen > F.col(asof), bad).otherwise(True))

@@ -32,13 +32,14 @@ def gini_bps(swaps: DataFrame) -> DataFrame:
 
 
 def entropy_bps(swaps: DataFrame) -> DataFrame:
-    """Shannon entropy of the pools' buys by buyer over its maximum."""
+    """Shannon entropy of the pools' buys by buyer over its maximum; null below
+    two buyers or without volume."""
     t = swaps.where("side = 'BUY'").groupBy("pool", "buyer").agg(F.sum("amount").alias("x"))
     w = Window.partitionBy("pool")
     t = t.withColumn("s", F.sum("x").over(w)).withColumn("n", F.count("*").over(w)).where("n > 1 AND s > 0")
     p = F.greatest(F.col("x") / F.col("s"), F.lit(1e-12))
     h = t.groupBy("pool").agg((-F.sum(p * F.ln(p)) / F.ln(F.max("n"))).alias("h"))
-    return swaps.where("side = 'BUY'").select("pool").distinct().join(h, "pool", "left").select("pool", F.least(F.lit(10000), F.greatest(F.lit(0), half_up(F.col("h") * 10000))).alias("entropy_bps"))
+    return swaps.where("side = 'BUY'").select("pool").distinct().join(h, "pool", "left").select("pool", F.when(F.col("h").isNotNull(), F.least(F.lit(10000), F.greatest(F.lit(0), half_up(F.col("h") * 10000)))).alias("entropy_bps"))
 
 
 def repeated_size_bps(swaps: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .series import half_up
@@ -55,15 +58,27 @@ def concentration(balances: DataFrame, top: int = 10, excluded: str = "holder %
     return g.select("token", "holders", "adjusted_holders", F.expr("coalesce(largest, 0) * 10000 div coalesce(base, supply)").alias("largest_bps"), F.expr("coalesce(most, 0) * 10000 div coalesce(base, supply)").alias("top10_bps"))
 
 
-def knn(vectors: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+def knn(vectors: DataFrame, probes: DataFrame, k: int, most: int = 20_000) -> DataFrame:
     """Of each probe (a stated query set), the k rows nearest by the Euclidean
     distance; ties by id; itself not. Distances are an array expression in the
-    JVM, and per probe only k rows leave a task's partial aggregate."""
+    JVM. Up to `most` probes are broadcast; more go through in blocks of so
+    many."""
     p = probes.select(F.col("id").alias("probe"), F.col("v").alias("pv"))
     d = F.aggregate(F.zip_with("v", "pv", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    j = vectors.join(F.broadcast(p), F.col("id") != F.col("probe")).select("probe", "id", r6(F.sqrt(d)).alias("distance"))
     w = Window.partitionBy("probe").orderBy("distance", "id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def ranked(block: DataFrame) -> DataFrame:
+        j = vectors.join(F.broadcast(block), F.col("id") != F.col("probe")).select("probe", "id", r6(F.sqrt(d)).alias("distance"))
+        return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return in_blocks(p, "probe", most, ranked)
+
+
+def in_blocks(probes: DataFrame, key: str, most: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work over blocks of probes of about `most` rows by a hash of their key."""
+    n = -(-probes.count() // most) or 1
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return reduce(DataFrame.unionByName, [work(probes.where(block == i) if n > 1 else probes) for i in range(n)])
 
 
 def downsample(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
@@ -72,3 +87,20 @@ def downsample(df: DataFrame, key: str, order: list[str], most: int) -> DataFram
     d = df.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.floor(j * (F.col("n") - 1) / (most - 1) + 0.5).cast("bigint"))
     return d.where((F.col("n") <= most) | F.array_contains(wanted, F.col("i").cast("bigint"))).drop("n")
+
+
+def nearest_shared(rows: DataFrame, probes: DataFrame, features: list[str], k: int, most: int = 20_000) -> DataFrame:
+    """Of each probe (a stated query set), the k rows nearest by the Euclidean
+    distance over the features that both have; rows that share none are last.
+    Probes go through in blocks of `most`, as in knn."""
+    p = probes.select(F.col("id").alias("probe"), *[F.col(f).alias(f"p_{f}") for f in features])
+    squares = [(F.col(f) - F.col(f"p_{f}")) * (F.col(f) - F.col(f"p_{f}")) for f in features]
+    total = reduce(lambda x, y: x + y, [F.coalesce(s, F.lit(0.0)) for s in squares])
+    w = Window.partitionBy("probe").orderBy("distance", "id")
+
+    def ranked(block: DataFrame) -> DataFrame:
+        j = rows.join(F.broadcast(block), F.col("id") != F.col("probe"))
+        d = j.select("probe", "id", F.when(F.coalesce(*squares).isNotNull(), r6(F.sqrt(total))).otherwise(float("inf")).alias("distance"))
+        return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return in_blocks(p, "probe", most, ranked)

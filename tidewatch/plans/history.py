@@ -27,7 +27,7 @@ def gini_bps(spark, sf):
     return series.gini_bps(swaps(spark, sf))
 
 
-@query(sql("swaps", _TOTALS + ", y AS (SELECT *, sum(x) OVER (PARTITION BY pool)::DOUBLE AS s, count(*) OVER (PARTITION BY pool) AS n FROM x), g AS (SELECT pool, max(n) AS n, max(s) AS s, -sum(greatest(x / s, 1e-12) * ln(greatest(x / s, 1e-12))) / ln(max(n)) AS h FROM y WHERE n > 1 AND s > 0 GROUP BY pool) SELECT p.pool, least(10000, greatest(0, floor(h * 10000 + 0.5)))::BIGINT AS entropy_bps FROM (SELECT DISTINCT pool FROM x) p LEFT JOIN g ON g.pool IS NOT DISTINCT FROM p.pool"))
+@query(sql("swaps", _TOTALS + ", y AS (SELECT *, sum(x) OVER (PARTITION BY pool)::DOUBLE AS s, count(*) OVER (PARTITION BY pool) AS n FROM x), g AS (SELECT pool, max(n) AS n, max(s) AS s, -sum(greatest(x / s, 1e-12) * ln(greatest(x / s, 1e-12))) / ln(max(n)) AS h FROM y WHERE n > 1 AND s > 0 GROUP BY pool) SELECT p.pool, CASE WHEN h IS NOT NULL THEN least(10000, greatest(0, floor(h * 10000 + 0.5)))::BIGINT END AS entropy_bps FROM (SELECT DISTINCT pool FROM x) p LEFT JOIN g ON g.pool IS NOT DISTINCT FROM p.pool"))
 def entropy_bps(spark, sf):
     return series.entropy_bps(swaps(spark, sf))
 
