@@ -2,64 +2,141 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import series
 from ..plans.catalogue import query
-from ..sources.tables import micros, read
+from ..sources.tables import micros, read, sql
 
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a folder of batches holds, with columns run and batch; None before
+    the first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def append_once(batch: DataFrame, path: str, keys: list[str], batch_id: int) -> DataFrame:
-    """Appends the rows of a batch whose key is new, the first of each key, and
-    returns them. Each batch has its own folder, which a replay overwrites, and
-    doesn't look at itself: a replayed batch changes nothing."""
-    spark = batch.sparkSession
-    new = batch.dropDuplicates(keys)
-    older = [f"{path}/batch={i}" for i in range(batch_id) if exists(spark, f"{path}/batch={i}")]
-    if older:
-        new = new.join(spark.read.schema(batch.schema).parquet(*older), keys, "left_anti")
-    new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+def run_of(checkpoint: str) -> str:
+    """Tells the runs of a query from different checkpoints apart."""
+    return "r" + hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def advance(spark: SparkSession, path: str, column: DataFrame, batch_id: int) -> None:
-    """Cursor row of a batch, written after everything else. It only moves
-    forward: readers take the maximum of all rows."""
-    column.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def append_once(batch: DataFrame, path: str, keys: list[str], run: str, batch_id: int, order: str | None = None) -> DataFrame:
+    """Appends one row of each key that is new, and returns what was appended.
 
+    A batch has a folder of its own, run=.../batch=..., which a replay
+    overwrites and doesn't look at; so a replayed batch changes nothing, and nor
+    does a run from a fresh checkpoint, whatever its batches. `order`: a column
+    that grows with time; stored rows outside the batch's range of it aren't
+    read, as Parquet's statistics show where they are.
+    """
+    spark, own = batch.sparkSession, f"{path}/run={run}/batch={batch_id}"
+    new, older = batch.dropDuplicates(keys), stored(spark, path)
+    if older is not None:
+        older = older.where((F.col("run") != run) | (F.col("batch") != batch_id))
+        if order is not None:
+            low, high = batch.agg(F.min(order), F.max(order)).first()
+            older = older.where(F.col(order).between(low, high))
+        new = new.join(older.select(*keys), keys, "left_anti").select(*batch.columns)
+    new.write.mode("overwrite").parquet(own)
+    return spark.read.schema(batch.schema).parquet(own)
 
-def ingest_events(stream: DataFrame, out: str, checkpoint: str, width: int = series.DAY):
+
+def write_batch(df: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """A batch's derived rows in its own folder; a replay overwrites them."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+
+
+def cursor(spark: SparkSession, path: str, start: int) -> int:
+    """The cursor only moves forward: the greatest of all batches' rows."""
+    rows = stored(spark, path)
+    top = rows.agg(F.max("processed")).first()[0] if rows is not None else None
+    return max(start, top) if top is not None else start
+
+
+def ingest_events(stream: DataFrame, out: str, checkpoint: str):
     """Starts a query that runs over what is there and stops: events appended
-    once by event_id, windowed counts of the touched pools, then the cursor."""
+    once by event_id, counts of the touched pools, then the cursor."""
+    run = run_of(checkpoint)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        new = append_once(batch, f"{out}/events", ["event_id"], batch_id)
+        new = append_once(batch, f"{out}/events", ["event_id"], run, batch_id, "event_id")
         pools = new.select((F.get_json_object("props", "$.k").try_cast("bigint") % 20).alias("pool"), micros("ts").alias("t"), "event_type")
         touched = pools.groupBy("pool").agg(F.max("t").alias("t"), F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("buys"))
-        touched.write.mode("overwrite").parquet(f"{out}/activity/batch={batch_id}")
-        advance(batch.sparkSession, f"{out}/cursor", new.agg(F.max("event_id").alias("processed")), batch_id)
+        write_batch(touched, f"{out}/activity", run, batch_id)
+        write_batch(new.agg(F.max("event_id").alias("processed")), f"{out}/cursor", run, batch_id)
+
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def net_balances(stream: DataFrame, out: str, checkpoint: str):
+    """Nets transfers (id, token, src, dst, value) batch by batch. Each batch
+    stores the deltas of the holders that it touches; a balance is their sum.
+    Transfers that were seen before change nothing."""
+    run = run_of(checkpoint)
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        new = append_once(batch, f"{out}/transfers", ["id"], run, batch_id)
+        side = lambda who, sign: F.struct(F.col(who).alias("holder"), (sign * F.col("value")).alias("v"))
+        moves = new.select("token", F.explode(F.array(side("src", -1), side("dst", 1))).alias("m"))
+        write_batch(moves.groupBy("token", F.col("m.holder").alias("holder")).agg(F.sum("m.v").alias("delta")), f"{out}/deltas", run, batch_id)
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def balances(spark: SparkSession, out: str) -> DataFrame:
+    """(token, holder, balance), also of holders that sold everything."""
+    return spark.read.parquet(f"{out}/deltas").groupBy("token", "holder").agg(F.sum("delta").alias("balance"))
+
+
+def refresh_due(active: DataFrame, last: DataFrame, age: int) -> DataFrame:
+    """Keys of `active` whose latest row in `last` (pool, t) is older than `age`
+    against the newest of all, or missing: windows decay without events."""
+    newest = last.agg(F.max("t").alias("now"))
+    fresh = last.groupBy("pool").agg(F.max("t").alias("t")).join(F.broadcast(newest), F.col("t") > F.col("now") - age)
+    return active.join(fresh, "pool", "left_anti")
+
+
+def _folder(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp").rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+
+
+@query(sql("snapshots", f"SELECT part AS pool FROM (SELECT p_partkey AS part FROM part WHERE p_partkey < 200) WHERE part NOT IN (SELECT pool FROM snapshots GROUP BY pool HAVING max(t) > (SELECT max(t) FROM snapshots) - {3 * series.DAY})"))
+def refresh_lane(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders").select((F.col("o_custkey") % 97).alias("pool"), micros("o_orderdate").alias("t"))
+    return refresh_due(read(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("pool")), o, 3 * series.DAY)
+
+
 @query()
 def stream_replay_equivalence(spark: SparkSession, sf: str) -> DataFrame:
     """Ingests the events as a stream twice, the second time from a fresh
-    checkpoint, and counts events, keys and batch results by type."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp").rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
-    read(spark, sf, "events").write.parquet(f"{base}/in")
-    for k in range(2):
-        ingest_events(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint{k}").awaitTermination()
+    checkpoint and in other batches, and counts events and keys by type."""
+    base = _folder(spark)
+    read(spark, sf, "events").repartition(5).write.parquet(f"{base}/in")
+    for k, files in enumerate((2, 3)):
+        ingest_events(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint{k}").awaitTermination()
     got = spark.read.parquet(f"{base}/out/events").groupBy("event_type").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("keys"))
     want = read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("expected"))
     return reduce(lambda a, b: a.join(b, "event_type", "full"), [got, want])
+
+
+@query("WITH m AS (SELECT o_orderkey AS id, o_custkey % 5 AS token, o_custkey AS src, o_orderkey % 300 AS dst, floor(o_totalprice)::BIGINT AS value FROM orders), n AS (SELECT token, src AS holder, -value AS v FROM m UNION ALL SELECT token, dst, value FROM m) SELECT token, holder, sum(v)::BIGINT AS balance FROM n GROUP BY 1, 2")
+def stream_balances(spark: SparkSession, sf: str) -> DataFrame:
+    base = _folder(spark)
+    o = read(spark, sf, "orders")
+    t = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("token"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 300).alias("dst"), F.floor("o_totalprice").cast("bigint").alias("value"))
+    t.repartition(4).write.parquet(f"{base}/in")
+    for k in range(2):
+        net_balances(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2 + k).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint{k}").awaitTermination()
+    return balances(spark, f"{base}/out")
