@@ -30,6 +30,32 @@ def test_repeated_windows_are_found(spark):
     assert shared <= {r["doc_id"] for r in s.op10(d).collect()}
 
 
+def test_fifty_shared_words_are_never_missed():
+    for seed in range(300):
+        rng = random.Random(seed)
+        passage = prose(50, seed)
+        cut = rng.randrange(1, 49)
+        broken = [*passage[:cut], passage[cut] + "\n"]
+        a, b = prose(rng.randrange(120), 1000 + seed) + passage + prose(rng.randrange(120), 2000 + seed), prose(rng.randrange(120), 3000 + seed) + broken + passage[cut + 1 :] + prose(rng.randrange(120), 4000 + seed)
+        text, line, word, words, d1, d2, bands = s._units([" ".join(a).encode(), b"", " ".join(b).encode()])
+        of = lambda k: set(zip(d1[~line & (text == k)].tolist(), d2[~line & (text == k)].tolist()))
+        assert of(0) & of(2)
+
+
+def test_sections_lose_nothing(spark, monkeypatch):
+    """A long text in parts has all the kept passages and lines of the whole."""
+    text = "\n".join(" ".join(prose(RNG.randrange(5, 90), i)) for i in range(300)).encode()
+    whole = s._units([text])
+    got, lines = set(), set()
+    for before, repeated, part in s._sections(text, 3000):
+        _, line, word, words, d1, d2, _ = s._units([part])
+        got |= set(zip((word + before)[~line].tolist(), d1[~line].tolist(), d2[~line].tolist()))
+        lines |= set(zip((word + before)[line & (word >= repeated)].tolist(), d1[line & (word >= repeated)].tolist()))
+    line, word, d1, d2 = whole[1], whole[2], whole[4], whole[5]
+    assert set(zip(word[~line].tolist(), d1[~line].tolist(), d2[~line].tolist())) <= got
+    assert set(zip(word[line].tolist(), d1[line].tolist())) == lines
+
+
 def test_planted_passages(spark):
     """55 words inside one long line of each of three documents; clean
     documents stay out."""

@@ -7,7 +7,6 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import LOWER, as_bytes, join_bounded, mix64, small_batches, stash, word_hashes, word_starts
@@ -16,9 +15,10 @@ from .components import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words that a repeated paragraph or passage has at least.
 LEAST = 20
-#: A piece ends where a hash of two words is the least among so many words on
-#: either side; pieces have twice as many words on average.
-SIDE = 8
+#: Of every WINDOW passages of LEAST words that begin at consecutive words, the
+#: one with the least hash is kept: two texts that share LEAST + WINDOW - 1 = 50
+#: words in a row share a kept passage.
+WINDOW = 31
 ROWS = 3
 
 
@@ -33,6 +33,9 @@ _RNG = np.random.default_rng(11)
 FACTORS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 POLY = np.uint64(0x9E3779B97F4A7C15)
+OTHER = np.uint64(0xD6E8FEB86659FD93)
+POWERS = np.ones(4096, np.uint64)
+np.multiply.accumulate(np.full(4095, POLY, np.uint64), out=POWERS[1:])
 
 
 def shingle_hashes(h: np.ndarray) -> np.ndarray:
@@ -44,61 +47,82 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
-def cut_places(h: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Which words end a piece within their line: the pair hash is the least of
-    the SIDE words before and after, and the line has so many on either side."""
-    v = mix64(h * POLY + np.concatenate((h[:1], h[:-1])))
-    least = np.ones(len(h), bool)
-    for k in range(1, SIDE + 1):
-        if len(h) <= k:
-            return np.zeros(len(h), bool)
-        same = line[k:] == line[:-k]
-        less = v[k:] < v[:-k]
-        least[:-k] &= same & ~less
-        least[k:] &= same & less
-    return least
-
-
-def _units(data: bytes) -> Iterator[tuple]:
-    """Of one text: ('line', word, words, digest, bands) for paragraphs of LEAST
-    words or more and ('piece', word, words, digest, None) for the pieces of
-    paragraphs. word: index of the first in the text."""
-    low = data.translate(LOWER)
+def _weighted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest, as two arrays, of the words from each of the ascending
+    places in `first` up to the next; h: hashes of words."""
+    lengths = np.diff(np.append(first, len(h)))
+    weight = POWERS[(np.arange(first[0], len(h)) - np.repeat(first, lengths)) & 4095]
+    own = h[first[0] :]
+    return tuple(mix64(np.add.reduceat(x * weight, first - first[0])) for x in (own, mix64(own ^ OTHER)))
+
+
+def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, d1, d2) of the kept passages of LEAST words. text_ends: for each
+    word, where its text ends; text_first: where texts begin. Passages stay
+    within a text; a text that has any keeps its least one."""
+    at = np.arange(len(h))
+    valid = at + LEAST <= text_ends
+    if not valid.any():
+        return at[:0], h[:0], h[:0]
+    v = np.zeros(len(h), np.uint64)
+    for k in range(LEAST):
+        v *= POLY
+        v[: len(h) - k] += h[k:]
+    v = np.where(valid, mix64(v), np.uint64(2**64 - 1))
+    picked = [at[:0]]
+    for a in range(0, len(v) - WINDOW + 1, 1 << 18):
+        part = v[a : a + (1 << 18) + WINDOW - 1]
+        picked.append(np.unique(np.lib.stride_tricks.sliding_window_view(part, WINDOW).argmin(1) + np.arange(len(part) - WINDOW + 1)) + a)
+    least = np.minimum.reduceat(v, text_first)
+    lengths = np.diff(np.append(text_first, len(v)))
+    picked.append(np.flatnonzero(v == np.repeat(least, lengths)))
+    kept = np.unique(np.concatenate(picked))
+    kept = kept[valid[kept]]
+    d2 = (mix64(h ^ OTHER)[kept[:, None] + np.arange(LEAST)] * POWERS[:LEAST]).sum(1, dtype=np.uint64)
+    return kept, v[kept], mix64(d2)
+
+
+def _units(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
+    """Arrays (text, line, word, words, d1, d2, bands) over several texts: the
+    paragraphs of LEAST words or more, then the kept passages, without bands."""
+    low = b"\n".join(texts).translate(LOWER)
     raw = np.frombuffer(low, np.uint8)
     starts = word_starts(raw)
     if not len(starts):
-        return
+        return None
     h = word_hashes(raw, starts)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+    text = np.searchsorted(begins, starts, side="right") - 1
+    origin = np.searchsorted(starts, begins)
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
     lead = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    tail = np.append(lead[1:], len(starts))
-    cuts = np.flatnonzero(cut_places(h, line)) + 1
-    long = np.flatnonzero(tail - lead >= LEAST)
+    size = np.diff(np.append(lead, len(starts)))
+    long = np.flatnonzero(size >= LEAST)
+    bands = np.zeros((len(long), BANDS), np.uint64)
     if len(long):
-        sh = shingle_hashes(h)
         # minima over each long line's shingles, all within the line
-        a, b = lead[long], tail[long] - (SHINGLE - 1)
-        bounds = np.stack([a, b], axis=1).ravel()
-        sh = np.append(sh, np.uint64(0))
+        sh = np.append(shingle_hashes(h), np.uint64(0))
+        bounds = np.stack([lead[long], lead[long] + size[long] - (SHINGLE - 1)], axis=1).ravel()
         mins = np.empty((len(long), BANDS * ROWS), np.uint64)
         for j in range(BANDS * ROWS):
             mins[:, j] = np.minimum.reduceat(sh * FACTORS[j] + ADDENDS[j], bounds)[::2]
-        key = np.zeros((len(long), BANDS), np.uint64)
         for r in range(ROWS):
-            key = mix64(key * POLY + mins[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
-        key = key.view(np.int64)
-    ends = np.append(starts[1:], len(raw))
-    for i, (p, q) in enumerate(zip(lead[long].tolist(), tail[long].tolist())):
-        yield "line", p, q - p, b" ".join(low[starts[p] : ends[q - 1]].split()), key[i]
-    edges = np.unique(np.concatenate([lead, cuts, [len(starts)]])).tolist()
-    for p, q in zip(edges[:-1], edges[1:]):
-        yield "piece", p, q - p, b" ".join(low[starts[p] : ends[q - 1]].split()), None
-
-
-def _sections(data: bytes, size: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
-    """(words before, text) of a text in parts of whole lines of about `size`
-    bytes; a longer line is cut between words."""
-    at, words = 0, 0
+            bands = mix64(bands * POLY + mins[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
+    d1, d2 = (d[long] for d in _weighted(h, lead))
+    first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+    ends = np.repeat(np.append(first[1:], len(h)), np.diff(np.append(first, len(h))))
+    kept, k1, k2 = kept_passages(h, ends, first)
+    at = np.concatenate([lead[long], kept])
+    words = np.concatenate([size[long], np.full(len(kept), LEAST)])
+    return text[at], np.arange(len(at)) < len(long), at - origin[text[at]], words, np.concatenate([d1, k1]), np.concatenate([d2, k2]), bands
+
+
+def _sections(data: bytes, size: int = 4 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(words before, words repeated, text) of a text in parts of whole lines of
+    about `size` bytes; a longer line is cut between words. Each part begins
+    with the 49 words before it, as a line of its own, so that no passage of 50
+    words is cut."""
+    at, words, tail = 0, 0, []
     while at < len(data):
         end = len(data)
         if end - at > size:
@@ -106,33 +130,42 @@ def _sections(data: bytes, size: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
             end = nl + 1 if nl > at else at + size
             while nl <= at and end < len(data) and data[end] not in b" \t\n\v\f\r":
                 end += 1
-        part = data[at:end]
-        yield words, part
-        words += len(part.split())
+        own = data[at:end].split()
+        yield words - len(tail), len(tail), b" ".join(tail) + b"\n" * bool(tail) + data[at:end]
+        words += len(own)
+        tail = (tail + own)[-(LEAST + WINDOW - 2) :]
         at = end
 
 
 def paragraph_units(docs: DataFrame) -> DataFrame:
     """(id, line, word, words, d1, d2, bands) of every paragraph of LEAST words
-    or more (line true) and of every piece (line false, no bands). d1, d2: a
-    128-bit digest of the words, A-Z lower-cased, with single spaces."""
+    or more (line true) and of every kept passage (line false, no bands). d1,
+    d2: a 128-bit digest of the words, A-Z lower-cased."""
+
+    def rows(ids: list[int], texts: list[bytes], before: int = 0, repeated: int = 0) -> Iterator[pa.RecordBatch]:
+        if (got := _units(texts)) is None:
+            return
+        text, line, word, words, d1, d2, bands = got
+        own = ~line | (word >= repeated)
+        bands = bands[own[: len(bands)]]
+        text, line, word, words, d1, d2 = (x[own] for x in (text, line, word, words, d1, d2))
+        lengths = np.where(line, BANDS, 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[text]), pa.array(line), pa.array(word + before), pa.array(words.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=UNIT_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            out: list[list] = [[] for _ in range(7)]
-            for key, data in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text"))):
-                for before, part in _sections(data or b""):
-                    for kind, word, n, text, bands in _units(part):
-                        d = xxhash.xxh3_128_intdigest(text)
-                        for column, value in zip(out, (key, kind == "line", before + word, n, (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63), bands)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, UNIT_KINDS)], names=UNIT_NAMES)
+            ids, texts = batch.column("id").to_pylist(), as_bytes(batch.column("text"))
+            if len(texts) > 1:
+                yield from rows(ids, texts)
+            else:
+                for before, repeated, part in _sections(texts[0]):
+                    yield from rows(ids, [part], before, repeated)
 
     return docs.mapInArrow(run, "id long, line boolean, word long, words int, d1 long, d2 long, bands array<long>")
 
 
 UNIT_NAMES = ["id", "line", "word", "words", "d1", "d2", "bands"]
-UNIT_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -196,9 +229,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pair, between components, so a large group of near copies isn't paired out.
     Classes are the components of verified pairs.
 
-    Passages that repeat inside otherwise different paragraphs are found by
-    pieces, which end where a hash of the words says so: pieces equal to an
-    earlier one count if together they make a run of 20 words or more.
+    Passages that repeat inside otherwise different paragraphs, or over several
+    lines, are found by kept passages of 20 words (see WINDOW): of 50 shared
+    words in a row, one at least is kept in both texts. A row spans the kept
+    passages that repeat and overlap or touch.
 
     Null and empty texts and rows with a null key have no passages; rows with an
     equal key and text repeat each other only if the text repeats within itself;
@@ -241,11 +275,11 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hit = pieces.join(twice, ["d1", "d2"]).select("id", "word", "words", "head").distinct()
     own = found.select(F.col("id").alias("fid"), F.col("word").alias("fw"), F.col("words").alias("fn"))
     hit = stash(hit, "substring-pieces")
-    # runs of repeated pieces that touch, within a document
+    # runs of repeated passages that overlap or touch, within a document
     order = Window.partitionBy("id").orderBy("word")
-    runs = hit.withColumn("new", F.coalesce((F.lag(F.col("word") + F.col("words")).over(order) != F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("id", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.sum("words").cast("int").alias("words"), F.max((place != F.col("head")).cast("int")).alias("later")).where(F.col("words") >= LEAST)
-    runs = runs.select("id", F.col("m.word").alias("word"), "words", F.lit(False).alias("near"), F.col("m.head.id").alias("class_id"), F.col("m.head.word").alias("class_word"), (F.col("later") == 1).alias("removed"))
+    runs = hit.withColumn("new", F.coalesce((F.lag(F.col("word") + F.col("words")).over(order) < F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("id", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(F.col("word") + F.col("words")).alias("end"), F.max((place != F.col("head")).cast("int")).alias("later"))
+    runs = runs.select("id", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), F.col("m.head.id").alias("class_id"), F.col("m.head.word").alias("class_word"), (F.col("later") == 1).alias("removed"))
     # a run inside one paragraph that is found already adds nothing
     inside = runs.join(own, (F.col("id") == F.col("fid")) & (F.col("word") >= F.col("fw")) & (F.col("word") + F.col("words") <= F.col("fw") + F.col("fn")), "left_anti")
     out = found.unionByName(inside)
