@@ -29,10 +29,10 @@ def funnel_summary(spark, sf):
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS launches, count(*) FILTER (o_totalprice >= 50000) AS in_band FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY GROUP BY 1")
-def launch_cadence(spark, sf):
+def launch_cadence(spark, sf, days=30):
     o = read(spark, sf, "orders").select("o_orderdate", "o_totalprice")
     last = o.agg(F.max("o_orderdate").alias("last"))
-    recent = o.join(F.broadcast(last), F.col("o_orderdate") > F.col("last") - F.expr("INTERVAL 30 DAYS"))
+    recent = o.join(F.broadcast(last), F.col("o_orderdate") > F.col("last") - F.expr(f"INTERVAL {int(days)} DAYS"))
     return recent.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("launches"), F.count_if(F.col("o_totalprice") >= 50000).alias("in_band"))
 
 
@@ -40,10 +40,11 @@ def launch_cadence(spark, sf):
  f AS (SELECT unnest({FLOORS}) AS floor)
 SELECT f.floor::INT AS floor, count(m.id) AS n, coalesce(floor(avg((mult >= 20000)::INT) * 1e6 + 0.5) / 1e6, 0) AS share2, coalesce(floor(avg((mult >= 50000)::INT) * 1e6 + 0.5) / 1e6, 0) AS share5, coalesce(floor(avg((mult >= 100000)::INT) * 1e6 + 0.5) / 1e6, 0) AS share10
 FROM f LEFT JOIN m ON m.score >= f.floor GROUP BY 1"""))
-def score_precision_curve(spark, sf):
+def score_precision_curve(spark, sf, horizon=None):
     """Flagship: as-of join of labels to scores with forward grace, folded over
     floors. Labels are grouped by score first, so floors meet 101 rows."""
-    m = asof.as_of(labels(spark, sf).select("id", "token", "t", "mult"), scores(spark, sf), "token", "t", "id", ["score"], grace=DAY * 9000)
+    l = labels(spark, sf) if horizon is None else labels(spark, sf).where(F.col("horizon") == horizon)
+    m = asof.as_of(l.select("id", "token", "t", "mult"), scores(spark, sf), "token", "t", "id", ["score"], grace=DAY * 9000)
     g = m.where("match IS NOT NULL").groupBy("match.score").agg(F.count("*").alias("c"), *[F.count_if(F.col("mult") >= x).alias(f"c{x}") for x in (20000, 50000, 100000)])
     floors = spark.range(1).select(F.explode(F.lit(FLOORS)).alias("floor"))
     j = F.broadcast(floors).join(g, F.col("score") >= F.col("floor"), "left").groupBy("floor").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *[F.sum(f"c{x}").alias(f"c{x}") for x in (20000, 50000, 100000)])
@@ -53,15 +54,16 @@ def score_precision_curve(spark, sf):
 
 @query(sql("labels_", """, q AS (SELECT mult, dd, ntile(4) OVER (PARTITION BY horizon ORDER BY dd, id) AS bucket, horizon FROM labels_ WHERE status <> 'P')
 SELECT horizon, bucket, count(*) AS n, min(dd) AS low, max(dd) AS high, percentile_cont(0.5) WITHIN GROUP (ORDER BY mult) AS median_mult, floor(avg((mult >= 20000)::INT) * 1e6 + 0.5) / 1e6 AS share2 FROM q GROUP BY 1, 2"""))
-def feature_quartiles(spark, sf):
-    q = labels(spark, sf).where("status <> 'P'").withColumn("bucket", F.ntile(4).over(Window.partitionBy("horizon").orderBy("dd", "id")).cast("bigint"))
+def feature_quartiles(spark, sf, horizon=None):
+    l = labels(spark, sf) if horizon is None else labels(spark, sf).where(F.col("horizon") == horizon)
+    q = l.where("status <> 'P'").withColumn("bucket", F.ntile(4).over(Window.partitionBy("horizon").orderBy("dd", "id")).cast("bigint"))
     return q.groupBy("horizon", "bucket").agg(F.count("*").alias("n"), F.min("dd").alias("low"), F.max("dd").alias("high"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY mult)").alias("median_mult"), r6(F.avg((F.col("mult") >= 20000).cast("int"))).alias("share2"))
 
 
 @query(sql("alerts labels_", """, r AS (SELECT a.id, a.token, a.level, a.t, c.c_name AS name FROM alerts a LEFT JOIN customer c ON c.c_custkey = a.token ORDER BY a.t DESC, a.id DESC LIMIT 200)
 SELECT r.id, r.token, r.level, r.name, (SELECT l.mult FROM labels_ l WHERE l.token = r.token ORDER BY l.t DESC, l.id DESC LIMIT 1) AS mult, (SELECT l.dd FROM labels_ l WHERE l.token = r.token ORDER BY l.t DESC, l.id DESC LIMIT 1) AS dd FROM r"""))
-def recent_alert_outcomes(spark, sf):
-    a = alerts(spark, sf).orderBy(F.desc("t"), F.desc("id")).limit(200)
+def recent_alert_outcomes(spark, sf, limit=200):
+    a = alerts(spark, sf).orderBy(F.desc("t"), F.desc("id")).limit(limit)
     names = read(spark, sf, "customer").select(F.col("c_custkey").alias("token"), F.col("c_name").alias("name"))
     l = asof.latest(labels(spark, sf), ["token"], ["t", "id"], ["mult", "dd"])
     return a.join(names, "token", "left").join(l, "token", "left").select("id", "token", "level", "name", "mult", "dd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import contracts, rules
+from ..functions import abi, contracts, rules
 from ..functions.scalars import shortfall_bps
 from ..sources.tables import read, sql
 from .analytics import CANDIDATES, candidates
@@ -96,3 +96,16 @@ def valuation_reasons(spark, sf):
     c = read(spark, sf, "customer").join(_anchors(spark, sf).select(F.col("pair").alias("c_nationkey"), F.col("depth").alias("anchor")), "c_nationkey", "left")
     reason = contracts.null_reason(k % 9 != 0, F.when(k % 11 != 0, k % 40), F.col("anchor"), F.col("c_acctbal"), F.when(k % 13 != 0, 1))
     return c.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey AS buyer, (CASE WHEN l_linenumber % 2 = 0 THEN l_partkey - l_suppkey ELSE l_suppkey - l_partkey END)::BIGINT AS a0, (CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey - 1000 ELSE l_partkey END)::BIGINT AS a1 FROM lineitem")
+def decoded_swaps(spark, sf):
+    """Event data of two kinds of pools, made from line items and read again."""
+    x, y = F.col("l_partkey"), F.col("l_suppkey")
+    u = lambda c: F.lpad(F.hex(c), 64, "0")
+    s = lambda c: F.when(c < 0, F.lpad(F.hex(c), 64, "F")).otherwise(u(c))
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "v2").otherwise("v3")
+    data = F.concat(F.lit("0x"), F.when(kind == "v2", F.concat(u(x), u(y), u(y), u(F.lit(1000)))).otherwise(F.concat(s(y - x), s(x))))
+    i = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), kind.alias("kind"), data.alias("data"), F.concat(F.lit("0x"), u(y)).alias("topic"))
+    a0, a1 = abi.swap_amounts(F.col("kind"), F.col("data"))
+    return i.select("k", "n", F.conv(F.substring(abi.address(F.col("topic")), 3, 40), 16, 10).cast("bigint").alias("buyer"), a0.cast("bigint").alias("a0"), a1.cast("bigint").alias("a1"))

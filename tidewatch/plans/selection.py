@@ -113,13 +113,13 @@ def prompt_versions(spark, sf):
 # ---- windows over touched keys
 
 
-@query(sql("swaps", f", k AS (SELECT p_partkey AS pool FROM part WHERE p_partkey < 40), w AS (SELECT * FROM swaps WHERE t > (SELECT max(t) FROM swaps) - {2 * DAY}) SELECT k.pool, count(w.id) AS events, count(*) FILTER (w.side = 'BUY') AS buys, coalesce(sum(w.amount) FILTER (w.side = 'SELL'), 0)::BIGINT AS sold FROM k LEFT JOIN w ON w.pool = k.pool GROUP BY 1"))
+@query(sql("swaps", f", k AS (SELECT p_partkey AS pool FROM part), w AS (SELECT * FROM swaps WHERE t > (SELECT max(t) FROM swaps) - {2 * DAY}) SELECT k.pool, count(w.id) AS events, count(*) FILTER (w.side = 'BUY') AS buys, coalesce(sum(w.amount) FILTER (w.side = 'SELL'), 0)::BIGINT AS sold FROM k LEFT JOIN w ON w.pool = k.pool GROUP BY 1"))
 def windowed_snapshots(spark, sf):
     """Pools without events get rows of zeros."""
     s = swaps(spark, sf)
     last = s.agg(F.max("t").alias("top"))
     w = s.join(F.broadcast(last), F.col("t") > F.col("top") - 2 * DAY).groupBy("pool").agg(F.count("*").alias("events"), F.count_if(F.col("side") == "BUY").alias("buys"), F.sum(F.when(F.col("side") == "SELL", F.col("amount"))).alias("sold"))
-    k = read(spark, sf, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("pool"))
+    k = read(spark, sf, "part").select(F.col("p_partkey").alias("pool"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return k.join(w, "pool", "left").select("pool", z("events"), z("buys"), z("sold"))
 
