@@ -272,7 +272,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     pieces = units.where("not line").select("id", "word", "words", "d1", "d2")
     twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
-    hit = pieces.join(twice, ["d1", "d2"]).select("id", "word", "words", "head").distinct()
+    # written first: a join right above the grouping could not split a hot passage
+    hit = pieces.join(stash(twice, "substring-twice"), ["d1", "d2"]).select("id", "word", "words", "head").distinct()
     own = found.select(F.col("id").alias("fid"), F.col("word").alias("fw"), F.col("words").alias("fn"))
     hit = stash(hit, "substring-pieces")
     # runs of repeated passages that overlap or touch, within a document
