@@ -68,7 +68,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     w = stash(line_windows(docs, key, text), "line-windows")
     at = F.struct("id", "th", "k")
     again = w.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.max(at).alias("last")).where((F.col("n") > 1) & (F.col("first") != F.col("last")))
-    later = w.join(again, ["w1", "w2"]).where(at != F.col("first"))
+    # written first: a join right above the grouping could not split a hot window
+    later = w.join(stash(again, "line-repeats"), ["w1", "w2"]).where(at != F.col("first"))
     gone = later.groupBy("id", "th").agg(F.collect_set("k").alias("starts__")).select(F.col("id").alias("id__"), F.col("th").alias("th__"), "starts__")
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"), F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("th"))
