@@ -107,3 +107,14 @@ def test_odd_rows(odd, clashing, nothing):
     assert {r["doc_id"] for r in got if r["near"] and not r["removed"]} >= {1}
     assert sorted(map(str, s.op10(clashing).collect())) == sorted(map(str, got))
     assert s.op10(nothing).count() == 0
+
+
+def test_a_passage_in_the_first_of_some_paragraphs(spark):
+    """A paragraph that stays, as the first of its class, still shows that it
+    repeats an earlier document's passage."""
+    passage, shared = prose(60, 1), prose(40, 2)
+    b = " ".join(shared + passage + prose(40, 3))
+    rows = [(0, " ".join(prose(80, 4) + passage + prose(80, 5))), (5, "\n".join([" ".join(prose(30, 6)), b])), (9, "\n".join([b, " ".join(prose(30, 7))]))]
+    got = s.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["removed"]) for r in got if r["near"]} == {(5, False), (9, True)}
+    assert any(r["doc_id"] == 5 and r["removed"] and r["word"] < 130 and r["word"] + r["words"] > 70 for r in got)

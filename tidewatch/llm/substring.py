@@ -232,7 +232,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Passages that repeat inside otherwise different paragraphs, or over several
     lines, are found by kept passages of 20 words (see WINDOW): of 50 shared
     words in a row, one at least is kept in both texts. A row spans the kept
-    passages that repeat and overlap or touch.
+    passages that repeat and overlap or touch; it is left out where it lies in a
+    paragraph that is removed.
 
     Null and empty texts and rows with a null key have no passages; rows with an
     equal key and text repeat each other only if the text repeats within itself;
@@ -274,14 +275,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
     # written first: a join right above the grouping could not split a hot passage
     hit = pieces.join(stash(twice, "substring-twice"), ["d1", "d2"]).select("id", "word", "words", "head").distinct()
-    own = found.select(F.col("id").alias("fid"), F.col("word").alias("fw"), F.col("words").alias("fn"))
+    own = found.where("removed").select(F.col("id").alias("fid"), F.col("word").alias("fw"), F.col("words").alias("fn"))
     hit = stash(hit, "substring-pieces")
     # runs of repeated passages that overlap or touch, within a document
     order = Window.partitionBy("id").orderBy("word")
     runs = hit.withColumn("new", F.coalesce((F.lag(F.col("word") + F.col("words")).over(order) < F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
     runs = runs.groupBy("id", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(F.col("word") + F.col("words")).alias("end"), F.max((place != F.col("head")).cast("int")).alias("later"))
     runs = runs.select("id", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), F.col("m.head.id").alias("class_id"), F.col("m.head.word").alias("class_word"), (F.col("later") == 1).alias("removed"))
-    # a run inside one paragraph that is found already adds nothing
+    # a run inside one paragraph that is removed already adds nothing
     inside = runs.join(own, (F.col("id") == F.col("fid")) & (F.col("word") >= F.col("fw")) & (F.col("word") + F.col("words") <= F.col("fw") + F.col("fn")), "left_anti")
     out = found.unionByName(inside)
     return out.withColumnRenamed("id", key)
