@@ -118,3 +118,15 @@ def test_a_passage_in_the_first_of_some_paragraphs(spark):
     got = s.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["removed"]) for r in got if r["near"]} == {(5, False), (9, True)}
     assert any(r["doc_id"] == 5 and r["removed"] and r["word"] < 130 and r["word"] + r["words"] > 70 for r in got)
+
+
+def test_shared_stretches_are_spanned_in_full(spark):
+    """Rows cover every word of 50 or more that documents share, and no
+    others."""
+    sizes = [50, 55, 70, 100, 200, 400]
+    passages = [prose(n, 9000 + n) for n in sizes]
+    rows = [(10 * k + j, " ".join(prose(30 + 17 * j + k, 500 + 10 * k + j) + p + prose(41, 600 + 10 * k + j))) for k, p in enumerate(passages) for j in (0, 1)]
+    got = s.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(10 * k + j, 30 + 17 * j + k, n) for k, n in enumerate(sizes) for j in (0, 1)}
+    assert {(r["doc_id"], r["word"], r["words"]) for r in got} == want
+    assert all(r["class_id"] == r["doc_id"] // 10 * 10 and r["class_word"] == 30 + r["class_id"] // 10 and r["removed"] == (r["doc_id"] % 10 == 1) for r in got)

@@ -56,6 +56,20 @@ def _weighted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(mix64(np.add.reduceat(x * weight, first - first[0])) for x in (own, mix64(own ^ OTHER)))
 
 
+def _passage_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of the LEAST words that begin at each word; h: hashes of words."""
+    v = np.zeros(len(h), np.uint64)
+    for k in range(LEAST):
+        v *= POLY
+        v[: len(h) - k] += h[k:]
+    return mix64(v)
+
+
+def _passage_digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest, as two arrays, of the passages that begin at words `at`."""
+    return _passage_hashes(h)[at], _passage_hashes(mix64(h ^ OTHER))[at]
+
+
 def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, d1, d2) of the kept passages of LEAST words. text_ends: for each
     word, where its text ends; text_first: where texts begin. Passages stay
@@ -64,11 +78,7 @@ def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray)
     valid = at + LEAST <= text_ends
     if not valid.any():
         return at[:0], h[:0], h[:0]
-    v = np.zeros(len(h), np.uint64)
-    for k in range(LEAST):
-        v *= POLY
-        v[: len(h) - k] += h[k:]
-    v = np.where(valid, mix64(v), np.uint64(2**64 - 1))
+    v = np.where(valid, _passage_hashes(h), np.uint64(2**64 - 1))
     picked = [at[:0]]
     for a in range(0, len(v) - WINDOW + 1, 1 << 18):
         part = v[a : a + (1 << 18) + WINDOW - 1]
@@ -215,6 +225,31 @@ def _linked_within(members: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, on & first & _alike(F.col("x.shingles"), F.col("y.shingles"), similarity)).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
 
 
+def _around(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, word, d1, d2) of every passage of LEAST words that begins less than
+    WINDOW words from one of `hits` (id, word)."""
+    places = hits.groupBy("id").agg(F.sort_array(F.collect_set("word")).alias("places")).withColumnRenamed("id", "hit_id")
+    d = join_bounded(docs, stash(places, "substring-hits"), F.col("id") == F.col("hit_id"), most=50_000).select("id", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            for i, data, places in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), batch.column("places")):
+                near = places.values.to_numpy()
+                for before, repeated, part in _sections(data):
+                    raw = np.frombuffer(part.translate(LOWER), np.uint8)
+                    h = word_hashes(raw, word_starts(raw))
+                    # what lies in the repeated words alone was in the part before
+                    at = np.arange(max(0, repeated - LEAST + 1), len(h) - LEAST + 1)
+                    k = np.searchsorted(near, at + before)
+                    gap = np.minimum(np.abs(near[np.minimum(k, len(near) - 1)] - at - before), np.abs(at + before - near[np.maximum(k - 1, 0)]))
+                    at = at[gap < WINDOW]
+                    if len(at):
+                        d1, d2 = _passage_digests(h, at)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int64)), pa.array(at + before), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["id", "word", "d1", "d2"])
+
+    return d.mapInArrow(run, "id long, word long, d1 long, d2 long")
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per repeated passage: key, word and words (where it stands in the
     text, by words), near (a paragraph found by MinHash) or not, class_id and
@@ -231,9 +266,11 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Passages that repeat inside otherwise different paragraphs, or over several
     lines, are found by kept passages of 20 words (see WINDOW): of 50 shared
-    words in a row, one at least is kept in both texts. A row spans the kept
-    passages that repeat and overlap or touch; it is left out where it lies in a
-    paragraph that is removed.
+    words in a row, one at least is kept in both texts, and every place of the
+    shared words is less than WINDOW words from one. So all passages that near a
+    kept one that repeats are compared again, and a row spans those of them that
+    repeat and overlap or touch: a stretch of 50 words or more in full. It is
+    left out where it lies in a paragraph that is removed.
 
     Null and empty texts and rows with a null key have no passages; rows with an
     equal key and text repeat each other only if the text repeats within itself;
@@ -271,10 +308,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = join_bounded(lines.select("id", "word", "words", "d1"), label, F.col("d1") == F.col("label")).select("id", "word", "words", F.lit(True).alias("near"), F.col("head.id").alias("class_id"), F.col("head.word").alias("class_word"), (place != F.col("head")).alias("removed"))
     found = stash(found.distinct(), "substring-paragraphs")
 
-    pieces = units.where("not line").select("id", "word", "words", "d1", "d2")
-    twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
-    # written first: a join right above the grouping could not split a hot passage
-    hit = pieces.join(stash(twice, "substring-twice"), ["d1", "d2"]).select("id", "word", "words", "head").distinct()
+    def repeats(pieces: DataFrame, tag: str) -> DataFrame:
+        twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
+        # written first: a join right above the grouping could not split a hot passage
+        return pieces.join(stash(twice, f"substring-twice-{tag}"), ["d1", "d2"]).select("id", "word", "head").distinct()
+
+    hits = repeats(units.where("not line").select("id", "word", "d1", "d2"), "kept")
+    around = stash(_around(d, hits), "substring-around")
+    hit = repeats(around, "all").withColumn("words", F.lit(LEAST))
     own = found.where("removed").select(F.col("id").alias("fid"), F.col("word").alias("fw"), F.col("words").alias("fn"))
     hit = stash(hit, "substring-pieces")
     # runs of repeated passages that overlap or touch, within a document
