@@ -130,3 +130,13 @@ def test_shared_stretches_are_spanned_in_full(spark):
     want = {(10 * k + j, 30 + 17 * j + k, n) for k, n in enumerate(sizes) for j in (0, 1)}
     assert {(r["doc_id"], r["word"], r["words"]) for r in got} == want
     assert all(r["class_id"] == r["doc_id"] // 10 * 10 and r["class_word"] == 30 + r["class_id"] // 10 and r["removed"] == (r["doc_id"] % 10 == 1) for r in got)
+
+
+def test_runs_keep_each_first_document(spark):
+    """A document that shares words with an earlier one and, overlapping them,
+    words with a later one: a row for each, and one first copy stays."""
+    shared = prose(175, 8001)
+    rows = [(1, " ".join(prose(40, 8002) + shared[:100])), (2, " ".join(shared + prose(60, 8003))), (3, " ".join(prose(50, 8004) + shared[75:]))]
+    got = {(r["doc_id"], r["word"], r["words"], r["class_id"], r["class_word"], r["removed"]) for r in s.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {(1, 40, 100, 1, 40, False), (2, 81, 94, 2, 81, False)}
+    assert got == first | {(2, 0, 100, 1, 40, True), (3, 50, 25, 1, 115, True), (3, 56, 94, 2, 81, True)}

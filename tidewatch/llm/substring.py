@@ -270,7 +270,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared words is less than WINDOW words from one. So all passages that near a
     kept one that repeats are compared again, and a row spans those of them that
     repeat and overlap or touch: a stretch of 50 words or more in full. It is
-    left out where it lies in a paragraph that is removed.
+    left out where it lies in a paragraph that is removed. Passages whose first
+    copies stand in different documents make rows of their own, as do first
+    copies; such rows of a document can overlap, and a word is a later copy's if
+    any removed row spans it.
 
     Null and empty texts and rows with a null key have no passages; rows with an
     equal key and text repeat each other only if the text repeats within itself;
@@ -318,11 +321,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hit = repeats(around, "all").withColumn("words", F.lit(LEAST))
     own = found.where("removed").select(F.col("id").alias("fid"), F.col("word").alias("fw"), F.col("words").alias("fn"))
     hit = stash(hit, "substring-pieces")
-    # runs of repeated passages that overlap or touch, within a document
-    order = Window.partitionBy("id").orderBy("word")
+    # runs of repeated passages that overlap or touch, within a document: one for
+    # each document of their first copies, and first copies apart from later ones
+    hit = hit.withColumn("later", place != F.col("head"))
+    order = Window.partitionBy("id", "head.id", "later").orderBy("word")
     runs = hit.withColumn("new", F.coalesce((F.lag(F.col("word") + F.col("words")).over(order) < F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("id", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(F.col("word") + F.col("words")).alias("end"), F.max((place != F.col("head")).cast("int")).alias("later"))
-    runs = runs.select("id", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), F.col("m.head.id").alias("class_id"), F.col("m.head.word").alias("class_word"), (F.col("later") == 1).alias("removed"))
+    runs = runs.groupBy("id", F.col("head.id").alias("class_id"), "later", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(F.col("word") + F.col("words")).alias("end"))
+    runs = runs.select("id", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), "class_id", F.col("m.head.word").alias("class_word"), F.col("later").alias("removed"))
     # a run inside one paragraph that is removed already adds nothing
     inside = runs.join(own, (F.col("id") == F.col("fid")) & (F.col("word") >= F.col("fw")) & (F.col("word") + F.col("words") <= F.col("fw") + F.col("fn")), "left_anti")
     out = found.unionByName(inside)
