@@ -314,7 +314,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def repeats(pieces: DataFrame, tag: str) -> DataFrame:
         twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
         # written first: a join right above the grouping could not split a hot passage
-        return pieces.join(stash(twice, f"substring-twice-{tag}"), ["d1", "d2"]).select("id", "word", "head").distinct()
+        return pieces.join(stash(twice, f"substring-twice-{tag}"), ["d1", "d2"]).select("id", "word", "head")
 
     hits = repeats(units.where("not line").select("id", "word", "d1", "d2"), "kept")
     around = stash(_around(d, hits), "substring-around")
