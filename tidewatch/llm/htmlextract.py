@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -12,40 +13,122 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object select option button".split())
+#: Comments, declarations and tags. As in HTML, a quote opens a value only right
+#: after an equals sign; a quoted value that never ends is taken as unquoted.
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)(>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: Elements whose content isn't text of the page.
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that don't break a line of text and don't show in a tag path.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements whose text is not the article's, and those that close an open p.
-AWAY = frozenset("nav footer aside form head dialog menu header".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Regions that aren't the article by their element; a header is only outside one.
+AWAY = frozenset("nav footer aside form dialog menu head svg math object select button datalist".split())
+MAIN = frozenset("article main".split())
+HEADINGS = {f"h{i}": i for i in range(1, 7)}
+#: Elements that hold a container's text; what holds them is the container.
+TEXTUAL = frozenset("p li ul ol dl dt dd table caption thead tbody tfoot tr td th figure figcaption blockquote pre details summary h1 h2 h3 h4 h5 h6 hgroup address center".split())
+UNMARKED = TEXTUAL - {"ul", "ol", "dl", "table", "figure"} | {"html", "body"}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+P_STOPS = ("article", "div", "section", "td", "li", "body")
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
-LABEL = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-#: Words of class, id or role attributes that mark what is not the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs crumbs pager pagination toc footer foot copyright legal header masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies contentinfo complementary search skip".split())
-MAIN = frozenset("article main".split())
-MARKS_OF_MAIN = frozenset("article main content post entry story body text".split())
+STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select", "datalist")}
+#: Last words of a container's class, id or role that lower its paths' scores:
+#: a lot for what readers know as not the article, less for what may be.
+HARD = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login sidebar nav navbar navigation menu menus breadcrumb breadcrumbs pagination footer masthead comment comments commentlist disqus respond replies contentinfo complementary foot".split())
+SOFT = frozenset("share sharing social related recommended recommendations widget widgets tags legal copyright alert rail toolbar topbar search skip pager toc meta reply".split())
+#: First words of a class that tell of a topic or a state, not of a region.
+STATES = frozenset("has with without no is js tag category cat topic term type format status author".split())
+#: Words of a class that say nothing about the content.
+PLAIN = frozenset("box block list item items wrap wrapper container area section inner outer unit slot bar panel group row col column body content top bottom left right links posts".split())
+FACTOR = {"hard": 0.03, "soft": 0.3}
 PUNCTUATION = re.compile(r"[,.;:!?，。；：！？、]")
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+KERNEL /= KERNEL.sum()
+
+
+@dataclass
+class Paths:
+    """The tag paths of a page as a tree: parent, tag and label (tag and class
+    names, digits left out) by number; path 0 is the root."""
+
+    parent: list = field(default_factory=lambda: [0])
+    tag: list = field(default_factory=lambda: [""])
+    away: list = field(default_factory=lambda: [False])
+    main: list = field(default_factory=lambda: [False])
+    factor: list = field(default_factory=lambda: [1.0])
+    holder: list = field(default_factory=lambda: [0])
+    number: dict = field(default_factory=dict)
+
+    def child(self, at: int, tag: str, label: str, away: bool, factor: float) -> int:
+        key = (at, label, away, factor)
+        got = self.number.get(key)
+        if got is None:
+            got = self.number[key] = len(self.parent)
+            self.parent.append(at)
+            self.tag.append(tag)
+            self.away.append(self.away[at] or away)
+            self.main.append(self.main[at] or tag in MAIN)
+            self.factor.append(min(self.factor[at], factor))
+            self.holder.append(self.holder[at] if tag in TEXTUAL else got)
+        return got
+
+    def spans(self) -> tuple[list[int], list[int]]:
+        """Each path's place in a walk of the tree, and that of its last descendant."""
+        below: list[list[int]] = [[] for _ in self.parent]
+        for p in range(1, len(self.parent)):
+            below[self.parent[p]].append(p)
+        first, walk = [0] * len(below), [0]
+        order = []
+        while walk:
+            p = walk.pop()
+            first[p] = len(order)
+            order.append(p)
+            walk += below[p]
+        last = first[:]
+        for p in reversed(order[1:]):
+            last[self.parent[p]] = max(last[self.parent[p]], last[p])
+        return first, last
+
+
+@dataclass
+class Block:
+    """Text between tags that break the line: its path and its characters, all
+    and within links."""
+
+    path: int
+    text: str
+    linked: int
+
 
+def _attributes(source: str) -> dict[str, str]:
+    return {k.lower(): v.strip("\"'") for k, v in reversed(ATTRIBUTE.findall(source))}
 
-def _words(attributes: str) -> set[str]:
-    names = [x for m in LABEL.findall(attributes) for x in m.strip("\"'").lower().split()]
-    return {w for x in names if not x.startswith(("has-", "with-", "no-", "is-", "js-")) for w in re.split(r"[^a-z0-9]+", x) if w}
 
+def _mark(names: list[str], main: bool) -> float:
+    """The least factor of the class names: of the last word that isn't plain.
+    A header is one of the page outside the article only."""
+    least = 1.0
+    for name in names:
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        while len(words) > 1 and words[-1] in PLAIN:
+            words.pop()
+        if words and words[0] not in STATES and not {"with", "no", "without"} & set(words):
+            soft = words[-1] in SOFT or words[-1] == "header" and not main
+            least = min(least, FACTOR["hard"] if words[-1] in HARD else FACTOR["soft"] if soft else 1.0)
+    return least
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """(tag path, marked, text) of each block of text, in page order. A block is
-    what stands between tags that break the line; inline elements don't. Paths
-    go from the root to the block's element and name an element by its tag and
-    the words of its class. marked: an ancestor is known not to be article
-    text."""
-    out: list = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label, marked
+
+def blocks(html: str) -> tuple[Paths, list[Block]]:
+    """The blocks of text in page order, and their paths. A block is what stands
+    between tags that break the line; inline elements don't. Every tag costs the
+    same however deep it stands."""
+    paths, out = Paths(), []
+    stack: list[tuple[str, int]] = []  # tag, path
+    opened: dict[str, list[int]] = {}  # tag: its places in the stack
     held: list[str] = []
+    linked: list[str] = []
+    link = -1  # height of the stack where a link is open
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -53,127 +136,171 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str]]:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(x[1] for x in stack), bool(stack) and stack[-1][2], text))
+                out.append(Block(stack[-1][1] if stack else 0, text, min(len(text), sum(len(" ".join(unescape(x).split())) for x in linked))))
+        linked.clear()
+
+    def say(text: str) -> None:
+        held.append(text)
+        if link >= 0:
+            linked.append(text)
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=-1)
 
     def close(names: tuple[str, ...], stops: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in stops:
-                return
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
+        nonlocal link
+        i = last(names)
+        if i < 0 or i < last(stops):
+            return
+        flush()
+        while len(stack) > i:
+            opened[stack.pop()[0]].pop()
+        if link > len(stack):
+            link = -1
 
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
             tail = html[at:]
-            held.append(tail[: cut] if (cut := _unfinished(tail)) >= 0 else tail)
+            say(tail[: cut.start()] if (cut := re.search(r"</?\Z", tail)) else tail)
             break
         if m.start() > at:
-            held.append(html[at : m.start()])
+            say(html[at : m.start()])
         at = m.end()
-        name = m[1]
+        name = m[2]
         if name is None:
             continue
-        if not m[3]:  # the page ends within a tag
+        if not m[4]:  # the page ends within a tag
             break
         name = name.lower()
-        if html[m.start() + 1] == "/":
-            if name in INLINE:
-                continue
-            if name == "br":
+        if m[1]:
+            if name == "a":
+                link = -1
+            elif name == "br":
                 held.append("\n")
-            elif name not in VOID:
+            elif name not in VOID and name not in INLINE:
                 close((name,))
             continue
         if name in RAW:
-            if name not in ("button", "select", "option"):
-                flush()
-            if not m[2].endswith("/"):
+            flush()
+            if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
-                if end is None:
-                    at = n
-                else:
-                    gt = html.find(">", end.start())
-                    at = n if gt < 0 else gt + 1
-            held.append(" ")
+                gt = html.find(">", end.start()) if end else -1
+                at = n if gt < 0 else gt + 1
             continue
         if name in VOID:
-            held.append("\n" if name in ("br", "hr") else "")
+            if name == "hr":
+                close(("p",), P_STOPS)
+                flush()
+            held.append("\n" if name == "br" else "")
+            continue
+        if name == "a":
+            link = len(stack)
             continue
         if name in INLINE:
             continue
         if name in CLOSES_P:
-            close(("p",), ("article", "div", "section", "td", "li", "body"))
+            close(("p",), P_STOPS)
         if name in SAME:
             close(SAME[name], STOP.get(name, ()))
         flush()
-        words = _words(m[2]) if "=" in m[2] else set()
-        inside = {x[0] for x in stack}
-        away = name in AWAY and not (name == "header" and inside & MAIN)
-        marks = MARKS - {"header", "head"} if inside & MAIN else MARKS
-        marked = bool(stack) and stack[-1][2] or away or bool(words & marks and name not in ("html", "body") and not (words & MARKS_OF_MAIN and name in MAIN)) or bool(m[2] and HIDDEN.search(m[2]))
-        label = name + "".join(f".{w}" for w in sorted(words)[:4])
-        if m[2].endswith("/"):
+        if m[3].endswith("/") and "=" not in m[3][-2:]:
             continue
-        stack.append((name, label, marked))
+        top = stack[-1][1] if stack else 0
+        away, factor, label = name in AWAY or name == "header" and not paths.main[top], 1.0, name
+        if m[3] and (given := _attributes(m[3])):
+            away |= "hidden" in given or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", "")) is not None
+            if name not in UNMARKED:
+                factor = _mark(" ".join(given.get(x, "") for x in ("class", "role", "id")).lower().split(), paths.main[top])
+            label = ".".join([name, *sorted({re.sub(r"\d+", "", x) for x in given.get("class", "").split()} - {""})])
+        opened.setdefault(name, []).append(len(stack))
+        stack.append((name, paths.child(top, name, label, away, factor)))
     flush()
-    return out
+    return paths, out
 
 
-def _unfinished(tail: str) -> int:
-    """Where a tag begins that the page's end cuts off, -1 if none."""
-    cut = re.search(r"<(?:/?[a-zA-Z][^>]*|/?)\Z", tail)
-    return cut.start() if cut else -1
+def path_scores(paths: Paths, found: list[Block]) -> dict[int, float]:
+    """The score of each tag path, 0 to 1.
 
+    Per path: characters a block and punctuation marks a block, each brought to
+    0..1 by x / (x + typical). The ratios are spread to the blocks and smoothed
+    over neighbours in page order; both, fused as a geometric mean, are averaged
+    by path. Links, and marks of the containers, lower a score; so does standing
+    outside the page's article or main element."""
+    path = np.array([b.path for b in found])
+    size = np.array([len(b.text) for b in found], float)
+    dots = np.array([len(PUNCTUATION.findall(b.text)) for b in found], float)
+    linked = np.array([b.linked for b in found], float)
+    blocks_of = np.maximum(np.bincount(path), 1)
+    mean = lambda x: np.bincount(path, x) / blocks_of
+    chars, marks = mean(size), mean(dots)
+    ratio = (chars / (chars + 80) * (0.25 + marks) / (1 + marks))[path]
+    smooth = np.convolve(np.pad(ratio, 2, mode="edge"), KERNEL, "valid")
+    fused = mean(np.sqrt(ratio * smooth))
+    free = 1 - mean(linked) / np.maximum(chars, 1)
+    there = np.unique(path).tolist()
+    article = any(paths.main[p] for p in there)
+    return {p: float(fused[p] * free[p] ** 2) * paths.factor[p] * (0.3 if article and not paths.main[p] else 1) for p in there}
 
-def select(found: list[tuple[tuple[str, ...], bool, str]], strength: float = 0.5) -> list[str]:
+
+def select(paths: Paths, every: list[Block], strength: float = 0.3) -> list[str]:
     """Texts of the content blocks.
 
-    For every tag path: characters a block and punctuation marks a block; both
-    are smoothed over neighbouring blocks in page order, fused as a product and
-    averaged by path. Paths above `strength` standard deviations, or that share
-    the container of most of the selected text (the article or main element
-    where there is one), are content. Marked blocks take no part."""
-    kept = [(p, t) for p, marked, t in found if not marked]
-    if not kept:
+    A path is content where its score reaches `strength` times the mean score of
+    a character of the page. Elements of a container's text (paragraphs, items,
+    cells) count with at least 0.6 of the mean score of a character in their
+    container, less their links, so a short one stays with its like; a heading
+    stays where its section, up to the next heading of its rank, holds content.
+    Regions that aren't the article by their element take no part, and paths of
+    containers marked as such set no limit: they are content only as long prose on
+    a page that has nothing better."""
+    found = [b for b in every if not paths.away[b.path]]
+    if not found:
         return []
-    paths: dict[tuple, list[int]] = {}
-    for i, (p, _) in enumerate(kept):
-        paths.setdefault(p, []).append(i)
-    size = np.array([len(t) for _, t in kept], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for _, t in kept], float)
-    ratio, dots = np.zeros(len(kept)), np.zeros(len(kept))
-    for ids in paths.values():
-        ratio[ids], dots[ids] = size[ids].mean(), marks[ids].mean()
-    smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), KERNEL / KERNEL.sum(), "valid")
-    fused = smooth(ratio) * (1 + smooth(dots))
-    score = {p: fused[ids].mean() for p, ids in paths.items()}
-    limit = strength * np.std(list(score.values())) if len(score) > 1 else 0
-    chosen = {p for p, s in score.items() if s >= limit} or {max(score, key=score.get)}
-    weight: dict[tuple, float] = {}
-    for p in chosen:
-        total = size[paths[p]].sum()
-        for k in range(1, len(p) + 1):
-            tag = p[k - 1].split(".")[0]
-            if tag in MAIN or set(p[k - 1].split(".")[1:]) & MARKS_OF_MAIN:
-                weight[p[:k]] = weight.get(p[:k], 0) + total
-    everything = sum(size[paths[p]].sum() for p in chosen)
-    holders = [p for p, w in weight.items() if w >= 0.5 * everything] or list(weight)
-    articles = {p for p in paths if any(x.split(".")[0] in MAIN for x in p)}
-    if holders or articles:
-        if holders:
-            root = max(holders, key=lambda p: (weight[p] >= 0.5 * everything, p[-1].split(".")[0] == "article", len(p) if weight[p] >= 0.5 * everything else weight[p]))
-        else:
-            p = max(articles, key=lambda p: size[paths[p]].sum())
-            root = p[: 1 + max(i for i, x in enumerate(p) if x.split(".")[0] in MAIN)]
-        return [t for p, t in kept if p[: len(root)] == root]
-    return [t for p, t in kept if p in chosen or (p[:-1] in {c[:-1] for c in chosen} and re.match(r"h[1-6]|p|li|dd|dt|blockquote|pre", p[-1] if p else ""))]
+    score = path_scores(paths, found)
+    size: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for b in found:
+        size[b.path] = size.get(b.path, 0) + len(b.text)
+        links[b.path] = links.get(b.path, 0) + b.linked
+    hard = {p for p in score if paths.factor[p] <= FACTOR["hard"]}
+    usual = [p for p in score if p not in hard]
+    total = sum(size[p] for p in usual)
+    limit = strength * sum(score[p] * size[p] for p in usual) / total if total else 0
+    least = 0.5 * FACTOR["hard"]
+    group: dict[int, list[float]] = {}
+    for p in score:
+        g = group.setdefault(paths.holder[p], [0.0, 0.0])
+        g[0] += score[p] * size[p]
+        g[1] += size[p]
+    chosen = set()
+    for p, s in score.items():
+        tag = paths.tag[p]
+        if tag in TEXTUAL and tag not in HEADINGS:
+            g = group[paths.holder[p]]
+            s = max(s, 0.6 * g[0] / g[1] * (1 - links[p] / size[p]) ** 2)
+        if s > 0 and s >= (max(limit, least) if p in hard else limit):
+            chosen.add(p)
+    keep = [b.path in chosen for b in found]
+    first, last = paths.spans()
+    content = len(found)
+    heads = dict.fromkeys(range(1, 7), len(found))  # the next heading of a rank or above
+    for i in range(len(found) - 1, -1, -1):
+        p = found[i].path
+        rank = HEADINGS.get(paths.tag[p])
+        if not rank:
+            content = i if keep[i] else content
+            continue
+        if content < heads[rank]:
+            home = paths.holder[p]
+            keep[i] |= first[home] <= first[found[content].path] <= last[home]
+        for r in range(rank, 7):
+            heads[r] = i
+    return [b.text for b, k in zip(found, keep) if k]
 
 
 def main_text(html: str | None) -> str:
-    return " ".join(select(blocks(html or "")))
+    return " ".join(select(*blocks(html or "")))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
