@@ -1,4 +1,6 @@
 import hashlib
+import re
+from collections import Counter
 
 from compare import DATA
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ def test_insert_and_delete(spark):
 
 
 def check(d):
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in d.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    rows = [(r["doc_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))]
     want = []
     for i, (key, text) in enumerate(rows):
         k, other = len(text) // 2, rows[(i + 1) % len(rows)][1]
@@ -63,3 +66,42 @@ def test_one_row(spark):
 def test_no_python(spark, odd):
     plan = m.op8(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def pieces(text):
+    return Counter(p for p in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", text) if p)
+
+
+def test_fingerprints_and_likeness_by_brute_force(spark, documents):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in documents.collect())
+    direct = {}
+    edited = {}
+    for i, (key, text) in enumerate(rows):
+        k, other = len(text) // 2, rows[(i + 1) % len(rows)][1]
+        edited[key] = text[: len(text) - k] + other[:k]
+    for name, texts in (("own", dict(rows)), ("edited", edited)):
+        d = spark.createDataFrame(list(texts.items()), "i long, text string")
+        direct[name] = {r["i"]: r["h"] for r in m.fingerprint_texts(d, ["i"], {"text": "v"}).select("i", m.as_hex(F.col("v")).alias("h")).collect()}
+    following = {key: rows[(i + 1) % len(rows)][1] for i, (key, _) in enumerate(rows)}
+    for r in m.op8(documents).collect():
+        key = r["doc_id"]
+        # the edited text's is got by deletion and insertion, and equals its own
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (direct["own"][key], direct["edited"][key])
+        a = pieces(dict(rows)[key])
+        for got, b in ((r["near_edited"], pieces(edited[key])), (r["near_next"], pieces(following[key]))):
+            n, shared = a.total() + b.total(), (a & b).total()
+            most = max(max(a.values(), default=1), max(b.values(), default=1))
+            if a == b:
+                assert got == 1
+            elif most == 1:
+                assert abs(got - 2 * shared / n) <= 6 * m.likeness_error(a.total(), b.total(), shared) + 0.001
+
+
+def test_places_ascend_and_hot_keys_are_spread(spark):
+    d = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 77).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string"), F.lit(".")).alias("text"))
+    got = m.with_next(d, rows=100, cells=50).select("bucket", "rn", "doc_id", F.xxhash64("text").alias("h"), "text", "next_text")
+    size = got.groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert size < 1500
+    rows = [(r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"], r["next_text"], r["bucket"]) for r in got.collect()]
+    assert len(rows) == 20_000 and all(x[5] <= y[5] for x, y in zip(sorted(rows), sorted(rows)[1:]))
+    assert {x[3]: x[4] for x in rows} == {x[3]: y[3] for x, y in zip(sorted(rows), sorted(rows)[1:] + sorted(rows)[:1])}
