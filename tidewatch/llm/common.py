@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space that separates words: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,10 +18,13 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the session names none (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where
+    the session names none, a local session (one machine) gets a temporary one,
+    and a cluster's is refused: its executors couldn't read a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -36,16 +39,18 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a slice holds about `most` bytes of a text column,
-    or one row; bounds a worker's memory whatever the length of the texts."""
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that a slice holds about `most` bytes of a text column (or
+    values of a list column) and `rows` rows at most, or one row; bounds a
+    worker's memory whatever the length of the texts."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        lengths = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_pylist()
+        held_by = batch.column(column)
+        lengths = (pc.list_value_length(held_by) if pa.types.is_list(held_by.type) or pa.types.is_large_list(held_by.type) else pc.binary_length(held_by.cast(pa.large_binary()))).fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
-            if i > start and held + n > most:
+            if i > start and (held + n > most or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
@@ -71,11 +76,13 @@ def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", most: int = 1_000_000) -> DataFrame:
-    """Joins a table that is written already (see stash) to a big one. Its rows
-    are counted, and it is broadcast where they are at most `most` short rows;
-    beyond that both sides are shuffled."""
-    return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
+def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: Column | int = 64, most: int = 16 << 20) -> DataFrame:
+    """Joins a table that is written already (see stash) to a big one. Its bytes
+    are summed (row_bytes: of a row, as a number or by its columns), and it is
+    broadcast where they are at most `most`; beyond that both sides are
+    shuffled."""
+    size = small.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= most else small, on, how)
 
 
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

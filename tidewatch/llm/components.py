@@ -14,9 +14,10 @@ def connected_components(edges: DataFrame, tag: str = "components", rounds: int
     empty one.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each is a
-    grouped minimum, combined on the map side, and an equi-join whose hot keys
-    AQE splits. Every round is written to the shared folder, so an executor
-    that goes takes no lineage with it.
+    grouped minimum, combined on the map side, and an equi-join. The minima are
+    written before they are joined: then both sides of the join come straight
+    from an exchange, and AQE can split a hot node. Every round is written to
+    the shared folder, so an executor that goes takes no lineage with it.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = stash(e, tag)
@@ -27,9 +28,9 @@ def connected_components(edges: DataFrame, tag: str = "components", rounds: int
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
+        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), tag)
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), tag)
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stash(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), tag)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
