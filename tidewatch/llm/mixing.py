@@ -70,6 +70,19 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     d = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key), F.col(text)).alias("hash"))
     d = stash(d, "mix")
+    t = thresholds(d, weights, most)
+    out = d.join(t, F.col("source").eqNullSafe(F.col("s")))
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", _copies(most).alias("copies"))
+
+
+def _copies(most: int) -> Column:
+    return F.least(F.lit(most), F.col("whole") + (F.col("hash") < F.col("limit")).cast("int"))
+
+
+def thresholds(d: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(s, source_size, target, whole, limit), one row per source of d (source,
+    size, hash): its rows are taken `whole` times, and once more where their
+    hash is under `limit`; see mix."""
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(ratio + 1e-12), F.lit(most)).cast("int")
@@ -97,23 +110,24 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     over = F.col("got") + F.col("words") - F.col("budget") < F.col("budget") - F.col("got")
     limit = F.col("low") + F.when(over, F.lit(1 << (60 - BITS * LEVELS)).cast("long")).otherwise(F.lit(0).cast("long"))
     limit = F.when(F.col("budget") > 0, limit).otherwise(F.lit(0).cast("long"))
-    t = stash(t.select(F.col("source").alias("s"), "source_size", "target", "whole", limit.alias("limit")), "mix-limits")
-    out = d.join(t, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.least(F.lit(most), F.col("whole") + (F.col("hash") < F.col("limit")).cast("int"))
-    return out.select(F.col("id").alias(key), "size", "source_size", "target", copies.alias("copies"))
+    return stash(t.select(F.col("source").alias("s"), "source_size", "target", "whole", limit.alias("limit")), "mix-limits")
 
 
 def op1(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that share a
-    key are one document to the mix."""
-    m = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "mixed_id")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("key"))
-    joined = d.join(m, d["key"].eqNullSafe(m["mixed_id"]))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: a row's copies follow
+    from its source and its hash alone, so texts don't move; the table of
+    thresholds has one row per source, and Spark broadcasts it by its size.
+    Rows that share a source and a key have one hash and are taken together,
+    those with a null key by their text; see mix for the other cases."""
+    hash_, size = row_hash(F.col("doc_id"), F.col("text")), word_count(F.col("text"))
+    t = thresholds(stash(docs.select("source", size.alias("size"), hash_.alias("hash")), "mix"), weights, most)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("from"), hash_.alias("hash"))
+    taken = d.join(t, F.col("from").eqNullSafe(F.col("s"))).select("row", _copies(most).alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = r"""
