@@ -73,14 +73,16 @@ def read_header(data: bytes, at: int) -> Header | None:
 @dataclass
 class Stream:
     """What a stream holds. offsets: of each audio frame, in bytes from the
-    stream's start; with a constant number of samples a frame, offsets[i] is the
-    place of the sample i * samples. skipped: bytes that belong to no frame or
-    tag."""
+    stream's start; frames: where each one's main data begins and where it ends;
+    start: where the first frame begins, the table's if there is one. skipped:
+    bytes that belong to no frame or tag."""
 
     tags: dict = field(default_factory=dict)
     table: dict = field(default_factory=dict)
     offsets: list = field(default_factory=list)
     frames: list = field(default_factory=list)
+    start: int = -1
+    each: int = 0
     samples: int = 0
     hertz: int = 0
     bad_crc: int = 0
@@ -91,6 +93,33 @@ class Stream:
         """Exact, as samples and samples a second."""
         return self.samples, self.hertz
 
+    def seek(self, sample: int) -> int:
+        """Offset of the frame that holds a sample (all frames of a version have
+        the same number of samples); -1 beyond the end."""
+        i = sample // self.each if self.each else -1
+        return self.offsets[i] if 0 <= i < len(self.offsets) else -1
+
+    def table_agrees(self) -> bool:
+        """Whether a variable-bit-rate table is there and says what the frames
+        say: their number, the bytes from the table's frame to the last one's
+        end, and each seek point, to within its own unit and one frame."""
+        t, n = self.table, len(self.offsets)
+        if not t or not n or t.get("frames", n) != n:
+            return False
+        total = self.frames[-1][1] - self.start
+        if t.get("bytes", total) != total:
+            return False
+        most = max(b - a for a, (_, b) in zip(self.offsets, self.frames))
+        if "toc" in t:
+            return all(abs(x * total / 256 - (self.offsets[n * i // 100] - self.start)) <= total / 256 + most for i, x in enumerate(t["toc"]))
+        reach, unit = self.offsets[0], t.get("scale", 1) + most
+        for i, x in enumerate(t.get("entries", ())):
+            reach += x
+            k = (i + 1) * t["frames_per_entry"]
+            if abs(reach - (self.offsets[k] if k < n else self.frames[-1][1])) > unit * (i + 1):
+                return False
+        return True
+
 
 def _tag_size(data: bytes, at: int) -> int:
     a, b, c, d = data[at + 6 : at + 10]
@@ -135,8 +164,11 @@ def _variable_rate_table(data: bytes, at: int, h: Header) -> dict:
             return out
     v = at + 36
     if data[v : v + 4] == b"VBRI" and v + 26 <= len(data):
-        size, frames = struct.unpack(">II", data[v + 10 : v + 18])
-        return {"kind": "VBRI", "bytes": size, "frames": frames}
+        size, frames, count, scale, width, per_entry = struct.unpack(">IIHHHH", data[v + 10 : v + 26])
+        out = {"kind": "VBRI", "bytes": size, "frames": frames, "scale": scale, "frames_per_entry": per_entry}
+        if 1 <= width <= 4 and v + 26 + count * width <= at + h.size:
+            out["entries"] = [scale * int.from_bytes(data[q : q + width], "big") for q in range(v + 26, v + 26 + count * width, width)]
+        return out
     return {}
 
 
@@ -144,8 +176,8 @@ def read_stream(data: bytes) -> Stream:
     """Reads tags, then frames. A header counts where the next one follows it
     with the same version, sample rate and channels, or the data ends (up to an
     ID3v1 tag); elsewhere the reader moves on byte by byte to the next sync. The
-    first frame may be a table of a variable bit rate; it holds no audio. Never
-    raises on malformed data."""
+    first frame may be a table of a variable bit rate; it holds no audio, but
+    its checksum counts like others. Never raises on malformed data."""
     s = Stream()
     s.tags, at = read_tags(data)
     end = len(data)
@@ -169,19 +201,21 @@ def read_stream(data: bytes) -> Stream:
             at = nxt
             continue
         synced = True
+        body = at + 4
+        if h.guarded:
+            body += 2
+            s.bad_crc += crc16(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
         if first:
             first = False
+            s.start = at
             if table := _variable_rate_table(data, at, h):
                 s.table = table
                 at += h.size
                 continue
-        body = at + 4
-        if h.guarded:
-            body += 2
-            s.bad_crc += crc16(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
         s.offsets.append(at)
         s.frames.append((body + h.side, at + h.size))
         s.samples += h.samples
+        s.each = h.samples
         s.hertz = h.hertz
         at += h.size
     return s
@@ -232,8 +266,10 @@ def pad(data: bytes) -> bytes:
 
 
 def payload_of(data: bytes, s: Stream) -> bytes:
-    n = int(s.tags.get("TXXX:payload_bytes", "0"))
-    return b"".join(data[a:b] for a, b in s.frames)[:n]
+    """The frames' data up to the length in the payload's tag, or to its end.
+    Nothing where there is no such tag or it isn't a number in plain digits."""
+    n = s.tags.get("TXXX:payload_bytes", "")
+    return b"".join(data[a:b] for a, b in s.frames)[: int(n)] if n.isascii() and n.isdigit() and len(n) < 20 else b""
 
 
 def encode_media(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
@@ -255,8 +291,9 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """df without `media`, with what the stored bytes say: their length and
     digest, the payload's length, digest and the CRC-32 of its last 16 bytes;
     frames, samples and sample rate (the exact duration), frames with a wrong
-    checksum, bytes skipped, whether the table agrees with the frames, and the
-    frames' offsets. Null media counts as empty; malformed data gives what can
+    checksum, bytes skipped, whether the table agrees with the frames (see
+    Stream.table_agrees), and the frames' offsets, which are exact seek points.
+    Null media counts as empty; malformed data gives what can
     be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +303,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
                 data = data or b""
                 s = read_stream(data)
                 p = payload_of(data, s)
-                agrees = s.table.get("frames") == len(s.offsets)
+                agrees = s.table_agrees()
                 feature = f"frames={len(s.offsets)};samples={s.samples};hertz={s.hertz};bad_crc={s.bad_crc};skipped={s.skipped};table={'ok' if agrees else 'no'};last_offset={s.offsets[-1] if s.offsets else -1}"
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(s.offsets), s.samples, s.hertz, s.bad_crc, s.skipped, agrees, s.offsets, feature))
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != media]
@@ -286,4 +323,4 @@ SQL_KINDS = ("long", "string", "long", "long", "string", "long", "long", "long",
 
 def op4(docs: DataFrame) -> DataFrame:
     got = read_media(encode_media(docs.select("doc_id", "text")))
-    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "hertz")
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "hertz", "bad_crc", "table_agrees", "offsets")
