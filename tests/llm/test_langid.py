@@ -1,5 +1,8 @@
+from math import log
 from zlib import crc32
 
+import numpy as np
+import pytest
 from compare import DATA
 
 from tidewatch.llm import langid
@@ -47,3 +50,68 @@ def test_odd_rows(odd, clashing, nothing):
     out = langid.identified_documents(clashing)
     assert out.schema == clashing.schema and {r["doc_id"] for r in out.collect()} >= {1, 2, 7, 9}
     assert langid.op3(nothing).count() == 0 and langid.identified_documents(nothing).count() == 0
+
+
+def toy(languages):
+    """Languages that each like their own letters."""
+    rng = np.random.default_rng(3)
+    p = rng.random((langid.BUCKETS, languages)) * 0.2
+    for k in range(languages):
+        a = np.frombuffer(b" " + bytes([97 + 3 * k, 98 + 3 * k, 99 + 3 * k]) * 400 + b" ", np.uint8)
+        p[langid.gram_buckets(a)[1], k] += 400
+    return langid.Model([f"l{k}" for k in range(languages)], (p / p.sum(0) * langid.BUCKETS).astype(np.float32))
+
+
+def words(k, n):
+    return b" ".join([bytes([97 + 3 * k, 98 + 3 * k, 99 + 3 * k]) * 3] * n)
+
+
+def test_em_by_brute_force():
+    model = toy(3)
+    texts = [words(0, 30) + b" " + words(2, 10), words(1, 5), b"zzz yyy " + words(1, 40) + b" " + words(0, 13)]
+    which, bucket, count = langid.bags(texts)
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    share, ll = model.em(model.p[bucket], count.astype(np.float32), first, np.full((3, 3), 1 / 3))
+    for d in range(3):
+        grams = [(model.p[b].astype(float), int(c)) for w, b, c in zip(which, bucket, count) if w == d]
+        s = [1 / 3] * 3
+        for _ in range(langid.ROUNDS):
+            r = [0.0] * 3
+            for p, c in grams:
+                total = sum(x * y for x, y in zip(p, s))
+                r = [a + c * x * y / total for a, x, y in zip(r, p, s)]
+            new = [x / sum(r) for x in r]
+            still = max(abs(x - y) for x, y in zip(new, s)) <= langid.STILL
+            s = new
+            if still:
+                break
+        assert share[d] == pytest.approx(s, abs=1e-3)
+        assert ll[d] == pytest.approx(sum(c * log(sum(x * y for x, y in zip(p, s))) for p, c in grams), rel=1e-3)
+
+
+def test_six_languages_in_one_text_and_neighbours_dont_count():
+    model = toy(6)
+    text = b" ".join(words(k, 60) for k in range(6))
+    alone = model.infer([text])[0]
+    assert {x for x, _ in alone[2]} == set(model.languages) and alone[1] < 0.4
+    again = model.infer([words(0, 9), text, words(3, 40) + words(4, 50)])[1]
+    assert again[0] == alone[0] and again[1] == pytest.approx(alone[1]) and again[3] == pytest.approx(alone[3], rel=1e-5)
+
+
+def test_sets_by_brute_force():
+    """The chosen set is the best prefix of the ranking, by the penalised likelihood."""
+    model = toy(4)
+    for text in (words(0, 80), words(0, 80) + b" " + words(1, 60), words(2, 30) + b" " + words(0, 40) + b" " + words(3, 50), words(1, 2)):
+        which, bucket, count = langid.bags([text])
+        c, p = count.astype(np.float32), model.p[bucket]
+        share, _ = model.em(p, c, np.array([0]), np.full((1, 4), 1 / 4))
+        best = (c[:, None] * np.log(p)).sum(0).argmax()
+        order = np.argsort(-(share[0] + 2.0 * (np.arange(4) == best)), kind="stable")
+        penalty = (0.5 * log(c.sum() + 1) + 4) * langid.SHARE_OF_GRAMS
+        value = []
+        for k in range(1, 5):
+            inside = np.zeros((1, 4))
+            inside[0, order[:k]] = 1 / k
+            value.append(model.em(p, c, np.array([0]), inside)[1][0] - penalty * (k - 1))
+        k = int(np.argmax(value)) + 1
+        assert {x for x, _ in model.infer([text])[0][2]} == {model.languages[i] for i in order[:k]}

@@ -19,8 +19,9 @@ LETTER = np.full(256, 32, np.uint8)
 LETTER[97:123] = np.arange(97, 123)
 LETTER[65:91] = np.arange(97, 123)
 LETTER[128:] = np.arange(128, 256)
-#: Languages that a document's mixture holds at most, and EM rounds.
-MIXED, ROUNDS = 4, 6
+#: EM goes on until no share moves by more than this, or for so many rounds.
+STILL, ROUNDS = 1e-3, 100
+#: Grams of neighbouring letters overlap: so many count as one.
 SHARE_OF_GRAMS = 3.0
 
 
@@ -62,58 +63,77 @@ class Model:
     languages: list[str]
     p: np.ndarray
 
-    def em(self, p: np.ndarray, count: np.ndarray, starts: np.ndarray, share: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def em(self, p: np.ndarray, count: np.ndarray, starts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shares and log-likelihood of each document's mixture from the given
-        first shares; languages with share 0 stay out."""
-        for _ in range(rounds):
-            r = p * share[owner]
-            r *= (count / np.maximum(r.sum(1), 1e-30))[:, None]
-            s = np.add.reduceat(r, starts, axis=0)
-            share = s / s.sum(1, keepdims=True)
-        total = np.maximum((p * share[owner]).sum(1), 1e-30)
+        first shares; languages with share 0 stay out. Each document's rounds
+        end for itself, so its neighbours in a batch don't count."""
+        share = share.astype(np.float32)
+        lengths = np.diff(np.append(starts, len(p)))
+        open_ = np.arange(len(starts))
+        q, c, own = p, count, np.repeat(open_, lengths)
+        for _ in range(ROUNDS):
+            r = q * share[own]
+            r *= (c / np.maximum(r.sum(1), 1e-30))[:, None]
+            first = np.concatenate(([0], np.cumsum(lengths[open_])[:-1]))
+            s = np.add.reduceat(r, first, axis=0)
+            s /= s.sum(1, keepdims=True)
+            moved = np.abs(s - share[open_]).max(1) > STILL
+            share[open_] = s
+            if not moved.any():
+                break
+            if not moved.all():
+                rows = np.repeat(moved, lengths[open_])
+                q, c, own, open_ = q[rows], c[rows], own[rows], open_[moved]
+        total = np.maximum((p * share[np.repeat(np.arange(len(starts)), lengths)]).sum(1), 1e-30)
         return share, np.add.reduceat(count * np.log(total), starts)
 
-    def infer(self, texts: list[bytes | None]) -> list[tuple[str, float, list[tuple[str, float]]]]:
-        """(language, score, mixture) per text. EM estimates the shares of all
-        languages; score is that of the best. Then sets of the most likely
-        1, 2 ... languages are compared: a language must raise the
-        log-likelihood, counted per independent gram, by more than its penalty
-        (half the log of the number of grams, and 4). Ties go to the language
+    def infer(self, texts: list[bytes | None]) -> list[tuple[str, float, list[tuple[str, float]], float]]:
+        """(language, score, mixture, gain) per text. EM over all languages
+        ranks them. Then the sets of the first 1, 2 ... of them are compared, up
+        to all: a language must raise the log-likelihood, counted per
+        independent gram, by more than its penalty (half the log of the number
+        of grams, and 4). No set's likelihood is above that of all languages, so
+        sizes that it can't justify aren't tried. score is the best language's
+        share of the chosen mixture. gain: the mixture's log-likelihood, less
+        the penalties of languages beyond the first, less that of chance (all
+        grams alike), plus one penalty: below 0 only where chance explains the
+        text better by more than a language may cost. Ties go to the language
         that comes first."""
-        out = [("und", 0.0, [])] * len(texts)
+        out = [("und", 0.0, [], 0.0)] * len(texts)
         which, bucket, count = bags(texts)
         if not len(which) or not self.languages:
             return out
-        first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+        first = np.flatnonzero(np.diff(which, prepend=-1))
         docs = which[first]
         owner = np.repeat(np.arange(len(docs)), np.diff(np.append(first, len(which))))
+        at = np.arange(len(docs))
         p, c = self.p[bucket], count.astype(np.float32)
         n = np.add.reduceat(c, first)
         alone = np.add.reduceat(c[:, None] * np.log(p), first, axis=0)
-        share, full = self.em(p, c, first, np.full((len(docs), len(self.languages)), 1 / len(self.languages), np.float32), owner, ROUNDS)
+        share, full = self.em(p, c, first, np.full((len(docs), len(self.languages)), 1 / len(self.languages)))
         best = alone.argmax(1)
         rank = share + 2.0 * (np.arange(len(self.languages)) == best[:, None])
         order = np.argsort(-rank, axis=1, kind="stable")
         penalty = (0.5 * np.log(n + 1) + 4.0) * SHARE_OF_GRAMS
-        chosen, value = np.ones(len(docs), int), alone[np.arange(len(docs)), best]
+        chosen, value = np.ones(len(docs), int), alone[at, best]
         final = np.where(np.arange(len(self.languages)) == best[:, None], 1.0, 0.0)
-        mixed = np.flatnonzero(full - value > penalty)
-        if len(mixed) and len(self.languages) > 1:
+        for k in range(2, len(self.languages) + 1):
+            mixed = np.flatnonzero(full - value > penalty * (k - chosen))
+            if not len(mixed):
+                break
             rows = np.isin(owner, mixed)
-            sub_owner = np.searchsorted(mixed, owner[rows])
-            sub_first = np.flatnonzero(np.concatenate(([True], sub_owner[1:] != sub_owner[:-1])))
-            sp, sc = p[rows], c[rows]
-            for k in range(2, min(MIXED, len(self.languages)) + 1):
-                inside = np.zeros((len(mixed), len(self.languages)), np.float32)
-                np.put_along_axis(inside, order[mixed][:, :k], 1.0 / k, axis=1)
-                s, ll = self.em(sp, sc, sub_first, inside, sub_owner, ROUNDS)
-                gain = ll - value[mixed] > penalty[mixed] * (k - chosen[mixed])
-                for i in np.flatnonzero(gain):
-                    chosen[mixed[i]], value[mixed[i]], final[mixed[i]] = k, ll[i], s[i]
+            sub_first = np.flatnonzero(np.diff(owner[rows], prepend=-1))
+            inside = np.zeros((len(mixed), len(self.languages)))
+            np.put_along_axis(inside, order[mixed][:, :k], 1.0 / k, axis=1)
+            s, ll = self.em(p[rows], c[rows], sub_first, inside)
+            better = ll - value[mixed] > penalty[mixed] * (k - chosen[mixed])
+            took = mixed[better]
+            chosen[took], value[took], final[took] = k, ll[better], s[better]
+        gain = value + penalty * (1 - chosen)
         for j, d in enumerate(docs):
             top = int(final[j].argmax())
             parts = sorted(((self.languages[i], float(final[j, i])) for i in np.flatnonzero(final[j] > 0)), key=lambda x: (-x[1], x[0]))
-            out[d] = (self.languages[top], float(min(1.0, max(0.0, share[j, top]))), parts)
+            out[d] = (self.languages[top], float(min(1.0, max(0.0, final[j, top]))), parts, float(gain[j] + penalty[j]))
         return out
 
 
@@ -161,12 +181,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without `text`, with lang_pred, score and languages, an array of
-    struct(lang, share). `und`, 0 and an empty array where the text is null or
-    has no letter. Whole texts are read; rows are judged one by one, so there is
+    """docs without `text`, with lang_pred, score, languages (an array of
+    struct(lang, share)) and gain (see Model.infer). `und`, 0, an empty array and
+    0 where the text is null or has no letter. Whole texts are read; rows are judged one by one, so there is
     no shuffle. The model is as large as languages times buckets. Columns of
     these names are replaced."""
-    names = ("lang_pred", "score", "languages")
+    names = ("lang_pred", "score", "languages", "gain")
     kept = [c for c in docs.columns if c not in (text, *names)]
     d = docs.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col(text).rlike(r"\p{L}"), F.lower(F.col(text))).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -176,9 +196,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in small_batches(batches, "text"):
             got = shared.value.infer(as_bytes(batch.column("text")))
             mixtures = pa.array([[{"lang": x, "share": s} for x, s in g[2]] for g in got], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), mixtures], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), mixtures, pa.array([g[3] for g in got], pa.float64())], names=[*kept, *names])
 
-    schema = d.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "languages": F.array().cast("array<struct<lang:string,share:double>>")}).schema
+    schema = d.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "languages": F.array().cast("array<struct<lang:string,share:double>>"), "gain": F.lit(0.0)}).schema
     return d.mapInArrow(run, schema)
 
 
@@ -191,9 +211,12 @@ def op3(docs: DataFrame) -> DataFrame:
     return identify(d, fitted(docs)).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
-def identified_documents(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """docs without the rows whose language is undetermined, or whose best
-    language has a share under `least`."""
+def identified_documents(docs: DataFrame) -> DataFrame:
+    """docs without the rows whose language is undetermined (null text, no
+    letter), or whose grams no mixture of languages explains better than chance,
+    by the penalised likelihood. A table whose lang is all null teaches no
+    language, so nothing can be identified and no row stays. Rows are judged one
+    by one: repeated rows and null keys stay as they are."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole__"), "text")
-    got = identify(d, fitted(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    got = identify(d, fitted(docs)).where((F.col("lang_pred") != "und") & (F.col("gain") >= 0))
     return got.select("whole__.*")
