@@ -29,8 +29,7 @@ def test_held_out_labels_are_not_used(documents, labels):
     assert sorted(map(str, q.op7(documents, other).collect())) == sorted(map(str, q.op7(documents, labels).collect()))
 
 
-def test_gradient():
-    """The weights' gradient by differences, through one step of Adam's sign."""
+def test_it_learns_which_passage_decides():
     rng = np.random.default_rng(0)
     x, starts, y = rng.random((40, 6), np.float32), np.arange(0, 40, 4), (np.arange(10) % 2).astype(np.float32)
     x[y.repeat(4) == 1, 0] += 0.5
@@ -39,6 +38,45 @@ def test_gradient():
     assert ((p > 0.5) == (y == 1)).mean() >= 0.9
 
 
+def test_gradient_by_differences():
+    rng = np.random.default_rng(1)
+    x, starts, y = rng.random((23, 5)), np.array([0, 4, 5, 11, 20]), np.array([1.0, 0, 1, 1, 0])
+    w = {"w0": rng.standard_normal((5, 4)), "b0": rng.standard_normal(4), "v": rng.standard_normal((4, 3)), "u": rng.standard_normal((4, 3)), "w": rng.standard_normal(3), "c": rng.standard_normal(4), "b": np.zeros(1)}
+    m = q.Model(x.mean(0), x.std(0), w)
+
+    def loss():
+        p = m.forward(x, starts)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    got = q.gradient(m, x, starts, y)
+    for name, values in w.items():
+        for i in np.ndindex(values.shape):
+            kept, values[i] = values[i], values[i] + 1e-5
+            up = loss()
+            values[i] = kept - 1e-5
+            down = loss()
+            values[i] = kept
+            assert abs(got[name][i] - (up - down) / 2e-5) < 1e-6, (name, i)
+
+
+def test_a_long_text_is_encoded_like_a_short_one(monkeypatch):
+    text = b"  " + b" ".join(b"w%d,\n" % (i % 91) for i in range(6_000)) + b" \t "
+    want = q.encode_passages([text])
+    monkeypatch.setattr(q, "LONG", 4096)
+    for size in (100, 2048, 5000):
+        parts = list(q._whole_passages(text.strip(), size))
+        assert b"".join(p[1:] for p in parts) == text.strip() + b" " and all(len(p[1:].split()) % q.PASSAGE == 0 for p in parts[:-1])
+    own, x = q.encode_passages([text])
+    assert len(x) == len(want[1]) == -(-6_000 // q.PASSAGE) and (x == want[1]).all()
+    assert q.encode_passages([b" " * 5000])[1].shape == (1, q.WIDTH)
+    assert q.encode_passages([b"x" * 50_000])[1].shape == (1, q.WIDTH)
+
+
+def test_bytes_bound_the_sample_by_rows(documents, labels):
+    small = q.train(documents, labels, most_bytes=100_000)
+    assert small.w["w0"].shape == (q.WIDTH, 24)
+
+
 def test_passages():
     own, x = q.encode_passages([b"", b"a b c", b" ".join([b"w"] * 130), None])
     assert own.tolist() == [0, 1, 2, 2, 2, 3] and x.shape == (6, q.WIDTH)

@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, small_batches, word_chunks, word_hashes, word_starts
+from .common import as_bytes, join_bounded, small_batches, stash, word_hashes, word_starts
 from .langid import held_out
 
 #: Words of a passage.
 PASSAGE = 64
-#: Bytes beyond which a text is encoded in pieces.
+#: Bytes beyond which a text is encoded in pieces, of whole passages.
 LONG = 4 << 20
 #: Classes of bytes whose pairs make most of a passage's encoding.
 CLASSES = ((b" \t\v\f", 0), (b"\n\r", 1), (bytes(range(97, 123)), 2), (bytes(range(65, 91)), 3), (b"0123456789", 4), (b".", 5), (b",", 6), (b"!?", 7), (b";:'\"-", 8), (b"()[]{}<>/\\", 9), (b"*&$%#@^~`_=+", 10), (b"|", 11), (bytes(range(0xC0, 0x100)), 12), (bytes(range(0x80, 0xC0)), 13))
@@ -26,20 +26,42 @@ EXTRA = 5
 WIDTH = KINDS * KINDS + EXTRA
 
 
+def _whole_passages(data: bytes, size: int) -> Iterator[bytes]:
+    """A text without white space at its ends in parts of about `size` bytes that
+    end, but for the last, where a passage does: right before the first word of
+    the next. Each begins with the byte before it, a space for the first."""
+    data = b" " + data + b" "
+    at = end = 1
+    while at < len(data):
+        end = max(end, at) + size
+        starts = at + word_starts(np.frombuffer(data, np.uint8, min(len(data), end) - at, at))
+        # the last word may go on beyond `end`, but its start counts
+        whole = (len(starts) - 1) // PASSAGE * PASSAGE
+        if end >= len(data):
+            yield data[at - 1 :]
+            return
+        if whole > 0:
+            yield data[at - 1 : starts[whole]]
+            at = end = int(starts[whole])
+
+
 def encode_passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text index, features) of every passage of 64 words of every text. A text
-    without words is one passage of zeros; in one longer than LONG bytes, passages
-    also end about every LONG / 2 bytes. Features: frequencies of pairs of
+    without words is one passage of zeros. Features: frequencies of pairs of
     byte classes; fullness; mean length of words; words equal to the one before;
-    distinct words; a constant for passages that have words."""
-    if len(texts) == 1 and len(texts[0] or b"") > LONG:
-        parts = [encode_passages([b" ".join(words)])[1] for words in word_chunks(texts[0], LONG // 2)]
-        x = np.concatenate([p for p in parts if p[:, -1].any()] or parts[:1])
-        return np.zeros(len(x), np.int64), x
-    n = len(texts)
+    distinct words; a constant for passages that have words. A text longer than
+    LONG bytes is encoded in pieces of whole passages, to the same result."""
     stripped = [(t or b"").strip(b" \t\n\v\f\r") for t in texts]
-    raw = np.frombuffer(b" " + b" ".join(stripped) + b" ", np.uint8)
     begins = np.cumsum([1] + [len(t) + 1 for t in stripped])[:-1]
+    if len(texts) == 1 and len(stripped[0]) > LONG:
+        x = np.concatenate([_encode(p, begins)[1] for p in _whole_passages(stripped[0], LONG // 2)])
+        return np.zeros(len(x), np.int64), x
+    return _encode(b" " + b" ".join(stripped) + b" ", begins)
+
+
+def _encode(joined: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """encode_passages of texts that begin at `begins`, one byte apart."""
+    n, raw = len(begins), np.frombuffer(joined, np.uint8)
     starts = word_starts(raw)
     if not len(starts):
         return np.arange(n), np.zeros((n, WIDTH), np.float32)
@@ -101,6 +123,22 @@ class Model:
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "owner": owner, "p": _sigmoid(z @ w["c"] + w["b"])}
 
 
+def gradient(model: Model, x: np.ndarray, starts: np.ndarray, y: np.ndarray, xs: np.ndarray | None = None) -> dict:
+    """Of the mean cross-entropy of the bags' labels, by weight. xs: the scaled
+    features, where they are at hand."""
+    w = model.w
+    xs = np.clip((x - model.mean) / model.scale, -8, 8) if xs is None else xs
+    f = model.forward(x, starts)
+    h, t, g, a, owner = f["h"], f["t"], f["g"], f["a"], f["owner"]
+    dl = ((f["p"] - y) / len(y)).astype(x.dtype)
+    dz = dl[:, None] * w["c"]
+    da = (h * dz[owner]).sum(1)
+    de = a * (da - np.add.reduceat(a * da, starts)[owner])
+    dt, dg = de[:, None] * w["w"] * g * (1 - t * t), de[:, None] * w["w"] * t * g * (1 - g)
+    dh = (a[:, None] * dz[owner] + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
+    return {"w0": xs.T @ dh, "b0": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ dl, "b": dl.sum(keepdims=True)}
+
+
 def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, rounds: int = 250, rate: float = 0.01, decay: float = 1e-4) -> Model:
     """Adam on the cross-entropy of the documents' labels; every step takes all
     bags. Without both labels the model says the share of label 1."""
@@ -118,15 +156,7 @@ def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, hidden: int = 24, gate
     m, s = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
     xs = np.clip((x - model.mean) / model.scale, -8, 8)
     for step in range(1, rounds + 1):
-        f = model.forward(x, starts)
-        h, t, g, a, owner = f["h"], f["t"], f["g"], f["a"], f["owner"]
-        dl = ((f["p"] - y) / len(y)).astype(np.float32)
-        dz = dl[:, None] * w["c"]
-        da = (h * dz[owner]).sum(1)
-        de = a * (da - np.add.reduceat(a * da, starts)[owner])
-        dt, dg = de[:, None] * w["w"] * g * (1 - t * t), de[:, None] * w["w"] * t * g * (1 - g)
-        dh = (a[:, None] * dz[owner] + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
-        grad = {"w0": xs.T @ dh, "b0": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ dl, "b": dl.sum(keepdims=True)}
+        grad = gradient(model, x, starts, y, xs)
         for k in w:
             gk = grad[k] + decay * w[k] * (k != "b")
             m[k] = 0.9 * m[k] + 0.1 * gk
@@ -135,25 +165,27 @@ def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, hidden: int = 24, gate
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 3000, passages: int = 32) -> Model:
-    """Learns from documents with a label. `most` bounds the sample of labelled
-    rows: with more, each is taken with probability most / rows, by a hash of
-    its id; of a sampled text with more than `passages` passages, that many
-    evenly spaced ones are used. Repeated labels of an id count once, the
-    greater. Scoring uses all passages of all texts."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 3000, most_bytes: int = 64 << 20) -> Model:
+    """Learns from all passages of documents with a label. `most` and
+    `most_bytes` bound the sample of labelled rows: with more rows or bytes of
+    text, each row is taken with the probability that brings their expected
+    number to the bound, by a hash of its id. Repeated labels of an id count
+    once, the greater."""
     l = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    l = stash(l, "quality-labels")
     n = l.count()
-    l = l.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.lit(most / max(n, most) * (1 << 20)))
-    d = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(l), "id").select("id", "label", "text")
+    taken = lambda rate: F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.lit(rate * (1 << 20))
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rate = most / max(n, most)
+    size = join_bounded(texts.where(taken(rate)), l.where(taken(rate)), "id").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rate *= most_bytes / max(size, most_bytes)
+    d = join_bounded(texts.where(taken(rate)), l.where(taken(rate)), "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             own, x = encode_passages(as_bytes(batch.column("text")))
-            got = []
-            for i in range(batch.num_rows):
-                a, b = np.searchsorted(own, [i, i + 1])
-                pick = np.unique(np.linspace(a, b - 1, min(b - a, passages)).round().astype(int))
-                got.append(x[pick].astype(np.float16).tobytes())
+            ends = np.searchsorted(own, np.arange(batch.num_rows + 1))
+            got = [x[a:b].astype(np.float16).tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(got, pa.binary())], names=["id", "label", "x"])
 
     rows = d.mapInArrow(run, d.select("id", "label").withColumn("x", F.lit(b"")).schema).toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
