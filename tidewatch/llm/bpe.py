@@ -135,7 +135,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in batches:
+        for batch in small_batches(batches, ids, 1 << 20):
             got = [codec.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, out])
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import stash
+from .common import small_batches, stash
 
 WINDOW = 3
 
@@ -26,7 +26,7 @@ def line_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns: a row's others, its text, and the starts of windows to remove."""
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         texts, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         total, gone = [], []
         for i, (text, ks) in enumerate(zip(texts, starts)):
