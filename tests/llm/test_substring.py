@@ -14,8 +14,14 @@ def prose(n, seed):
     return [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.randrange(3000)}" for _ in range(n)]
 
 
+def units(texts, lines=True):
+    return s._units(texts, s.LEAST, s.tune_bands(), lines)
+
+
 def test_bands():
-    assert s.BANDS == s.tune_bands() and (1 - s.SIMILARITY**s.ROWS) ** s.BANDS <= 0.001
+    for similarity in (0.5, 0.8, 0.95):
+        n = s.tune_bands(similarity)
+        assert (1 - similarity**s.ROWS) ** n <= 0.001 < (1 - similarity**s.ROWS) ** (n - 1)
 
 
 def test_repeated_windows_are_found(spark):
@@ -37,7 +43,7 @@ def test_fifty_shared_words_are_never_missed():
         cut = rng.randrange(1, 49)
         broken = [*passage[:cut], passage[cut] + "\n"]
         a, b = prose(rng.randrange(120), 1000 + seed) + passage + prose(rng.randrange(120), 2000 + seed), prose(rng.randrange(120), 3000 + seed) + broken + passage[cut + 1 :] + prose(rng.randrange(120), 4000 + seed)
-        text, line, word, words, d1, d2, bands = s._units([" ".join(a).encode(), b"", " ".join(b).encode()])
+        text, line, word, words, d1, d2, bands = units([" ".join(a).encode(), b"", " ".join(b).encode()])
         of = lambda k: set(zip(d1[~line & (text == k)].tolist(), d2[~line & (text == k)].tolist()))
         assert of(0) & of(2)
 
@@ -45,10 +51,11 @@ def test_fifty_shared_words_are_never_missed():
 def test_sections_lose_nothing(spark, monkeypatch):
     """A long text in parts has all the kept passages and lines of the whole."""
     text = "\n".join(" ".join(prose(RNG.randrange(5, 90), i)) for i in range(300)).encode()
-    whole = s._units([text])
+    whole = units([text])
     got, lines = set(), set()
-    for before, repeated, part in s._sections(text, 3000):
-        _, line, word, words, d1, d2, _ = s._units([part])
+    for before, repeated, complete, part in s._sections(text, 3000):
+        assert complete
+        _, line, word, words, d1, d2, _ = units([part])
         got |= set(zip((word + before)[~line].tolist(), d1[~line].tolist(), d2[~line].tolist()))
         lines |= set(zip((word + before)[line & (word >= repeated)].tolist(), d1[line & (word >= repeated)].tolist()))
     line, word, d1, d2 = whole[1], whole[2], whole[4], whole[5]
@@ -140,3 +147,89 @@ def test_runs_keep_each_first_document(spark):
     got = {(r["doc_id"], r["word"], r["words"], r["class_id"], r["class_word"], r["removed"]) for r in s.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     first = {(1, 40, 100, 1, 40, False), (2, 81, 94, 2, 81, False)}
     assert got == first | {(2, 0, 100, 1, 40, True), (3, 50, 25, 1, 115, True), (3, 56, 94, 2, 81, True)}
+
+
+def test_long_lines_count_as_one_wherever_they_stand():
+    """A line that is read in parts has the digest and bands of the whole line."""
+    long, short = " ".join(prose(2_000, 77)), " ".join(prose(30, 78))
+    want = units([long.encode()])
+    for before in ("", short + "\n", short + "\n\n" + short + " x\n"):
+        text = (before + long + "\n" + short).encode()
+        (word, n, d1, d2, bands), = s._long_lines(text, s.LEAST, s.tune_bands(), 1_000)
+        assert word == len(before.split()) and n == 2_000
+        assert (d1[0], d2[0]) == (want[4][0], want[5][0]) and (bands == want[6]).all()
+        parts = list(s._sections(text, 1_000))
+        assert any(not whole for *_, whole, _ in parts)
+        lines, kept = set(), set()
+        for at, repeated, whole, part in parts:
+            _, line, w, words, d1, _, _ = units([part], whole)
+            lines |= {x + at for x in w[line & (w >= repeated)].tolist()}
+            kept |= set(d1[~line].tolist())
+        assert lines == {i for i, x in zip((0, 30, 61), before.split("\n")) if len(x.split()) >= 20} | {len(before.split()) + 2_000}
+        assert set(want[4][~want[1]].tolist()) <= kept
+
+
+def test_rare_prefixes_lose_no_similar_pair(spark):
+    rng = random.Random(4)
+    common = list(range(40))
+    sets = [sorted(rng.sample(common, rng.randint(20, 40)) + [1000 + rng.randrange(60) for _ in range(rng.randint(0, 6))]) for _ in range(120)]
+    sets = [sorted(set(x)) for x in sets]
+    d = spark.createDataFrame(list(enumerate(sets)), "p long, shingles array<long>")
+    prefix = {r["p"]: set(r["prefix"]) for r in s.rare_prefixes(d, 0.8).collect()}
+    pairs = [(i, j) for i in range(120) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    assert pairs and all(prefix[i] & prefix[j] for i, j in pairs)
+
+
+def test_a_family_of_like_paragraphs(spark):
+    """Paragraphs of one template, under the similarity, and a few copies among
+    them: only the copies are linked."""
+    frame = prose(60, 11)
+    rows = []
+    for i in range(200):
+        w = list(frame)
+        for k in range(8):
+            w[7 * k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i][1].replace(f"own{i}x3", "other")) for i in range(0, 200, 10)]
+    got = s.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.7).where("near").collect()
+    words = {i: t.split() for i, t in rows}
+    want = {i for i, _ in rows if any(i != j and jaccard(words[i], words[j]) >= 0.7 for j, _ in rows)}
+    assert {r["doc_id"] for r in got} == want and all(r["class_id"] == r["doc_id"] % 1000 for r in got)
+
+
+def test_recall_of_near_paragraphs_on_documents(spark):
+    """Every pair of paragraphs of similarity 0.8 or more of the table, by brute
+    force over an inverted index of rare shingles."""
+    d = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
+    lines = {}
+    for r in d.where("text is not null").collect():
+        at = 0
+        for line in r["text"].split("\n"):
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
+            if len(w) >= 20:
+                lines[r["doc_id"], at] = w
+            at += len(w)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in lines.items()}
+    index = defaultdict(list)
+    for k, x in sets.items():
+        for t in x:
+            index[t].append(k)
+    linked = set()
+    seen = set()
+    for k, x in sets.items():
+        rarest = sorted(x, key=lambda t: (len(index[t]), t))[: len(x) - -(-8 * len(x) // 10) + 1]
+        for j in {j for t in rarest for j in index[t]}:
+            if j < k and (j, k) not in seen:
+                seen.add((j, k))
+                if len(sets[j] & x) >= 0.8 * len(sets[j] | x):
+                    linked |= {j, k}
+    got = {(r["doc_id"], r["word"]) for r in s.op10(d).where("near").collect()}
+    assert linked and len(linked & got) >= 0.99 * len(linked) and got <= linked
+
+
+def test_keys_of_any_type_and_no_key(spark):
+    line = " ".join(prose(40, 31))
+    d = spark.createDataFrame([("b", line), ("a", "x\n" + line), (None, line + "\ny"), ("a", line), ("a", line), ("c", None), ("d", "")], "doc_id string, text string")
+    got = s.op10(d).collect()
+    assert sorted((str(r["doc_id"]), r["removed"]) for r in got) == [("None", False), ("a", True), ("a", True), ("b", True)]
+    assert all(r["class_id"] is None for r in got)

@@ -7,18 +7,20 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import LOWER, as_bytes, join_bounded, mix64, small_batches, stash, word_hashes, word_starts
 from .components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Words that a repeated paragraph or passage has at least.
+#: Words that a repeated paragraph has at least, unless asked otherwise.
 LEAST = 20
-#: Of every WINDOW passages of LEAST words that begin at consecutive words, the
-#: one with the least hash is kept: two texts that share LEAST + WINDOW - 1 = 50
-#: words in a row share a kept passage.
-WINDOW = 31
+#: Of every WINDOW passages of PASSAGE words that begin at consecutive words, the
+#: one with the least hash is kept: two texts that share STRETCH words in a row
+#: share a kept passage.
+PASSAGE, WINDOW = 20, 31
+STRETCH = PASSAGE + WINDOW - 1
 ROWS = 3
 
 
@@ -28,10 +30,13 @@ def tune_bands(similarity: float = SIMILARITY, recall: float = 0.999, rows: int
     return ceil(log(1 - recall) / log(1 - similarity**rows))
 
 
-BANDS = tune_bands()
-_RNG = np.random.default_rng(11)
-FACTORS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDENDS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of n hash functions."""
+    rng = np.random.default_rng(11)
+    r = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    return r[:, 0] * np.uint64(2) + np.uint64(1), r[:, 1]
+
+
 POLY = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xD6E8FEB86659FD93)
 POWERS = np.ones(4096, np.uint64)
@@ -57,9 +62,9 @@ def _weighted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _passage_hashes(h: np.ndarray) -> np.ndarray:
-    """Hash of the LEAST words that begin at each word; h: hashes of words."""
+    """Hash of the PASSAGE words that begin at each word; h: hashes of words."""
     v = np.zeros(len(h), np.uint64)
-    for k in range(LEAST):
+    for k in range(PASSAGE):
         v *= POLY
         v[: len(h) - k] += h[k:]
     return mix64(v)
@@ -71,11 +76,11 @@ def _passage_digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, d1, d2) of the kept passages of LEAST words. text_ends: for each
+    """(word, d1, d2) of the kept passages of PASSAGE words. text_ends: for each
     word, where its text ends; text_first: where texts begin. Passages stay
     within a text; a text that has any keeps its least one."""
     at = np.arange(len(h))
-    valid = at + LEAST <= text_ends
+    valid = at + PASSAGE <= text_ends
     if not valid.any():
         return at[:0], h[:0], h[:0]
     v = np.where(valid, _passage_hashes(h), np.uint64(2**64 - 1))
@@ -88,13 +93,21 @@ def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray)
     picked.append(np.flatnonzero(v == np.repeat(least, lengths)))
     kept = np.unique(np.concatenate(picked))
     kept = kept[valid[kept]]
-    d2 = (mix64(h ^ OTHER)[kept[:, None] + np.arange(LEAST)] * POWERS[:LEAST]).sum(1, dtype=np.uint64)
-    return kept, v[kept], mix64(d2)
+    return kept, v[kept], _passage_hashes(mix64(h ^ OTHER))[kept]
+
+
+def _bands(mins: np.ndarray) -> np.ndarray:
+    """Hashes of bands from the minima, ROWS to a band."""
+    out = np.zeros((len(mins), mins.shape[1] // ROWS), np.uint64)
+    for r in range(ROWS):
+        out = mix64(out * POLY + mins[:, r::ROWS] + np.arange(out.shape[1], dtype=np.uint64))
+    return out
 
 
-def _units(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
+def _units(texts: list[bytes], least: int, n_bands: int, lines: bool = True) -> tuple[np.ndarray, ...] | None:
     """Arrays (text, line, word, words, d1, d2, bands) over several texts: the
-    paragraphs of LEAST words or more, then the kept passages, without bands."""
+    paragraphs of `least` words or more (none unless `lines`), then the kept
+    passages, without bands."""
     low = b"\n".join(texts).translate(LOWER)
     raw = np.frombuffer(low, np.uint8)
     starts = word_starts(raw)
@@ -107,99 +120,179 @@ def _units(texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
     line = np.searchsorted(np.flatnonzero(raw == 10), starts)
     lead = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     size = np.diff(np.append(lead, len(starts)))
-    long = np.flatnonzero(size >= LEAST)
-    bands = np.zeros((len(long), BANDS), np.uint64)
+    long = np.flatnonzero(size >= least) if lines else np.zeros(0, np.int64)
+    bands = np.zeros((0, n_bands), np.uint64)
     if len(long):
         # minima over each long line's shingles, all within the line
+        factors, addends = _functions(n_bands * ROWS)
         sh = np.append(shingle_hashes(h), np.uint64(0))
         bounds = np.stack([lead[long], lead[long] + size[long] - (SHINGLE - 1)], axis=1).ravel()
-        mins = np.empty((len(long), BANDS * ROWS), np.uint64)
-        for j in range(BANDS * ROWS):
-            mins[:, j] = np.minimum.reduceat(sh * FACTORS[j] + ADDENDS[j], bounds)[::2]
-        for r in range(ROWS):
-            bands = mix64(bands * POLY + mins[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
+        mins = np.empty((len(long), n_bands * ROWS), np.uint64)
+        for j in range(n_bands * ROWS):
+            mins[:, j] = np.minimum.reduceat(sh * factors[j] + addends[j], bounds)[::2]
+        bands = _bands(mins)
     d1, d2 = (d[long] for d in _weighted(h, lead))
     first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
     ends = np.repeat(np.append(first[1:], len(h)), np.diff(np.append(first, len(h))))
     kept, k1, k2 = kept_passages(h, ends, first)
     at = np.concatenate([lead[long], kept])
-    words = np.concatenate([size[long], np.full(len(kept), LEAST)])
+    words = np.concatenate([size[long], np.full(len(kept), PASSAGE)])
     return text[at], np.arange(len(at)) < len(long), at - origin[text[at]], words, np.concatenate([d1, k1]), np.concatenate([d2, k2]), bands
 
 
-def _sections(data: bytes, size: int = 4 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(words before, words repeated, text) of a text in parts of whole lines of
-    about `size` bytes; a longer line is cut between words. Each part begins
-    with the 49 words before it, as a line of its own, so that no passage of 50
-    words is cut."""
+def _cuts(data: bytes, a: int, b: int, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of data[a:b] of about `size` bytes, cut between words."""
+    while a < b:
+        end = min(b, a + size)
+        while end < b and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield a, end
+        a = end
+
+
+def _sections(data: bytes, size: int = 4 << 20) -> Iterator[tuple[int, int, bool, bytes]]:
+    """(words before, words repeated, whole, part) of a text in parts of whole
+    lines of about `size` bytes; a line that is longer comes in parts of its own,
+    cut between words, with whole false. Each part begins with the 49 words
+    before it, as a line of its own, so that no stretch of 50 words is cut."""
     at, words, tail = 0, 0, []
     while at < len(data):
-        end = len(data)
+        end, whole = len(data), True
         if end - at > size:
             nl = data.rfind(b"\n", at, at + size)
-            end = nl + 1 if nl > at else at + size
-            while nl <= at and end < len(data) and data[end] not in b" \t\n\v\f\r":
-                end += 1
-        own = data[at:end].split()
-        yield words - len(tail), len(tail), b" ".join(tail) + b"\n" * bool(tail) + data[at:end]
-        words += len(own)
-        tail = (tail + own)[-(LEAST + WINDOW - 2) :]
+            if nl < at and len(data) - at > size:
+                nl, whole = data.find(b"\n", at), False
+            end = nl + 1 if nl >= at else len(data)
+        for a, b in _cuts(data, at, end, size) if not whole else [(at, end)]:
+            own = data[a:b].split()
+            yield words - len(tail), len(tail), whole, b" ".join(tail) + b"\n" * bool(tail) + data[a:b]
+            words += len(own)
+            tail = (tail + own)[-(STRETCH - 1) :]
         at = end
 
 
-def paragraph_units(docs: DataFrame) -> DataFrame:
-    """(id, line, word, words, d1, d2, bands) of every paragraph of LEAST words
-    or more (line true) and of every kept passage (line false, no bands). d1,
-    d2: a 128-bit digest of the words, A-Z lower-cased."""
-
-    def rows(ids: list[int], texts: list[bytes], before: int = 0, repeated: int = 0) -> Iterator[pa.RecordBatch]:
-        if (got := _units(texts)) is None:
-            return
-        text, line, word, words, d1, d2, bands = got
-        own = ~line | (word >= repeated)
-        bands = bands[own[: len(bands)]]
-        text, line, word, words, d1, d2 = (x[own] for x in (text, line, word, words, d1, d2))
-        lengths = np.where(line, BANDS, 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[text]), pa.array(line), pa.array(word + before), pa.array(words.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=UNIT_NAMES)
+def _long_lines(data: bytes, least: int, n_bands: int, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, words, d1, d2, bands) of the lines that _sections cuts: digests and
+    minima are carried from part to part, so they are those of the line as a
+    whole, wherever it stands. Each is an array of one value."""
+    factors, addends = _functions(n_bands * ROWS)
+    at, before = 0, 0
+    while at < len(data):
+        nl = data.find(b"\n", at)
+        end = nl + 1 if nl >= 0 else len(data)
+        if end - at <= size:
+            before += len(data[at:end].split())
+            at = end
+            continue
+        n, sums, tail = 0, np.zeros(2, np.uint64), np.zeros(0, np.uint64)
+        mins = np.full((1, n_bands * ROWS), np.uint64(2**64 - 1))
+        for a, b in _cuts(data, at, end, size):
+            raw = np.frombuffer(data[a:b].translate(LOWER), np.uint8)
+            h = word_hashes(raw, word_starts(raw))
+            weight = POWERS[(n + np.arange(len(h))) & 4095]
+            sums += np.array([(h * weight).sum(dtype=np.uint64), (mix64(h ^ OTHER) * weight).sum(dtype=np.uint64)])
+            n += len(h)
+            both = np.concatenate([tail, h])
+            if len(both) >= SHINGLE:
+                sh = shingle_hashes(both)[: len(both) - SHINGLE + 1]
+                for j in range(n_bands * ROWS):
+                    mins[0, j] = min(mins[0, j], (sh * factors[j] + addends[j]).min())
+            tail = both[1 - SHINGLE :]
+        if n >= least:
+            d = mix64(sums)
+            yield before, n, d[:1], d[1:], _bands(mins)
+        before += n
+        at = end
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            ids, texts = batch.column("id").to_pylist(), as_bytes(batch.column("text"))
-            if len(texts) > 1:
-                yield from rows(ids, texts)
-            else:
-                for before, repeated, part in _sections(texts[0]):
-                    yield from rows(ids, [part], before, repeated)
 
-    return docs.mapInArrow(run, "id long, line boolean, word long, words int, d1 long, d2 long, bands array<long>")
+UNIT_NAMES = ["id", "th", "line", "word", "words", "d1", "d2", "bands"]
+SECTION = 4 << 20
 
 
-UNIT_NAMES = ["id", "line", "word", "words", "d1", "d2", "bands"]
+def paragraph_units(docs: DataFrame, least: int = LEAST, n_bands: int = tune_bands()) -> DataFrame:
+    """(id, th, line, word, words, d1, d2, bands) of every paragraph of `least`
+    words or more (line true) and of every kept passage (line false, no bands).
+    d1, d2: a 128-bit digest of the words, A-Z lower-cased."""
+    least = max(least, SHINGLE)
 
+    def batch_of(keys: list[pa.Array], text, line, word, words, d1, d2, bands) -> pa.RecordBatch:
+        lengths = np.where(line, n_bands, 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
+        rows = pa.array(text)
+        return pa.RecordBatch.from_arrays([*[k.take(rows) for k in keys], pa.array(line), pa.array(word), pa.array(words.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=UNIT_NAMES)
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(p, shingles): the shingles, as sorted distinct hashes, of the paragraphs
-    of `wanted` (p, id, word, words)."""
-    places = wanted.groupBy("id").agg(F.collect_list(F.struct("p", "word", "words")).alias("places")).withColumnRenamed("id", "wanted_id")
-    d = join_bounded(docs, stash(places, "substring-places"), F.col("id") == F.col("wanted_id"), most=200_000).select("text", "places")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", SECTION):
+            keys, texts = [batch.column("id"), batch.column("th")], as_bytes(batch.column("text"))
+            if len(texts) > 1:
+                if got := _units(texts, least, n_bands):
+                    yield batch_of(keys, *got)
+                continue
+            for before, repeated, whole, part in _sections(texts[0], SECTION):
+                if got := _units([part], least, n_bands, whole):
+                    text, line, word, words, d1, d2, bands = got
+                    own = ~line | (word >= repeated)
+                    yield batch_of(keys, text[own], line[own], word[own] + before, words[own], d1[own], d2[own], bands[own[: len(bands)]])
+            for word, words, d1, d2, bands in _long_lines(texts[0], least, n_bands, SECTION):
+                yield batch_of(keys, np.zeros(1, np.int64), np.ones(1, bool), np.array([word]), np.array([words]), d1, d2, bands)
+
+    more = {"line": F.lit(True), "word": F.lit(0).cast("long"), "words": F.lit(0), "d1": F.lit(0).cast("long"), "d2": F.lit(0).cast("long"), "bands": F.array().cast("array<bigint>")}
+    return docs.mapInArrow(run, docs.select("id", "th").withColumns(more).schema)
+
+
+def _text_pass(docs: DataFrame, wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """What the texts are needed for again, in one pass over those that have any
+    of it: the shingles, as sorted distinct hashes, of the paragraphs of `wanted`
+    (p, id, th, word, words), and (word, d1, d2) of every passage that begins
+    less than WINDOW words from one of `hits` (id, th, word)."""
+    none = F.lit(None).cast("long")
+    places = wanted.select("id", "th", F.struct("p", "word", "words").alias("x")).unionByName(hits.select("id", "th", F.struct(none.alias("p"), "word", F.lit(None).cast("int").alias("words")).alias("x")))
+    places = stash(places.groupBy("id", "th").agg(F.collect_list("x").alias("places")).withColumnsRenamed({"id": "at_id", "th": "at_th"}), "substring-places")
+    on = (F.col("th") == F.col("at_th")) & F.col("id").eqNullSafe(F.col("at_id"))
+    d = join_bounded(docs, places, on, row_bytes=32 + 24 * F.size("places")).select("id", "th", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            ps, sets = [], []
-            for data, places in zip(as_bytes(batch.column("text")), batch.column("places").to_pylist()):
-                raw = np.frombuffer(data.translate(LOWER), np.uint8)
-                starts = word_starts(raw)
-                for x in places:
-                    a, b = x["word"], x["word"] + x["words"]
-                    end = starts[b] if b < len(starts) else len(raw)
-                    part = raw[starts[a] : end]
-                    h = word_hashes(part, word_starts(part))
-                    ps.append(x["p"])
-                    sets.append(np.unique(shingle_hashes(h)[: len(h) - SHINGLE + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["p", "shingles"])
-
-    return d.mapInArrow(run, "p long, shingles array<long>").dropDuplicates(["p"])
+        for batch in small_batches(batches, "text", SECTION):
+            for i, (data, places) in enumerate(zip(as_bytes(batch.column("text")), batch.column("places"))):
+                x = places.values
+                key = [batch.column(k).slice(i, 1) for k in ("id", "th")]
+                p, word, words = (x.field(k) for k in ("p", "word", "words"))
+                lines = p.is_valid()
+                near = np.unique(word.filter(pc.invert(lines)).to_numpy())
+                if len(near):
+                    yield from _around(key, data, near)
+                if len(near) < len(x):
+                    yield from _sets(key, data, *[c.filter(lines).to_numpy() for c in (p, word, words)])
+
+    def row(key: list[pa.Array], n: int, p=None, shingles=None, word=None, d1=None, d2=None) -> pa.RecordBatch:
+        cols = [k.take(pa.array(np.zeros(n, np.int64))) for k in key]
+        longs = lambda v: pa.nulls(n, pa.int64()) if v is None else pa.array(v)
+        sets = pa.nulls(n, pa.list_(pa.int64())) if shingles is None else pa.array(shingles, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*cols, longs(p), sets, longs(word), longs(d1), longs(d2)], names=["id", "th", "p", "shingles", "word", "d1", "d2"])
+
+    def _around(key: list[pa.Array], data: bytes, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for before, repeated, _, part in _sections(data, SECTION):
+            raw = np.frombuffer(part.translate(LOWER), np.uint8)
+            h = word_hashes(raw, word_starts(raw))
+            # what lies in the repeated words alone was in the part before
+            at = np.arange(max(0, repeated - PASSAGE + 1), len(h) - PASSAGE + 1)
+            k = np.searchsorted(near, at + before)
+            gap = np.minimum(np.abs(near[np.minimum(k, len(near) - 1)] - at - before), np.abs(at + before - near[np.maximum(k - 1, 0)]))
+            at = at[gap < WINDOW]
+            if len(at):
+                d1, d2 = _passage_digests(h, at)
+                yield row(key, len(at), word=at + before, d1=d1.view(np.int64), d2=d2.view(np.int64))
+
+    def _sets(key: list[pa.Array], data: bytes, ps: np.ndarray, word: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(data.translate(LOWER), np.uint8)
+        starts = word_starts(raw)
+        for p, a, n in zip(ps, word, words):
+            part = raw[starts[a] : starts[a + n] if a + n < len(starts) else len(raw)]
+            h = word_hashes(part, word_starts(part))
+            yield row(key, 1, p=[int(p)], shingles=[np.unique(shingle_hashes(h)[: len(h) - SHINGLE + 1]).view(np.int64)])
+
+    more = {"p": none, "shingles": F.lit(None).cast("array<bigint>"), "word": none, "d1": none, "d2": none}
+    return d.mapInArrow(run, d.select("id", "th").withColumns(more).schema)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -215,123 +308,127 @@ def _alike(x: Column, y: Column, similarity: float) -> Column:
     return fits & (both >= similarity * (F.size(x) + F.size(y) - both) - 1e-9)
 
 
-def _linked_within(members: DataFrame, similarity: float) -> DataFrame:
-    """members: (band, p, root, bands, shingles). The similar pairs (a, b) of a
-    bucket whose roots differ. The join's condition is the exact check, made in
-    the first bucket that a pair shares, so only links leave the join."""
-    x, y = members.alias("x"), members.alias("y")
-    first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.band")
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") < F.col("y.p")) & (F.col("x.root") != F.col("y.root"))
-    return x.join(y, on & first & _alike(F.col("x.shingles"), F.col("y.shingles"), similarity)).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
-
-
-def _around(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(id, word, d1, d2) of every passage of LEAST words that begins less than
-    WINDOW words from one of `hits` (id, word)."""
-    places = hits.groupBy("id").agg(F.sort_array(F.collect_set("word")).alias("places")).withColumnRenamed("id", "hit_id")
-    d = join_bounded(docs, stash(places, "substring-hits"), F.col("id") == F.col("hit_id"), most=50_000).select("id", "text", "places")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            for i, data, places in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), batch.column("places")):
-                near = places.values.to_numpy()
-                for before, repeated, part in _sections(data):
-                    raw = np.frombuffer(part.translate(LOWER), np.uint8)
-                    h = word_hashes(raw, word_starts(raw))
-                    # what lies in the repeated words alone was in the part before
-                    at = np.arange(max(0, repeated - LEAST + 1), len(h) - LEAST + 1)
-                    k = np.searchsorted(near, at + before)
-                    gap = np.minimum(np.abs(near[np.minimum(k, len(near) - 1)] - at - before), np.abs(at + before - near[np.maximum(k - 1, 0)]))
-                    at = at[gap < WINDOW]
-                    if len(at):
-                        d1, d2 = _passage_digests(h, at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int64)), pa.array(at + before), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["id", "word", "d1", "d2"])
-
-    return d.mapInArrow(run, "id long, word long, d1 long, d2 long")
-
-
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(p, prefix): of each set (p, shingles), the rarest shingles, as many as
+    leave fewer than `similarity` of the set. Two sets of at least that Jaccard
+    similarity share a shingle of both prefixes, whatever the order, if it is one
+    for all sets; with the rarest first, few others do. Shingles that one set
+    alone has are left out."""
+    tokens = sets.select("p", F.explode("shingles").alias("s"))
+    rare = stash(tokens.groupBy("s").agg(F.count("*").alias("n")), "substring-shingles")
+    found = tokens.join(rare, "s").groupBy("p").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("x"))
+    head = F.slice("x", F.lit(1), F.size("x") - F.ceil(similarity * F.size("x") - 1e-9).cast("int") + 1)
+    return found.select("p", F.transform(F.filter(head, lambda t: t["n"] > 1), lambda t: t["s"]).alias("prefix"))
+
+
+def _linked_within(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members: (band, p, root, bands). The similar pairs (a, b) of a bucket whose
+    roots differ.
+
+    A bucket is hit by chance too, so many of its pairs may be far under the
+    similarity. They aren't compared: within a bucket two sets meet
+    only where they share a rare shingle (rare_prefixes), which loses no similar
+    pair. The join's condition is the exact check, made at the first bucket and
+    shingle that a pair shares, so only links leave the join."""
+    own = sets.join(members.select("p").distinct(), "p", "left_semi")
+    pre = stash(rare_prefixes(stash(own, "substring-own"), similarity), "substring-prefixes")
+    m = members.join(pre, "p").join(sets, "p").select("band", "p", "root", "bands", "shingles", "prefix", F.explode("prefix").alias("s"))
+    m = stash(m, "substring-met")
+    x, y = m.alias("x"), m.alias("y")
+    first = lambda c, v: F.get(F.array_intersect(f"x.{c}", f"y.{c}"), F.lit(0)) == F.col(f"x.{v}")
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.p") < F.col("y.p")) & (F.col("x.root") != F.col("y.root"))
+    return x.join(y, on & first("bands", "band") & first("prefix", "s") & _alike(F.col("x.shingles"), F.col("y.shingles"), similarity)).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
     """One row per repeated passage: key, word and words (where it stands in the
     text, by words), near (a paragraph found by MinHash) or not, class_id and
     class_word (where the first of its class stands) and removed (false for
     that first one).
 
-    Paragraphs are lines of 20 words or more. Equal ones are one class and are
-    banded once; bands are tuned for a recall of 0.999 at the similarity, and
-    pairs that meet are verified by the exact Jaccard similarity of their sets
-    of five words. Within a band's bucket all are first compared with the least
-    one; only buckets that then hold several components are joined pair by
-    pair, between components, so a large group of near copies isn't paired out.
-    Classes are the components of verified pairs.
+    Paragraphs are lines of `least` words or more (five at least). Equal ones,
+    by a 128-bit digest, are one class and are banded once; bands are tuned for
+    a recall of 0.999 at the similarity, and pairs that meet are verified by the
+    exact Jaccard similarity of their sets of five words. Within a band's bucket
+    all are first compared with the least one; in buckets that then hold several
+    components, pairs between components meet by rare shingles, so a large group
+    isn't paired out. Classes are the components of verified pairs.
 
     Passages that repeat inside otherwise different paragraphs, or over several
     lines, are found by kept passages of 20 words (see WINDOW): of 50 shared
     words in a row, one at least is kept in both texts, and every place of the
     shared words is less than WINDOW words from one. So all passages that near a
-    kept one that repeats are compared again, and a row spans those of them that
-    repeat and overlap or touch: a stretch of 50 words or more in full. It is
-    left out where it lies in a paragraph that is removed. Passages whose first
-    copies stand in different documents make rows of their own, as do first
-    copies; such rows of a document can overlap, and a word is a later copy's if
-    any removed row spans it.
-
-    Null and empty texts and rows with a null key have no passages; rows with an
-    equal key and text repeat each other only if the text repeats within itself;
-    a table without repeats gives an empty one.
+    kept one that repeats are compared again, and those that repeat are merged to
+    stretches where they overlap or touch. A stretch of 50 words or more is
+    reported, in full; shorter ones only as paragraphs. It is left out where it
+    lies in a paragraph that is removed. Passages whose first copies stand in
+    different documents make rows of their own, as do first copies; such rows of
+    a document can overlap, and a word is a later copy's if any removed row spans
+    it.
+
+    Null and empty texts have no passages. A null key comes first and is a key;
+    rows that share a key but not the text are ordered by a hash; rows with an
+    equal key and text are one document, which repeats itself only where the text
+    does. Keys may be of any type that has an order. Columns other than key and
+    text aren't used; a table without repeats gives an empty one.
     """
-    d = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    units = stash(paragraph_units(d), "substring-units")
-    place = F.struct("id", "word")
+    d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("th"), F.col(text).alias("text"))
+    units = stash(paragraph_units(d, least, tune_bands(similarity)), "substring-units")
+    place = F.struct("id", "th", "word")
 
     lines = units.where("line")
-    classes = lines.groupBy(F.col("d1").alias("p")).agg(F.min(F.struct("id", "word", "words", "bands")).alias("m"), F.max(place).alias("hi"))
-    classes = stash(classes.select("p", "m.id", "m.word", "m.words", "m.bands", (F.struct("m.id", "m.word") != F.col("hi")).alias("again")), "substring-classes")
+    classes = lines.groupBy("d1", "d2").agg(F.min(F.struct("id", "th", "word", "words", "bands")).alias("m"), F.max(place).alias("hi"))
+    # classes are numbered as they are written, so numbers hold from here on
+    classes = stash(classes.select(F.monotonically_increasing_id().alias("p"), "d1", "d2", "m.*", (F.struct("m.id", "m.th", "m.word") != F.col("hi")).alias("again")), "substring-classes")
     bands = classes.select("p", F.explode("bands").alias("band"))
     buckets = stash(bands.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n")).where("n > 1"), "substring-buckets")
-    crowded = stash(join_bounded(bands, stash(buckets.where("n > 2").select("band", "lo"), "substring-crowded"), "band", most=500_000), "substring-members")
+    crowded = stash(join_bounded(bands, stash(buckets.where("n > 2").select("band", "lo"), "substring-crowded"), "band"), "substring-members")
     star = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(crowded.where("p <> lo").select(F.col("lo").alias("a"), F.col("p").alias("b"))).distinct()
     star = stash(star, "substring-stars")
     wanted = star.select(F.col("a").alias("q")).unionByName(star.select(F.col("b").alias("q"))).unionByName(crowded.select(F.col("p").alias("q"))).distinct()
-    wanted = classes.join(stash(wanted, "substring-wanted"), F.col("p") == F.col("q"), "left_semi").select("p", "id", "word", "words")
-    sets = stash(_shingle_sets(d, wanted), "substring-sets")
+    wanted = classes.join(stash(wanted, "substring-wanted"), F.col("p") == F.col("q"), "left_semi").select("p", "id", "th", "word", "words")
+
+    def repeats(pieces: DataFrame, tag: str) -> DataFrame:
+        twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
+        # written first: a join right above the grouping could not split a hot passage
+        return pieces.join(stash(twice, f"substring-twice-{tag}"), ["d1", "d2"]).select("id", "th", "word", "head")
+
+    hits = repeats(units.where("not line").select("id", "th", "word", "d1", "d2"), "kept")
+    again = stash(_text_pass(d, wanted, hits.select("id", "th", "word")), "substring-texts")
+    sets = stash(again.where("p is not null").select("p", "shingles").dropDuplicates(["p"]), "substring-sets")
+
     first = stash(_similar(star, sets, similarity), "substring-links")
     roots = connected_components(first, "substring-roots")
     c = crowded.join(roots, crowded["p"] == roots["node"], "left").select("band", "p", F.coalesce("root", "p").alias("root"))
     mixed = c.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
-    c = stash(c.join(mixed, "band", "left_semi"), "substring-mixed")
-    c = c.join(classes.select("p", "bands"), "p").join(sets, "p")
-    cross = stash(_linked_within(c, similarity), "substring-cross")
+    c = stash(c.join(stash(mixed, "substring-bands"), "band", "left_semi").join(classes.select("p", "bands"), "p"), "substring-mixed")
+    cross = stash(_linked_within(c, sets, similarity), "substring-cross")
     near = connected_components(first.unionByName(cross), "substring-components")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
 
-    keep = classes.join(near, classes["p"] == near["node"], "left").where(F.col("again") | F.col("root").isNotNull()).select("p", F.coalesce("root", "p").alias("class"), "id", "word")
+    keep = classes.join(near, classes["p"] == near["node"], "left").where(F.col("again") | F.col("root").isNotNull()).select("d1", "d2", F.coalesce("root", "p").alias("class"), "id", "th", "word")
     keep = stash(keep, "substring-repeats")
-    head = keep.groupBy("class").agg(F.min(place).alias("head"))
-    label = stash(keep.join(head, "class").select(F.col("p").alias("label"), "head"), "substring-labels")
-    found = join_bounded(lines.select("id", "word", "words", "d1"), label, F.col("d1") == F.col("label")).select("id", "word", "words", F.lit(True).alias("near"), F.col("head.id").alias("class_id"), F.col("head.word").alias("class_word"), (place != F.col("head")).alias("removed"))
+    head = stash(keep.groupBy("class").agg(F.min(place).alias("head")), "substring-heads")
+    label = stash(keep.join(head, "class").select("d1", "d2", "head"), "substring-labels")
+    found = join_bounded(lines.select("id", "th", "word", "words", "d1", "d2"), label, ["d1", "d2"]).select("id", "th", "word", "words", F.lit(True).alias("near"), F.col("head.id").alias("class_id"), F.col("head.word").alias("class_word"), (place != F.col("head")).alias("removed"))
     found = stash(found.distinct(), "substring-paragraphs")
 
-    def repeats(pieces: DataFrame, tag: str) -> DataFrame:
-        twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
-        # written first: a join right above the grouping could not split a hot passage
-        return pieces.join(stash(twice, f"substring-twice-{tag}"), ["d1", "d2"]).select("id", "word", "head")
-
-    hits = repeats(units.where("not line").select("id", "word", "d1", "d2"), "kept")
-    around = stash(_around(d, hits), "substring-around")
-    hit = repeats(around, "all").withColumn("words", F.lit(LEAST))
-    own = found.where("removed").select(F.col("id").alias("fid"), F.col("word").alias("fw"), F.col("words").alias("fn"))
-    hit = stash(hit, "substring-pieces")
-    # runs of repeated passages that overlap or touch, within a document: one for
-    # each document of their first copies, and first copies apart from later ones
-    hit = hit.withColumn("later", place != F.col("head"))
-    order = Window.partitionBy("id", "head.id", "later").orderBy("word")
-    runs = hit.withColumn("new", F.coalesce((F.lag(F.col("word") + F.col("words")).over(order) < F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("id", F.col("head.id").alias("class_id"), "later", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(F.col("word") + F.col("words")).alias("end"))
-    runs = runs.select("id", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), "class_id", F.col("m.head.word").alias("class_word"), F.col("later").alias("removed"))
+    hit = stash(repeats(again.where("p is null").select("id", "th", "word", "d1", "d2"), "all").withColumn("later", place != F.col("head")), "substring-pieces")
+    # stretches of repeated passages that overlap or touch, of 50 words or more
+    order = Window.partitionBy("id", "th").orderBy("word")
+    end = F.col("word") + PASSAGE
+    hit = hit.withColumn("new", F.coalesce((F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("word")).cast("int"), F.lit(1))).withColumn("stretch", F.sum("new").over(order))
+    whole = Window.partitionBy("id", "th", "stretch")
+    hit = hit.withColumn("size", F.max(end).over(whole) - F.min("word").over(whole)).where(F.col("size") >= STRETCH)
+    # in them, a run for each document of first copies, and first copies apart from later ones
+    order = Window.partitionBy("id", "th", "head.id", "head.th", "later").orderBy("word")
+    runs = hit.withColumn("new", F.coalesce((F.lag(end).over(order) < F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("id", "th", F.col("head.id").alias("class_id"), F.col("head.th").alias("head_th"), "later", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(end).alias("end"))
+    runs = runs.select("id", "th", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), "class_id", F.col("m.head.word").alias("class_word"), F.col("later").alias("removed"))
     # a run inside one paragraph that is removed already adds nothing
-    inside = runs.join(own, (F.col("id") == F.col("fid")) & (F.col("word") >= F.col("fw")) & (F.col("word") + F.col("words") <= F.col("fw") + F.col("fn")), "left_anti")
-    out = found.unionByName(inside)
-    return out.withColumnRenamed("id", key)
+    own = found.where("removed").select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("word").alias("fw"), F.col("words").alias("fn"))
+    inside = runs.join(own, (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid")) & (F.col("word") >= F.col("fw")) & (F.col("word") + F.col("words") <= F.col("fw") + F.col("fn")), "left_anti")
+    return found.unionByName(inside).drop("th").withColumnRenamed("id", key)
 
 
 def op10(docs: DataFrame) -> DataFrame:
