@@ -63,16 +63,41 @@ def simulation(buy: Column, sell: Column, transfer_reverted: Column, sell_loss:
     return F.when(bad, "FAIL").when((buy == "UNKNOWN") | (sell == "UNKNOWN"), "UNKNOWN").otherwise("PASS")
 
 
+#: The shares and bounds from which a signal is worth a word.
+GINI_HIGH, ENTROPY_LOW, REPEATED_HIGH = 7_000, 3_000, 4_000
+
+
+def positives() -> Column:
+    """Reasons worth no points of a candidate, in order: those in favour. The
+    texts are fixed output values."""
+    c = F.col
+    holders = F.coalesce(c("adjusted_holders"), c("holders"))
+    return F.array_compact(F.array(
+        F.when(c("simulation") == "PASS", "Trade simulation passes through the real route"),
+        F.when(c("verification") == "VERIFIED", "Contract source is verified"),
+        F.when(c("deployer_bps") <= 100, "Deployer holds a negligible share"),
+        F.when(c("top10_bps") < 2_000, "Adjusted top-10 ownership is well distributed"),
+        F.when(holders > 0, F.concat(F.lit("Adjusted holder count is "), holders.cast("string"))),
+    ))
+
+
 def advisory() -> Column:
-    """Reasons worth no points of a candidate, in order: those against."""
+    """Reasons worth no points of a candidate, in order: those against. The texts
+    are fixed output values."""
     c = F.col
     when = lambda cond, text: F.when(cond, text if isinstance(text, Column) else F.lit(text))
     bps = lambda head, x, tail: F.concat(F.lit(head), x.cast("string"), F.lit(tail))
     return F.array_compact(F.array(
         when(c("simulation") != "PASS", F.concat(F.lit("Sell simulation is not confirmed (status "), c("simulation"), F.lit(")"))),
         when(c("critical"), "A critical privileged permission is present"),
+        when(c("is_proxy"), "Contract is a proxy; logic can change"),
+        when(c("verification") == "UNVERIFIED", "Contract source is not verified"),
         when(c("deployer_bps") > 800, bps("Deployer holds a large share (", c("deployer_bps"), " bps of supply)")),
         when(c("top10_bps") >= 6_000, bps("Adjusted top-10 ownership is highly concentrated (", c("top10_bps"), " bps)")),
+        when(c("largest_bps") >= 3_000, bps("A single holder controls a large share (", c("largest_bps"), " bps)")),
+        when(c("gini_bps") >= GINI_HIGH, bps("Buy sizes are highly concentrated in one buyer (Gini ", c("gini_bps"), " bps)")),
+        when(c("entropy_bps") <= ENTROPY_LOW, bps("Buy-size entropy is low (", c("entropy_bps"), " bps of max)")),
+        when(c("repeated_bps") >= REPEATED_HIGH, bps("A large share of buys repeat an identical quote size (", c("repeated_bps"), " bps)")),
     ))
 
 

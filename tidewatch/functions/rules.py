@@ -5,9 +5,10 @@ Missing data is unknown, never a pass; a score cannot override a failed gate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .scalars import level_rank
+from .texts import usd_number
 
 c = F.col
 
@@ -74,6 +75,37 @@ def opportunity() -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), liquidity_depth() + buyer_breadth() + buy_flow() + low_cap_tilt()))
 
 
+def replayed(df: DataFrame, features: str, entry_fdv: Column) -> DataFrame:
+    """df with the columns that the rules read, from a struct of stored entry
+    features (texts.entry_features). What a source would have given counts as in
+    a live pass where the source is missing: no activity is none, no risk is
+    unknown; what can't be told as of entry is null."""
+    e = lambda k: F.col(f"{features}.{k}")
+    none = lambda x, default: F.coalesce(x, F.lit(default))
+    null = F.lit(None)
+    return df.withColumns({
+        "fdv": entry_fdv,
+        "quote_liq": usd_number(e("quoteLiquidityUsd")),
+        "total_liq": usd_number(e("totalLiquidityUsd")),
+        "age_minutes": e("ageMinutesAtEntry"),
+        "collapsed": null.cast("boolean"),
+        "regressed": null.cast("boolean"),
+        "sell_loss_bps": e("effectiveSellLossBps"),
+        "simulation": none(e("simulationStatus"), "UNKNOWN"),
+        "risk": none(e("riskStatus"), "UNKNOWN"),
+        "critical": none(e("criticalPermissionPresent"), False),
+        "buyers_1h": none(e("uniqueBuyers1h"), 0.0),
+        "buyers_20m": none(e("uniqueBuyers20m"), 0.0),
+        "buys_20m": none(e("buyCount20m"), 0.0),
+        "sells_20m": none(e("sellCount20m"), 0.0),
+        "buy_volume": none(e("quoteBuyVolumeRaw20m").try_cast("decimal(38,0)"), 0),
+        "sell_volume": none(e("quoteSellVolumeRaw20m").try_cast("decimal(38,0)"), 0),
+        "deployer_bps": e("deployerPctBps"),
+        "top10_bps": e("adjustedTop10PctBps"),
+        "slippage": null.cast("array<double>"),
+    })
+
+
 def alert_level() -> Column:
     """Of a candidate with eligible and score."""
     gone = F.coalesce(c("collapsed"), F.lit(False)) | F.coalesce(c("regressed"), F.lit(False))
@@ -113,5 +145,6 @@ def effective_risk(most: int) -> Column:
     return F.when(c("status") == "ERROR", "ERROR").when(c("age") > most, "STALE").otherwise(c("status"))
 
 
-def realized_taxonomy() -> Column:
-    return F.when((c("status") == "F") | F.coalesce(c("collapsed"), F.lit(False)), "RUGGED").when(c("mult") >= 20_000, "RUNNER").when(c("mult") < 11_000, "BLED").otherwise("HELD_BAND")
+def realized_taxonomy(outcome: Column | None = None) -> Column:
+    """What came of a call; `outcome` F: the token died."""
+    return F.when(((c("status") if outcome is None else outcome) == "F") | F.coalesce(c("collapsed"), F.lit(False)), "RUGGED").when(c("mult") >= 20_000, "RUNNER").when(c("mult") < 11_000, "BLED").otherwise("HELD_BAND")

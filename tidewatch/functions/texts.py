@@ -60,6 +60,13 @@ def within_tolerance(claimed: Column, actual: Column, bps: float) -> Column:
     return (claimed == actual) | ((base > 0) & (F.abs(claimed - actual) / base * 10_000 <= bps))
 
 
+def any_claim_holds(claimed: Column, actual: Column, bps: float = 100) -> Column:
+    """For an array of actual texts: the claim is the whole array, as JSON without
+    spaces, or holds for any element; false for an empty or null array."""
+    whole = F.to_json(actual) == F.regexp_replace(claimed, r"\s*([\[\],])\s*", "$1")
+    return F.coalesce(whole, F.lit(False)) | F.coalesce(F.exists(actual, lambda a: F.coalesce(claim_holds(claimed, a, bps), F.lit(False))), F.lit(False))
+
+
 def claim_holds(claimed: Column, actual: Column, bps: float = 100) -> Column:
     """Numbers within tolerance, timestamps by the minute, other text exactly."""
     c, a = F.trim(claimed), F.trim(actual)
@@ -68,25 +75,73 @@ def claim_holds(claimed: Column, actual: Column, bps: float = 100) -> Column:
     return F.when(a.rlike(stamp), F.substring(a, 1, 16) == F.substring(c, 1, 16)).when(x.isNotNull() & y.isNotNull(), within_tolerance(x, y, bps)).otherwise(c == a)
 
 
-def quote_wide_integers(json: Column) -> Column:
-    """JSON with bare integers of 16 digits or more put in quotes."""
-    return F.regexp_replace(json, r"([:\[,]\s*)(-?\d{16,})(?=\s*[,\]}])", '$1"$2"')
+def quote_wide_integers(json: Column, keys: tuple[str, ...] = ("id", "update_id")) -> Column:
+    """JSON with the bare integers of these keys put in quotes, so that no reader
+    rounds them; other keys, and digits inside texts, stay."""
+    return F.regexp_replace(json, rf'"({"|".join(keys)})":(-?\d+)', '"$1":"$2"')
 
 
 def strict_object(json: Column, kinds: dict[str, str]) -> Column:
-    """struct of a JSON object's fields if it has exactly these keys and types
-    (`number` or `string`, a ? allows null), else null."""
-    keys = F.array_sort(F.json_object_keys(json))
-    ok = F.coalesce(keys == F.array(*[F.lit(k) for k in sorted(kinds)]), F.lit(False))
+    """struct of a JSON object's fields if it has all these keys, each of its type
+    (`number`, `string`, `boolean` or words to choose from, as `A|B`; a ? allows
+    null), else null. A number in quotes is a string. More keys are ignored."""
+    whole = F.try_parse_json(json)
+    ok = F.coalesce(json.rlike(r"^\s*\{"), F.lit(False))
     fields = []
     for k, kind in kinds.items():
-        text = F.get_json_object(json, f"$.{k}")
-        v = text.try_cast("double") if kind.startswith("number") else text
-        ok &= v.isNotNull() | (text.isNull() if kind.endswith("?") else F.lit(False))
+        part = F.try_variant_get(whole, f"$.{k}", "variant")
+        there = F.schema_of_variant(part)
+        plain = kind.removesuffix("?")
+        text = F.try_variant_get(whole, f"$.{k}", "string")
+        if plain == "number":
+            v, right = F.try_variant_get(whole, f"$.{k}", "double"), there.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        elif plain == "boolean":
+            v, right = F.try_variant_get(whole, f"$.{k}", "boolean"), there == "BOOLEAN"
+        else:
+            v, right = text, there == "STRING"
+            if plain != "string":
+                right &= text.isin(*plain.split("|"))
+        ok &= F.coalesce(right, F.lit(False)) | F.coalesce(there == "VOID", F.lit(False)) & F.lit(kind.endswith("?"))
         fields.append(v.alias(k))
     return F.when(ok, F.struct(*fields))
 
 
+#: The keys of stored entry features and their types.
+ENTRY_FEATURES = {
+    "quoteLiquidityUsd": "string?",
+    "totalLiquidityUsd": "string?",
+    "ageMinutesAtEntry": "number",
+    "uniqueBuyers20m": "number?",
+    "uniqueBuyers1h": "number?",
+    "buyCount20m": "number?",
+    "sellCount20m": "number?",
+    "quoteBuyVolumeRaw20m": "string?",
+    "quoteSellVolumeRaw20m": "string?",
+    "buySizeGiniBps": "number?",
+    "buySizeEntropyBps": "number?",
+    "repeatedSizeBuyPctBps": "number?",
+    "floatBps": "number?",
+    "supplyInPoolBps": "number?",
+    "adjustedTop10PctBps": "number?",
+    "deployerPctBps": "number?",
+    "holderCount": "number?",
+    "adjustedHolderCount": "number?",
+    "largestHolderPctBps": "number?",
+    "holderClusterScoreBps": "number?",
+    "riskStatus": "PASS|FAIL|UNKNOWN|STALE|ERROR?",
+    "simulationStatus": "PASS|FAIL|UNKNOWN?",
+    "effectiveSellLossBps": "number?",
+    "criticalPermissionPresent": "boolean?",
+    "isProxy": "boolean?",
+    "verificationStatus": "VERIFIED|UNVERIFIED|UNKNOWN?",
+}
+
+
+def entry_features(json: Column) -> Column:
+    """Entry features, all or none: a row that lacks a key is not guessed at."""
+    return strict_object(json, ENTRY_FEATURES)
+
+
 def brief_error(json: Column, most: int = 4_000) -> Column:
     """The first error code of a brief's JSON; null where it is valid."""
     of = lambda k: F.get_json_object(json, f"$.{k}")

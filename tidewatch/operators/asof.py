@@ -32,6 +32,22 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, cols
     return out.withColumn("match", F.when(F.col(key).isNotNull(), F.col("match"))).select(*left.columns, "match")
 
 
+def as_of_all(left: DataFrame, rights: dict[str, DataFrame], key: str, time: str, tie: str, tolerance: dict[str, int] | None = None) -> DataFrame:
+    """left with, for each right table by name, a struct of its columns: its last
+    row at or before left time (ties by the greatest tie), null if none or if it
+    is further than its tolerance; and <name>_n, how many rows there were until
+    then. All tables are united and read by one window per key: one exchange,
+    however many they are. Left rows with a null key match nothing."""
+    u = left.select("*", F.col(time).alias("o"), F.lit(1).alias("side"), F.lit(None).cast(left.schema[tie].dataType).alias("rtie"))
+    for name, right in rights.items():
+        u = u.unionByName(right.select(F.col(key), F.col(time).alias("o"), F.lit(0).alias("side"), F.col(tie).alias("rtie"), F.struct(F.col(time).alias("t"), *[c for c in right.columns if c not in (time, key)]).alias(name)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("o", "side", "rtie").rowsBetween(Window.unboundedPreceding, 0)
+    out = u.select("*", *[F.last(n, ignorenulls=True).over(w).alias(f"{n}__m") for n in rights], *[F.count(n).over(w).alias(f"{n}__n") for n in rights]).where("side = 1")
+    here = F.col(key).isNotNull()
+    near = lambda n: (F.col(time) - F.col(f"{n}__m.t") <= tolerance[n]) if n in (tolerance or {}) else F.lit(True)
+    return out.select(*left.columns, *[F.when(here & near(n), F.col(f"{n}__m")).alias(n) for n in rights], *[F.when(here, F.col(f"{n}__n")).otherwise(0).alias(f"{n}_n") for n in rights])
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, cols: list[str]) -> DataFrame:
     """left with `match`, the right row of least distance in time; of equal
     distances the greatest tie."""

@@ -167,9 +167,14 @@ def active_set(spark, sf):
     return j.where((F.col("part") >= 1000) | F.coalesce(F.col("fdv").between(10000, 100000), F.lit(False))).select("part")
 
 
-@query(sql("snapshots", f", {_P}, {_LAST}, c AS (SELECT max(t) - {H} AS c FROM snapshots) SELECT part, t, (row_number() OVER (ORDER BY t NULLS FIRST, part))::INT AS place FROM p LEFT JOIN last USING (pool) WHERE NOT coalesce(fdv BETWEEN 10000 AND 100000, false) ORDER BY t NULLS FIRST, part LIMIT 500"))
+@query(sql("snapshots", f", {_P}, {_LAST}, c AS (SELECT max(t) - {H} AS c FROM snapshots) SELECT part, t, (row_number() OVER (ORDER BY t NULLS FIRST, part))::INT AS place FROM p LEFT JOIN last USING (pool) WHERE NOT coalesce(fdv BETWEEN 10000 AND 100000, false) AND NOT EXISTS (SELECT 1 FROM snapshots s, c WHERE s.pool = p.pool AND s.t >= c.c) ORDER BY t NULLS FIRST, part LIMIT 500"))
 def idle_lane_nulls_first(spark, sf):
-    j = _pools(spark, sf).join(_last(spark, sf), "pool", "left").where(~F.coalesce(F.col("fdv").between(10000, 100000), F.lit(False)))
+    """Pools that aren't active and have no snapshot since the cut, the stalest
+    first, those without any before them."""
+    s = snapshots(spark, sf)
+    cut = s.agg((F.max("t") - H).alias("cut"))
+    fresh = s.join(F.broadcast(cut), F.col("t") >= F.col("cut")).select("pool").distinct()
+    j = _pools(spark, sf).join(_last(spark, sf), "pool", "left").where(~F.coalesce(F.col("fdv").between(10000, 100000), F.lit(False))).join(fresh, "pool", "left_anti")
     top = j.orderBy(F.asc_nulls_first("t"), "part").limit(500)
     return top.select("part", "t", F.row_number().over(Window.orderBy(F.asc_nulls_first("t"), "part")).alias("place"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import rules, scalars, wide
+from ..functions import rules, scalars, texts, wide
 from ..operators import asof, stats
 from ..operators.series import DAY, half_up
 from ..operators.stats import r6, wilson
@@ -178,13 +178,13 @@ def slippage_nearest(spark, sf):
 
 @query("""WITH q AS (SELECT event_id AS brief, 'orders' AS tab, user_id * 3 AS row_id, floor(value)::BIGINT AS claimed FROM events UNION ALL SELECT event_id, 'ghost', user_id, 0 FROM events WHERE event_id % 10 = 0),
 r AS (SELECT o_orderkey AS row_id, o_totalprice AS actual FROM orders)
-SELECT code, count(*) AS n, count(DISTINCT brief) AS briefs FROM (SELECT brief, CASE WHEN tab <> 'orders' THEN 'UNKNOWN_TABLE' WHEN r.row_id IS NULL THEN 'ROW_NOT_FOUND' WHEN abs(claimed * 1000 - actual) / abs(actual) * 10000 <= 1000 THEN 'OK' ELSE 'VALUE_MISMATCH' END AS code FROM q LEFT JOIN r ON q.tab = 'orders' AND r.row_id = q.row_id) GROUP BY 1""")
+SELECT code, count(*) AS n, count(DISTINCT brief) AS briefs FROM (SELECT brief, CASE WHEN tab <> 'orders' THEN 'UNKNOWN_TABLE' WHEN r.row_id IS NULL THEN 'ROW_NOT_FOUND' WHEN abs(claimed * 1000 - actual) / abs(actual) * 10000 <= 100 THEN 'OK' ELSE 'VALUE_MISMATCH' END AS code FROM q LEFT JOIN r ON q.tab = 'orders' AND r.row_id = q.row_id) GROUP BY 1""")
 def citation_check(spark, sf):
     e = read(spark, sf, "events")
     q = e.select(F.col("event_id").alias("brief"), F.lit("orders").alias("tab"), (F.col("user_id") * 3).alias("row_id"), F.floor("value").cast("bigint").alias("claimed")).unionByName(e.where("event_id % 10 = 0").select(F.col("event_id").alias("brief"), F.lit("ghost").alias("tab"), F.col("user_id").alias("row_id"), F.lit(0).cast("bigint").alias("claimed")))
     r = read(spark, sf, "orders").select(F.lit("orders").alias("tab"), F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("actual"))
     j = q.join(r, ["tab", "row_id"], "left")
-    near = F.abs(F.col("claimed") * 1000 - F.col("actual")) / F.abs(F.col("actual")) * 10000 <= 1000
+    near = texts.within_tolerance(F.col("claimed") * 1000, F.col("actual"), 100)
     code = F.when(F.col("tab") != "orders", "UNKNOWN_TABLE").when(F.col("actual").isNull(), "ROW_NOT_FOUND").when(near, "OK").otherwise("VALUE_MISMATCH")
     return j.groupBy(code.alias("code")).agg(F.count("*").alias("n"), F.count_distinct("brief").alias("briefs"))
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import abi, contracts, rules
 from ..functions.scalars import shortfall_bps
-from ..sources.tables import read, sql
-from .analytics import CANDIDATES, candidates
+from ..sources.tables import read
 from .catalogue import query
 
 _SELECTED = ("mint", "pause", "ownership", "upgradeAdmin")
@@ -70,9 +69,18 @@ def effective_risk_status(spark, sf):
     return o.select("id", rules.effective_risk(60).alias("status"))
 
 
-@query(sql("snapshots swaps", CANDIDATES + " SELECT pool, array_to_string(list_filter([CASE WHEN simulation <> 'PASS' THEN 'Sell simulation is not confirmed (status ' || simulation || ')' END, CASE WHEN critical THEN 'A critical privileged permission is present' END, CASE WHEN deployer_bps > 800 THEN 'Deployer holds a large share (' || deployer_bps || ' bps of supply)' END, CASE WHEN top10_bps >= 6000 THEN 'Adjusted top-10 ownership is highly concentrated (' || top10_bps || ' bps)' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM c"))
+_MORE = "q AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' ELSE 'UNKNOWN' END AS simulation, p_partkey % 5 = 1 AS critical, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 4 = 1 END AS is_proxy, CASE p_partkey % 7 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'UNVERIFIED' ELSE 'UNKNOWN' END AS verification, CASE WHEN p_partkey % 6 <> 0 THEN p_partkey * 37 % 1000 END AS deployer_bps, CASE WHEN p_partkey % 8 <> 0 THEN p_partkey * 53 % 9000 END AS top10_bps, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey * 71 % 5000 END AS largest_bps, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 40 END AS holders, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 30 END AS adjusted_holders, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 89 % 10001 END AS gini_bps, CASE WHEN p_partkey % 3 <> 1 THEN p_partkey * 97 % 10001 END AS entropy_bps, CASE WHEN p_partkey % 3 <> 2 THEN p_partkey * 61 % 10001 END AS repeated_bps FROM part)"
+
+
+@query("WITH " + _MORE + """ SELECT id, array_to_string(list_filter([CASE WHEN simulation = 'PASS' THEN 'Trade simulation passes through the real route' END, CASE WHEN verification = 'VERIFIED' THEN 'Contract source is verified' END, CASE WHEN deployer_bps <= 100 THEN 'Deployer holds a negligible share' END, CASE WHEN top10_bps < 2000 THEN 'Adjusted top-10 ownership is well distributed' END, CASE WHEN coalesce(adjusted_holders, holders) > 0 THEN 'Adjusted holder count is ' || coalesce(adjusted_holders, holders) END], lambda x: x IS NOT NULL), '; ') AS positive,
+array_to_string(list_filter([CASE WHEN simulation <> 'PASS' THEN 'Sell simulation is not confirmed (status ' || simulation || ')' END, CASE WHEN critical THEN 'A critical privileged permission is present' END, CASE WHEN is_proxy THEN 'Contract is a proxy; logic can change' END, CASE WHEN verification = 'UNVERIFIED' THEN 'Contract source is not verified' END, CASE WHEN deployer_bps > 800 THEN 'Deployer holds a large share (' || deployer_bps || ' bps of supply)' END, CASE WHEN top10_bps >= 6000 THEN 'Adjusted top-10 ownership is highly concentrated (' || top10_bps || ' bps)' END, CASE WHEN largest_bps >= 3000 THEN 'A single holder controls a large share (' || largest_bps || ' bps)' END, CASE WHEN gini_bps >= 7000 THEN 'Buy sizes are highly concentrated in one buyer (Gini ' || gini_bps || ' bps)' END, CASE WHEN entropy_bps <= 3000 THEN 'Buy-size entropy is low (' || entropy_bps || ' bps of max)' END, CASE WHEN repeated_bps >= 4000 THEN 'A large share of buys repeat an identical quote size (' || repeated_bps || ' bps)' END], lambda x: x IS NOT NULL), '; ') AS risk FROM q""")
 def advisory_reasons(spark, sf):
-    return candidates(spark, sf).select("pool", F.array_join(contracts.advisory(), "; ").alias("reasons"))
+    """All reasons worth no points, for and against; every signal is missing for
+    some rows."""
+    k = F.col("p_partkey")
+    some = lambda keep, x: F.when(keep, x)
+    q = read(spark, sf, "part").select(k.alias("id"), F.when(k % 3 == 0, "PASS").when(k % 3 == 1, "FAIL").otherwise("UNKNOWN").alias("simulation"), (k % 5 == 1).alias("critical"), some(k % 4 != 0, k % 4 == 1).alias("is_proxy"), F.when(k % 7 == 0, "VERIFIED").when(k % 7 == 1, "UNVERIFIED").otherwise("UNKNOWN").alias("verification"), some(k % 6 != 0, k * 37 % 1000).alias("deployer_bps"), some(k % 8 != 0, k * 53 % 9000).alias("top10_bps"), some(k % 9 != 0, k * 71 % 5000).alias("largest_bps"), some(k % 10 != 0, k % 40).alias("holders"), some(k % 2 == 0, k % 30).alias("adjusted_holders"), some(k % 3 != 0, k * 89 % 10001).alias("gini_bps"), some(k % 3 != 1, k * 97 % 10001).alias("entropy_bps"), some(k % 3 != 2, k * 61 % 10001).alias("repeated_bps"))
+    return q.select("id", F.array_join(contracts.positives(), "; ").alias("positive"), F.array_join(contracts.advisory(), "; ").alias("risk"))
 
 
 _ANCHOR = "d AS (SELECT s_nationkey AS pair, s_suppkey AS pool, s_acctbal AS depth FROM supplier), a AS (SELECT pair, pool, depth FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY depth DESC, pool) AS r FROM d) WHERE r = 1 AND depth >= 5000)"

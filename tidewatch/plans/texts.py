@@ -64,22 +64,39 @@ def claims_hold(spark, sf):
     return read(spark, sf, "orders").select(k.alias("id"), texts.usd_number(text).alias("usd"), texts.claim_holds(claimed, actual).alias("holds"))
 
 
-@query("SELECT o_orderkey AS id, '{\"chat\": ' || CASE WHEN o_orderkey % 2 = 0 THEN '\"1234567890' || lpad(o_orderkey::VARCHAR, 9, '0') || '\"' ELSE o_orderkey::VARCHAR END || ', \"n\": 5}' AS json FROM orders")
+@query("SELECT o_orderkey AS id, '{\"update_id\":\"' || CASE WHEN o_orderkey % 2 = 0 THEN '1234567890' || lpad(o_orderkey::VARCHAR, 9, '0') ELSE o_orderkey::VARCHAR END || '\",\"chat\":{\"id\":\"-' || o_orderkey || '\"},\"date\":12345678901234567890,\"text\":\"a, 12345678901234567890, b\"}' AS json FROM orders")
 def wide_ids_quoted(spark, sf):
+    """Ids of any length are quoted; a long number under another key, or inside
+    a text, stays."""
     k = F.col("o_orderkey")
     number = F.when(k % 2 == 0, F.concat(F.lit("1234567890"), F.lpad(k.cast("string"), 9, "0"))).otherwise(k.cast("string"))
-    return read(spark, sf, "orders").select(k.alias("id"), texts.quote_wide_integers(F.concat(F.lit('{"chat": '), number, F.lit(', "n": 5}'))).alias("json"))
+    raw = F.concat(F.lit('{"update_id":'), number, F.lit(',"chat":{"id":-'), k.cast("string"), F.lit('},"date":12345678901234567890,"text":"a, 12345678901234567890, b"}'))
+    return read(spark, sf, "orders").select(k.alias("id"), texts.quote_wide_integers(raw).alias("json"))
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 4 < 2 THEN CASE WHEN event_id % 4 = 0 THEN (props->>'$.k')::DOUBLE END END AS k, CASE WHEN event_id % 4 < 2 THEN event_type END AS side FROM events")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN o_orderkey % 4 = 0 WHEN 3 THEN false WHEN 4 THEN false ELSE true END AS holds FROM orders")
+def array_claims_hold(spark, sf):
+    """Claims against arrays: the whole array, one element, an element half a
+    percent off or (unless the key is a multiple of four) two percent off, none
+    of them, an empty array, a whole array with spaces."""
+    k, p = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    off = F.when(k % 4 == 0, F.col("o_totalprice") * 1.005).otherwise(F.col("o_totalprice") * 1.02)
+    actual = F.when(k % 6 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("WATCH"), p))
+    claimed = F.when(k % 6 == 0, F.to_json(F.array(F.lit("WATCH"), p))).when(k % 6 == 1, F.lit("WATCH")).when(k % 6 == 2, off.cast("string")).when(k % 6 == 3, F.lit("PASS")).when(k % 6 == 4, F.lit("WATCH")).otherwise(F.concat(F.lit('[ "WATCH" , "'), p, F.lit('" ]')))
+    return read(spark, sf, "orders").select(k.alias("id"), texts.any_claim_holds(claimed, actual).alias("holds"))
+
+
+@query("SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN (props->>'$.k')::DOUBLE WHEN 2 THEN 1.0 END AS k, CASE WHEN event_id % 6 < 3 THEN event_type END AS side, CASE WHEN event_id % 6 < 3 THEN event_id % 2 = 0 END AS flag FROM events")
 def strict_features(spark, sf):
-    """An object with the two keys, k a number or null; one with a key too many
-    and one with a text for k count as nothing."""
+    """An object with three keys: k a number or null, a side, a flag. A key more
+    is ignored; one with words or a quoted number for k, or without the flag,
+    counts as nothing."""
     i, k = F.col("event_id"), F.get_json_object("props", "$.k")
-    side = F.concat(F.lit('"side": "'), F.col("event_type"), F.lit('"'))
-    json = F.when(i % 4 == 0, F.concat(F.lit('{"k": '), k, F.lit(", "), side, F.lit("}"))).when(i % 4 == 1, F.concat(F.lit('{"k": null, '), side, F.lit("}"))).when(i % 4 == 2, F.concat(F.lit('{"k": 1, "z": 2, '), side, F.lit("}"))).otherwise(F.concat(F.lit('{"k": "one", '), side, F.lit("}")))
-    e = read(spark, sf, "events").select(i.alias("id"), texts.strict_object(json, {"k": "number?", "side": "string"}).alias("f"))
-    return e.select("id", "f.k", "f.side")
+    rest = F.concat(F.lit('"side": "'), F.col("event_type"), F.lit('", "flag": '), (i % 2 == 0).cast("string"), F.lit("}"))
+    of = lambda v: F.concat(F.lit('{"k": '), v if not isinstance(v, str) else F.lit(v), F.lit(", "), rest)
+    json = F.when(i % 6 == 0, of(k)).when(i % 6 == 1, of("null")).when(i % 6 == 2, of('1, "z": 2')).when(i % 6 == 3, of('"one"')).when(i % 6 == 4, of('"1"')).otherwise(F.lit('{"k": 1, "side": "view"}'))
+    e = read(spark, sf, "events").select(i.alias("id"), texts.strict_object(json, {"k": "number?", "side": "string", "flag": "boolean"}).alias("f"))
+    return e.select("id", "f.k", "f.side", "f.flag")
 
 
 @query("SELECT code, count(*) AS n FROM (SELECT CASE o_orderkey % 8 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'INVALID_SHAPE' WHEN 2 THEN 'THESIS_INVALID' WHEN 3 THEN 'CONFIDENCE_OUT_OF_RANGE' WHEN 4 THEN 'RECOMMENDATION_INVALID' WHEN 5 THEN 'EVIDENCE_INVALID' WHEN 6 THEN 'THESIS_TOO_LONG' END AS code FROM orders) GROUP BY 1")

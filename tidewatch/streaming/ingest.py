@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import uuid
 from functools import reduce
 
@@ -32,8 +33,10 @@ def run_of(checkpoint: str) -> str:
     return "r" + hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def append_once(batch: DataFrame, path: str, keys: list[str], run: str, batch_id: int, order: str | None = None) -> DataFrame:
-    """Appends one row of each key that is new, and returns what was appended.
+def append_once(batch: DataFrame, path: str, keys: list[str], run: str, batch_id: int, order: str | None = None, first: list[str] | None = None) -> DataFrame:
+    """Appends the first row of each key that is new, and returns what was
+    appended. `first`: the columns by which a batch's rows of one key are ordered
+    (all columns unless given); across batches what is stored wins.
 
     A batch has a folder of its own, run=.../batch=..., which a replay
     overwrites and doesn't look at; so a replayed batch changes nothing, and nor
@@ -42,7 +45,8 @@ def append_once(batch: DataFrame, path: str, keys: list[str], run: str, batch_id
     read, as Parquet's statistics show where they are.
     """
     spark, own = batch.sparkSession, f"{path}/run={run}/batch={batch_id}"
-    new, older = batch.dropDuplicates(keys), stored(spark, path)
+    row = F.min_by(F.struct(*batch.columns), F.struct(*(first or batch.columns)))
+    new, older = batch.groupBy(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]).agg(row.alias("row")).select("row.*"), stored(spark, path)
     if older is not None:
         older = older.where((F.col("run") != run) | (F.col("batch") != batch_id))
         if order is not None:
@@ -71,7 +75,7 @@ def ingest_events(stream: DataFrame, out: str, checkpoint: str):
     run = run_of(checkpoint)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        new = append_once(batch, f"{out}/events", ["event_id"], run, batch_id, "event_id")
+        new = append_once(batch, f"{out}/events", ["event_id"], run, batch_id, "event_id", ["ts"])
         pools = new.select((F.get_json_object("props", "$.k").try_cast("bigint") % 20).alias("pool"), micros("ts").alias("t"), "event_type")
         touched = pools.groupBy("pool").agg(F.max("t").alias("t"), F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("buys"))
         write_batch(touched, f"{out}/activity", run, batch_id)
@@ -109,7 +113,14 @@ def refresh_due(active: DataFrame, last: DataFrame, age: int) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp").rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; a local session without
+    spark.checkpoint.dir gets a temporary one, a cluster's is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
 
 
 @query(sql("snapshots", f"SELECT p_partkey AS pool FROM part WHERE p_partkey NOT IN (SELECT pool FROM snapshots GROUP BY pool HAVING max(t) > (SELECT max(t) FROM snapshots) - {3 * series.DAY})"))
