@@ -160,3 +160,89 @@ def test_texts(spark):
 
 def test_permissions_without_code(spark):
     assert one(spark, contracts.permission(F.lit("0x"), "mint"), contracts.permission(F.lit("0x6040c10f1900"), "mint"), contracts.permission(F.lit("0x60"), "mint")) == ("UNKNOWN", "PRESENT", "ABSENT")
+
+
+def test_as_of_in_buckets_equals_one_window(spark):
+    import random
+
+    rng = random.Random(2)
+    l = spark.createDataFrame([(i, rng.choice([1, 2, None]), rng.randrange(1000)) for i in range(200)], "id long, k long, t long")
+    r = spark.createDataFrame([(i, rng.choice([1, 1, 2, 3]), rng.randrange(1000)) for i in range(60)], "rid long, k long, t long")
+    for forward in (False, True):
+        for more in ({}, {"grace": 40}, {"tolerance": 15}):
+            whole, split = (sorted((x["id"], x["match"] and tuple(x["match"])) for x in asof.as_of(l, r, "k", "t", "rid", [], forward=forward, bucket=b, **more).collect()) for b in (None, 50))
+            assert whole == split
+
+
+def test_as_of_all(spark):
+    l = spark.createDataFrame([(1, "a", 100), (2, "a", 5), (3, None, 100), (4, "b", 50)], "id long, k string, t long")
+    x = spark.createDataFrame([(10, "a", 100), (11, "a", 100), (12, "a", 101), (13, "b", 1)], "id long, k string, t long")
+    y = spark.createDataFrame([(20, "a", 90), (21, "b", 50), (22, None, 1)], "id long, k string, t long")
+    got = {r["id"]: (r["x"] and r["x"]["id"], r["x_n"], r["y"] and r["y"]["id"]) for r in asof.as_of_all(l, {"x": x, "y": y}, "k", "t", "id", tolerance={"x": 40}).collect()}
+    assert got == {1: (11, 2, 20), 2: (None, 0, None), 3: (None, 0, None), 4: (None, 1, 21)}
+
+
+def test_rolling_activity_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice("abcd"), rng.randrange(400), rng.choice(["BUY", "BUY", "SELL", "UNKNOWN"]), rng.randrange(100)) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, pool long, buyer string, t long, side string, amount long")
+    want = set()
+    for i, pool, _, t, side, _ in rows:
+        if side == "BUY":
+            near = [r for r in rows if r[1] == pool and t - 7 <= r[3] <= t]
+            b, s = [r for r in near if r[4] == "BUY"], [r for r in near if r[4] == "SELL"]
+            want.add((i, pool, len({r[2] for r in b}), len(b), len(s), sum(r[5] for r in b), sum(r[5] for r in s)))
+    assert {tuple(r) for r in series.rolling_activity(d, 7).collect()} == want
+
+
+def test_strict_entry_features(spark):
+    import json
+
+    good = {k: None if v.endswith("?") else 5 for k, v in texts.ENTRY_FEATURES.items()} | {"quoteLiquidityUsd": "12.5", "riskStatus": "STALE", "isProxy": False}
+    assert len(good) == 26
+    rows = [good, good | {"uniqueBuyers1h": "3"}, good | {"uniqueBuyers1h": 3}, good | {"isProxy": "false"}, good | {"riskStatus": "MAYBE"}, good | {"ageMinutesAtEntry": None}, good | {"extra": 1}, {k: v for k, v in good.items() if k != "isProxy"}, good | {"quoteLiquidityUsd": 12.5}]
+    d = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)] + [(9, "[1]"), (10, "{"), (11, None)], "i int, j string")
+    got = {r["i"]: r["e"] for r in d.select("i", texts.entry_features(F.col("j")).alias("e")).collect()}
+    assert [i for i in got if got[i] is not None] == [0, 2, 6]
+    assert got[0]["quoteLiquidityUsd"] == "12.5" and got[2]["uniqueBuyers1h"] == 3 and got[0]["isProxy"] is False
+
+
+def test_ids_quoted(spark):
+    raw = '{"update_id":123,"message":{"id":-45,"date":12345678901234567890,"text":"a, 12345678901234567890, \\"id\\":7"}}'
+    want = '{"update_id":"123","message":{"id":"-45","date":12345678901234567890,"text":"a, 12345678901234567890, \\"id\\":7"}}'
+    assert one(spark, texts.quote_wide_integers(F.lit(raw))) == (want,)
+
+
+def test_realized_tags(spark):
+    from tidewatch.functions import judgment
+
+    of = lambda tag, label, fall: one(spark, judgment.came_true(F.lit(tag), F.lit(label), F.lit(fall)))[0]
+    assert of("RUG_LP_PULL", "RUGGED", 0) and not of("RUG_LP_PULL", "BLED", 9000)
+    assert of("CONCENTRATION_DUMP", "RUNNER", 5001) and not of("CONCENTRATION_DUMP", "RUNNER", 5000)
+    assert of("NO_FOLLOW_THROUGH", "HELD_BAND", 0) and not of("NO_FOLLOW_THROUGH", "RUNNER", 0)
+    assert of("OTHER", "RUGGED", 9000) is None
+    assert one(spark, judgment.implied_bps(F.lit("RESEARCH"), F.lit(8000)), judgment.implied_bps(F.lit("WATCH"), F.lit(8000)), judgment.implied_bps(F.lit("PASS"), F.lit(8000))) == (8000, 5000, 2000)
+    assert one(spark, judgment.liquidity_collapsed(F.lit(100.0), F.lit(19.9)), judgment.liquidity_collapsed(F.lit(100.0), F.lit(20.0)), judgment.liquidity_collapsed(F.lit(None).cast("double"), F.lit(1.0))) == (True, False, False)
+
+
+def test_lookups(spark):
+    from tidewatch.operators import lookup
+
+    d = spark.createDataFrame([("A", 1, 5), ("b", 2, 4), ("c", 3, 3), ("a", 4, 9)], "k string, n int, t long")
+    ns = lambda x: sorted(r["n"] for r in x.collect())
+    assert ns(lookup.by_keys(d, "k", ["a", "B", "a", None], "lower")) == [1, 2, 4] and ns(lookup.by_keys(d, "k", ["a"])) == [4] and ns(lookup.by_keys(d, "k", [])) == []
+    assert ns(lookup.since(d, "t", 4, F.col("n") < 4)) == [1, 2]
+    assert ns(lookup.first_by(d.withColumn("g", F.lower("k")), ["g"], ["t", "n"])) == [1, 2, 3]
+
+
+def test_first_rows_win_within_a_batch(spark, tmp_path):
+    from tidewatch.streaming import ingest
+
+    rows = [(1, 30, "late"), (1, 10, "first"), (1, 20, "second"), (2, 5, "only")]
+    d = spark.createDataFrame(rows, "k int, t long, v string").repartition(4)
+    got = ingest.append_once(d, f"file://{tmp_path}/x", ["k"], "r", 0, first=["t"])
+    assert {(r["k"], r["v"]) for r in got.collect()} == {(1, "first"), (2, "only")}
+    again = ingest.append_once(d.withColumn("t", F.col("t") - 100), f"file://{tmp_path}/x", ["k"], "r", 1, first=["t"])
+    assert again.count() == 0

@@ -10,23 +10,37 @@ def latest(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) ->
     return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, cols: list[str], grace: int = 0, tolerance: int | None = None, forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, cols: list[str], grace: int = 0, tolerance: int | None = None, forward: bool = False, bucket: int | None = None) -> DataFrame:
     """left with struct `match` of the right columns: the last right row at or
     before left time + grace (ties by the greatest tie), null if none or if it
     is further than tolerance. forward: the first at or after instead.
 
     Rows of both sides are tagged, united and read in time order by one window
     per key, so there is no range join and one exchange. Left rows with a null
-    key match nothing."""
+    key match nothing. `bucket`, a length of time, splits keys with very many
+    rows: windows are per key and bucket, and a left row without a match in its
+    own takes the last right row of the buckets before (of those after, if
+    forward), from a table of one row per key and bucket."""
     l = left.select("*", F.col(time).alias("lt"), (F.col(time) + (-grace if forward else grace)).alias("o"), F.lit(1).alias("side"), F.lit(None).cast(right.schema[tie].dataType).alias("rtie"))
     r = right.select(F.col(key), F.col(time).alias("o"), F.lit(0).alias("side"), F.col(tie).alias("rtie"), F.struct(F.col(time).alias("t"), F.col(tie), *[c for c in cols if c not in (time, tie)]).alias("r"))
     u = l.unionByName(r, allowMissingColumns=True)
+    part = [key] if bucket is None else [key, "bucket__"]
+    if bucket is not None:
+        u = u.withColumn("bucket__", F.floor(F.col("o") / bucket))
     if forward:
-        w = Window.partitionBy(key).orderBy(F.col("o").desc(), "side", F.col("rtie")).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*part).orderBy(F.col("o").desc(), "side", F.col("rtie")).rowsBetween(Window.unboundedPreceding, 0)
     else:
-        w = Window.partitionBy(key).orderBy("o", "side", "rtie").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*part).orderBy("o", "side", "rtie").rowsBetween(Window.unboundedPreceding, 0)
     match = F.last("r", ignorenulls=True).over(w)
     out = u.withColumn("match", match).where("side = 1")
+    if bucket is not None:
+        # what each bucket of a key hands on, over the buckets that hold anything
+        b = u.where(F.col(key).isNotNull())
+        far = F.struct(F.when(F.lit(forward), -F.col("o")).otherwise(F.col("o")), "rtie")
+        ends = b.groupBy(key, "bucket__").agg(F.max_by("r", F.when(F.col("side") == 0, far)).alias("end__"))
+        over = Window.partitionBy(key).orderBy(F.desc("bucket__") if forward else F.asc("bucket__")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(key, "bucket__", F.last("end__", ignorenulls=True).over(over).alias("carried__"))
+        out = out.join(ends, [key, "bucket__"], "left").withColumn("match", F.coalesce("match", "carried__"))
     if tolerance is not None:
         out = out.withColumn("match", F.when(F.abs(F.col("lt") - F.col("match.t")) <= tolerance, F.col("match")))
     return out.withColumn("match", F.when(F.col(key).isNotNull(), F.col("match"))).select(*left.columns, "match")

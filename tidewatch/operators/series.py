@@ -15,11 +15,39 @@ def half_up(x: Column) -> Column:
 
 def rolling_activity(swaps: DataFrame, width: int, at: str = "BUY") -> DataFrame:
     """For each swap of side `at`: distinct buyers, buys, sells and volumes of
-    its pool in [t - width, t], both ends inside."""
-    w = Window.partitionBy("pool").orderBy("t").rangeBetween(-width, 0)
+    its pool in [t - width, t], both ends inside.
+
+    A swap counts from its time on until `width` later, so all figures are
+    running sums of what enters and leaves; a buyer enters with the first of
+    several buys no more than `width` apart and leaves `width` after the last.
+    Sums run within buckets of a pool's time, onto the sum of the buckets before
+    (a table of one row per pool and bucket), so neither a hot pool nor a crowded
+    window is one task's work."""
     buy, sell = F.col("side") == "BUY", F.col("side") == "SELL"
-    out = swaps.select("id", "pool", "side", F.size(F.collect_set(F.when(buy, F.col("buyer"))).over(w)).cast("bigint").alias("buyers"), F.count(F.when(buy, 1)).over(w).alias("buys"), F.count(F.when(sell, 1)).over(w).alias("sells"), F.coalesce(F.sum(F.when(buy, F.col("amount"))).over(w), F.lit(0)).alias("buy_volume"), F.coalesce(F.sum(F.when(sell, F.col("amount"))).over(w), F.lit(0)).alias("sell_volume"))
-    return out.where(F.col("side") == at).drop("side")
+    mine = Window.partitionBy("pool", "buyer").orderBy("t", "id")
+    buys = swaps.where(buy).select("*", F.lag("t").over(mine).alias("prev"), F.lead("t").over(mine).alias("next"))
+    s = buys.unionByName(swaps.where(sell), allowMissingColumns=True)
+    whole = lambda x: F.when(x, 1).otherwise(0).cast("bigint")
+    amount = lambda x: F.when(x, F.coalesce("amount", F.lit(0))).otherwise(0).cast("bigint")
+    comes = buy & F.col("buyer").isNotNull() & (F.col("prev").isNull() | (F.col("t") - F.col("prev") > width))
+    goes = buy & F.col("buyer").isNotNull() & (F.col("next").isNull() | (F.col("next") - F.col("t") > width))
+    names = ("buyers", "buys", "sells", "buy_volume", "sell_volume")
+
+    def change(time, place: int, sign: int, buyer):
+        values = (whole(buyer), whole(buy), whole(sell), amount(buy), amount(sell))
+        return F.struct(time.alias("time"), F.lit(place).alias("place"), *[(sign * v).alias(n) for v, n in zip(values, names)])
+
+    # at one time, what enters comes before the rows that ask, what leaves after
+    moves = s.select("pool", F.inline(F.array(change(F.col("t"), 0, 1, comes), change(F.col("t") + width, 2, -1, goes))))
+    asks = swaps.where(F.col("side") == at).select("pool", F.col("t").alias("time"), F.lit(1).alias("place"), "id")
+    u = moves.unionByName(asks, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("time") / (16 * width)))
+    upto = Window.partitionBy("pool", "bucket").orderBy("time", "place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = u.select("id", "pool", "bucket", "place", *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(n) for n in names]).where("place = 1")
+    totals = u.groupBy(F.col("pool").alias("p"), F.col("bucket").alias("at")).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    before = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("p", "at", *[F.sum(n).over(before).alias(f"{n}_0") for n in names])
+    out = inside.join(carried, F.col("pool").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("at")), "left")
+    return out.select("id", "pool", *[(F.col(n) + F.coalesce(f"{n}_0", F.lit(0))).alias(n) for n in names])
 
 
 def gini_bps(swaps: DataFrame) -> DataFrame:

@@ -115,13 +115,13 @@ def _matched(m):
 @query(_asof_sql("v.t <= b.t", "v.t DESC, v.id DESC"))
 def asof_backward(spark, sf):
     b, v = _sides(spark, sf)
-    return _matched(asof.as_of(b, v, "u", "t", "id", ["value"]))
+    return _matched(asof.as_of(b, v, "u", "t", "id", ["value"], bucket=3 * DAY))
 
 
 @query(_asof_sql(f"v.t <= b.t + {DAY}", "v.t DESC, v.id DESC"))
 def asof_grace(spark, sf):
     b, v = _sides(spark, sf)
-    return _matched(asof.as_of(b, v, "u", "t", "id", ["value"], grace=DAY))
+    return _matched(asof.as_of(b, v, "u", "t", "id", ["value"], grace=DAY, bucket=3 * DAY))
 
 
 @query(_asof_sql("v.t <= b.t", "v.t DESC, v.id DESC", f"abs(bt - vt) <= {DAY}"))
