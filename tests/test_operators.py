@@ -246,3 +246,9 @@ def test_first_rows_win_within_a_batch(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in got.collect()} == {(1, "first"), (2, "only")}
     again = ingest.append_once(d.withColumn("t", F.col("t") - 100), f"file://{tmp_path}/x", ["k"], "r", 1, first=["t"])
     assert again.count() == 0
+
+
+def test_format_wad(spark):
+    cases = {2500 * 10**18: "2500", 25 * 10**16: "0.25", -15 * 10**17: "-1.5", 0: "0", 1: "0.000000000000000001", 10**40 + 5 * 10**17: "10000000000000000000000.5"}
+    got = one(spark, *[wide.format_wad(F.lit(str(x))) for x in cases])
+    assert list(got) == list(cases.values())

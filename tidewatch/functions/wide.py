@@ -68,3 +68,24 @@ def v3_price(root: Column, base_decimals: Column, quote_decimals: Column, base_f
 def usd_value(raw: Column, decimals: Column, price: Column) -> Column:
     """raw / 10^decimals times price, times 10^18; null from 10^36 dollars on."""
     return _exact(lambda r, d, p: v if (v := r * p // 10**d) < 10**54 else None, raw, decimals, price)
+
+
+def price_by_kind(kind: Column, base_reserve: Column, quote_reserve: Column, root: Column, base_decimals: Column, quote_decimals: Column, base_first: Column) -> Column:
+    """The price of a pool by its kind, v2 by reserves or v3 by square root and
+    side; null for another kind, and where the kind's own inputs are missing."""
+    none = F.lit(None).cast("string")
+    of = lambda which, x: F.when(which, x.cast("string")).otherwise(none)
+    v2, v3 = kind == "v2", kind == "v3"
+    forward, back = v3 & base_first, v3 & ~base_first
+    return F.coalesce(v2_price(of(v2, base_reserve), quote_reserve, base_decimals, quote_decimals), v3_price(of(forward, root), base_decimals, quote_decimals, True), v3_price(of(back, root), base_decimals, quote_decimals, False))
+
+
+def format_wad(x: Column) -> Column:
+    """A whole number of 10^-18 in text as a plain decimal, without zeros at its
+    end: 250000000000000000 is 0.25."""
+    digits = F.regexp_replace(x, "^-?0*", "")
+    padded = F.when(F.length(digits) < 19, F.lpad(digits, 19, "0")).otherwise(digits)
+    whole = F.substring(padded, F.lit(1), F.length(padded) - 18)
+    part = F.regexp_replace(F.right(padded, F.lit(18)), "0+$", "")
+    minus = F.when(x.startswith("-") & (digits != ""), "-").otherwise("")
+    return F.concat(minus, whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
