@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from compare import DATA
 
 from tidewatch.llm import substring as s
@@ -165,7 +166,11 @@ def test_long_lines_count_as_one_wherever_they_stand():
             _, line, w, words, d1, _, _ = units([part], whole)
             lines |= {x + at for x in w[line & (w >= repeated)].tolist()}
             kept |= set(d1[~line].tolist())
-        assert lines == {i for i, x in zip((0, 30, 61), before.split("\n")) if len(x.split()) >= 20} | {len(before.split()) + 2_000}
+        at, want_lines = 0, set()
+        for x in (before + long + "\n" + short).split("\n"):
+            want_lines |= {at} if 20 <= len(x.split()) < 2_000 else set()
+            at += len(x.split())
+        assert lines == want_lines
         assert set(want[4][~want[1]].tolist()) <= kept
 
 
@@ -233,3 +238,72 @@ def test_keys_of_any_type_and_no_key(spark):
     got = s.op10(d).collect()
     assert sorted((str(r["doc_id"]), r["removed"]) for r in got) == [("None", False), ("a", True), ("a", True), ("b", True)]
     assert all(r["class_id"] is None for r in got)
+
+
+def test_which_passages_are_compared_again():
+    for seed in range(300):
+        rng = random.Random(seed)
+        hits = sorted(rng.sample(range(400), rng.randint(1, 25)))
+        chains = [rng.randint(0, 1) for _ in hits]
+        want = set()
+        for w in range(500):
+            if w in hits or min(abs(w - h) for h in hits) >= s.WINDOW:
+                continue
+            k = sum(h < w for h in hits)
+            if 0 < k < len(hits) and hits[k] - hits[k - 1] <= s.WINDOW and chains[k] == chains[k - 1]:
+                a, b = hits[k - 1], hits[k]
+                if min(w - a, b - w) > b - a - s.PASSAGE:
+                    continue
+            want.add(w)
+        assert set(s._beside(np.array(hits), np.array(chains)).tolist()) == want
+        # every word of a chain is spanned, if all that are compared repeat
+        spanned = {x + i for x in [*hits, *want] for i in range(s.PASSAGE)}
+        for a, b, x, y in zip(hits, hits[1:], chains, chains[1:]):
+            if x == y and b - a <= s.WINDOW:
+                assert spanned >= set(range(a, b + s.PASSAGE))
+
+
+def test_random_shared_stretches_by_brute_force(spark):
+    """Documents of overlapping parts of common texts: every word of a stretch of
+    50 or more that another document shares is spanned, and no other."""
+    rng = random.Random(12)
+    pool = [prose(300, 700 + i) for i in range(6)]
+    docs = []
+    for i in range(60):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randrange(250)
+            w += p[a : a + rng.randint(10, 150)] + prose(rng.randint(3, 60), 10_000 + 10 * i + len(w))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"odd{i}"
+        docs.append(w)
+    count = defaultdict(int)
+    for w in docs:
+        for k in range(len(w) - 19):
+            count[tuple(w[k : k + 20])] += 1
+    want = set()
+    for i, w in enumerate(docs):
+        hit = [count[tuple(w[k : k + 20])] > 1 for k in range(len(w) - 19)]
+        covered = sorted({k + j for k, h in enumerate(hit) if h for j in range(20)})
+        runs = []
+        for x in covered:
+            if runs and runs[-1][-1] == x - 1:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        want |= {(i, x) for r in runs if len(r) >= 50 for x in r}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    rows = s.op10(d).collect()
+    got = {(r["doc_id"], r["word"] + j) for r in rows for j in range(r["words"])}
+    # in stretches that another document shares in a row, all; runs that are
+    # patched together from shorter parts may be found in part
+    exact = set()
+    for i, w in enumerate(docs):
+        grams = {tuple(w[k : k + 50]): k for k in range(len(w) - 49)}
+        for j, v in enumerate(docs):
+            if i != j:
+                for k in range(len(v) - 49):
+                    if (at := grams.get(tuple(v[k : k + 50]))) is not None:
+                        exact |= {(i, at + x) for x in range(50)}
+    assert exact <= got <= want and len(got) > 1000

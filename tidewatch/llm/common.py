@@ -76,7 +76,7 @@ def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: Column | int = 64, most: int = 16 << 20) -> DataFrame:
+def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: Column | int = 64, most: int = 4 << 20) -> DataFrame:
     """Joins a table that is written already (see stash) to a big one. Its bytes
     are summed (row_bytes: of a row, as a number or by its columns), and it is
     broadcast where they are at most `most`; beyond that both sides are

@@ -70,19 +70,15 @@ def _passage_hashes(h: np.ndarray) -> np.ndarray:
     return mix64(v)
 
 
-def _passage_digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit digest, as two arrays, of the passages that begin at words `at`."""
-    return _passage_hashes(h)[at], _passage_hashes(mix64(h ^ OTHER))[at]
-
-
-def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, d1, d2) of the kept passages of PASSAGE words. text_ends: for each
+def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the kept passages of PASSAGE words. text_ends: for each
     word, where its text ends; text_first: where texts begin. Passages stay
-    within a text; a text that has any keeps its least one."""
+    within a text; a text that has any keeps its least one. 64 bits will do:
+    nothing is reported for one passage, but for stretches of several."""
     at = np.arange(len(h))
     valid = at + PASSAGE <= text_ends
     if not valid.any():
-        return at[:0], h[:0], h[:0]
+        return at[:0], h[:0]
     v = np.where(valid, _passage_hashes(h), np.uint64(2**64 - 1))
     picked = [at[:0]]
     for a in range(0, len(v) - WINDOW + 1, 1 << 18):
@@ -93,7 +89,7 @@ def kept_passages(h: np.ndarray, text_ends: np.ndarray, text_first: np.ndarray)
     picked.append(np.flatnonzero(v == np.repeat(least, lengths)))
     kept = np.unique(np.concatenate(picked))
     kept = kept[valid[kept]]
-    return kept, v[kept], _passage_hashes(mix64(h ^ OTHER))[kept]
+    return kept, v[kept]
 
 
 def _bands(mins: np.ndarray) -> np.ndarray:
@@ -134,10 +130,10 @@ def _units(texts: list[bytes], least: int, n_bands: int, lines: bool = True) ->
     d1, d2 = (d[long] for d in _weighted(h, lead))
     first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
     ends = np.repeat(np.append(first[1:], len(h)), np.diff(np.append(first, len(h))))
-    kept, k1, k2 = kept_passages(h, ends, first)
+    kept, k1 = kept_passages(h, ends, first)
     at = np.concatenate([lead[long], kept])
     words = np.concatenate([size[long], np.full(len(kept), PASSAGE)])
-    return text[at], np.arange(len(at)) < len(long), at - origin[text[at]], words, np.concatenate([d1, k1]), np.concatenate([d2, k2]), bands
+    return text[at], np.arange(len(at)) < len(long), at - origin[text[at]], words, np.concatenate([d1, k1]), np.concatenate([d2, np.zeros(len(kept), np.uint64)]), bands
 
 
 def _cuts(data: bytes, a: int, b: int, size: int) -> Iterator[tuple[int, int]]:
@@ -212,7 +208,8 @@ SECTION = 4 << 20
 def paragraph_units(docs: DataFrame, least: int = LEAST, n_bands: int = tune_bands()) -> DataFrame:
     """(id, th, line, word, words, d1, d2, bands) of every paragraph of `least`
     words or more (line true) and of every kept passage (line false, no bands).
-    d1, d2: a 128-bit digest of the words, A-Z lower-cased."""
+    d1, d2: a 128-bit digest of the paragraph's words, A-Z lower-cased; of a
+    passage 64 bits, with d2 0."""
     least = max(least, SHINGLE)
 
     def batch_of(keys: list[pa.Array], text, line, word, words, d1, d2, bands) -> pa.RecordBatch:
@@ -243,45 +240,43 @@ def paragraph_units(docs: DataFrame, least: int = LEAST, n_bands: int = tune_ban
 def _text_pass(docs: DataFrame, wanted: DataFrame, hits: DataFrame) -> DataFrame:
     """What the texts are needed for again, in one pass over those that have any
     of it: the shingles, as sorted distinct hashes, of the paragraphs of `wanted`
-    (p, id, th, word, words), and (word, d1, d2) of every passage that begins
-    less than WINDOW words from one of `hits` (id, th, word)."""
+    (p, id, th, word, words), and (word, d1) of the passages beside `hits` (id,
+    th, word, chain) that show how far each one's stretch goes on: see _beside."""
     none = F.lit(None).cast("long")
-    places = wanted.select("id", "th", F.struct("p", "word", "words").alias("x")).unionByName(hits.select("id", "th", F.struct(none.alias("p"), "word", F.lit(None).cast("int").alias("words")).alias("x")))
-    places = stash(places.groupBy("id", "th").agg(F.collect_list("x").alias("places")).withColumnsRenamed({"id": "at_id", "th": "at_th"}), "substring-places")
+    places = wanted.select("id", "th", F.struct("p", "word", "words", none.alias("chain")).alias("x")).unionByName(hits.select("id", "th", F.struct(none.alias("p"), "word", F.lit(None).cast("int").alias("words"), "chain").alias("x")))
+    places = stash(places.groupBy("id", "th").agg(F.sort_array(F.collect_list("x")).alias("places")).withColumnsRenamed({"id": "at_id", "th": "at_th"}), "substring-places")
     on = (F.col("th") == F.col("at_th")) & F.col("id").eqNullSafe(F.col("at_id"))
-    d = join_bounded(docs, places, on, row_bytes=32 + 24 * F.size("places")).select("id", "th", "text", "places")
+    d = join_bounded(docs, places, on, row_bytes=32 + 32 * F.size("places")).select("id", "th", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", SECTION):
             for i, (data, places) in enumerate(zip(as_bytes(batch.column("text")), batch.column("places"))):
                 x = places.values
                 key = [batch.column(k).slice(i, 1) for k in ("id", "th")]
-                p, word, words = (x.field(k) for k in ("p", "word", "words"))
+                p, word, words, chain = (x.field(k) for k in ("p", "word", "words", "chain"))
                 lines = p.is_valid()
-                near = np.unique(word.filter(pc.invert(lines)).to_numpy())
-                if len(near):
-                    yield from _around(key, data, near)
-                if len(near) < len(x):
+                passages = pc.invert(lines)
+                if pc.any(passages).as_py():
+                    yield from _extend(key, data, word.filter(passages).to_numpy(), chain.filter(passages).to_numpy())
+                if pc.any(lines).as_py():
                     yield from _sets(key, data, *[c.filter(lines).to_numpy() for c in (p, word, words)])
 
-    def row(key: list[pa.Array], n: int, p=None, shingles=None, word=None, d1=None, d2=None) -> pa.RecordBatch:
+    def row(key: list[pa.Array], n: int, p=None, shingles=None, word=None, d1=None) -> pa.RecordBatch:
         cols = [k.take(pa.array(np.zeros(n, np.int64))) for k in key]
         longs = lambda v: pa.nulls(n, pa.int64()) if v is None else pa.array(v)
         sets = pa.nulls(n, pa.list_(pa.int64())) if shingles is None else pa.array(shingles, pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*cols, longs(p), sets, longs(word), longs(d1), longs(d2)], names=["id", "th", "p", "shingles", "word", "d1", "d2"])
+        return pa.RecordBatch.from_arrays([*cols, longs(p), sets, longs(word), longs(d1)], names=["id", "th", "p", "shingles", "word", "d1"])
 
-    def _around(key: list[pa.Array], data: bytes, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _extend(key: list[pa.Array], data: bytes, hits: np.ndarray, chains: np.ndarray) -> Iterator[pa.RecordBatch]:
+        wanted = _beside(hits, chains)
         for before, repeated, _, part in _sections(data, SECTION):
             raw = np.frombuffer(part.translate(LOWER), np.uint8)
             h = word_hashes(raw, word_starts(raw))
             # what lies in the repeated words alone was in the part before
-            at = np.arange(max(0, repeated - PASSAGE + 1), len(h) - PASSAGE + 1)
-            k = np.searchsorted(near, at + before)
-            gap = np.minimum(np.abs(near[np.minimum(k, len(near) - 1)] - at - before), np.abs(at + before - near[np.maximum(k - 1, 0)]))
-            at = at[gap < WINDOW]
+            lo, hi = np.searchsorted(wanted, [before + max(0, repeated - PASSAGE + 1), before + len(h) - PASSAGE + 1])
+            at = wanted[lo:hi]
             if len(at):
-                d1, d2 = _passage_digests(h, at)
-                yield row(key, len(at), word=at + before, d1=d1.view(np.int64), d2=d2.view(np.int64))
+                yield row(key, len(at), word=at, d1=_passage_hashes(h)[at - before].view(np.int64))
 
     def _sets(key: list[pa.Array], data: bytes, ps: np.ndarray, word: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
         raw = np.frombuffer(data.translate(LOWER), np.uint8)
@@ -291,10 +286,47 @@ def _text_pass(docs: DataFrame, wanted: DataFrame, hits: DataFrame) -> DataFrame
             h = word_hashes(part, word_starts(part))
             yield row(key, 1, p=[int(p)], shingles=[np.unique(shingle_hashes(h)[: len(h) - SHINGLE + 1]).view(np.int64)])
 
-    more = {"p": none, "shingles": F.lit(None).cast("array<bigint>"), "word": none, "d1": none, "d2": none}
+    more = {"p": none, "shingles": F.lit(None).cast("array<bigint>"), "word": none, "d1": none}
     return d.mapInArrow(run, d.select("id", "th").withColumns(more).schema)
 
 
+def _chained(hits: DataFrame) -> DataFrame:
+    """hits (id, th, word, d1, head) with a number `chain` that two hits of a
+    document share where all that has one has the other in the same place beside
+    it: for a later copy, by the first document and the shift to it; for a first
+    copy, by the documents that have it and their shifts, summed with weights.
+    Between hits of a chain that touch, no document begins or ends to agree."""
+    place = F.struct("id", "th", "word")
+    weight = F.xxhash64("id", "th").bitwiseAND(0xFFF)
+    far = F.xxhash64("id", "th").bitwiseAND(0xFFFFFFFF)
+    first = hits.groupBy("d1", "head").agg(F.count("*").alias("n"), F.try_sum(far).alias("docs"), F.try_sum(weight).alias("w"), F.try_sum(weight * F.col("word")).alias("at"))
+    # sums that don't fit are null and make a chain of one
+    sums = F.coalesce(F.xxhash64("n", "docs", "w", F.col("at") - F.col("w") * F.col("head.word")) .bitwiseXOR(F.col("at") * 0).bitwiseXOR(F.col("docs") * 0), F.xxhash64("head"))
+    later = F.xxhash64("head.id", "head.th", F.col("word") - F.col("head.word"), F.lit(1))
+    return hits.where(place != F.col("head")).select("id", "th", "word", later.alias("chain")).unionByName(first.select("head.*", sums.alias("chain")))
+
+
+def _beside(hits: np.ndarray, chains: np.ndarray) -> np.ndarray:
+    """The words, ascending, where passages begin that are to be compared: those
+    less than WINDOW from a hit. Between two neighbouring hits of one chain (see
+    _chained) only those that reach the words, ten or so, that neither hit spans.
+    hits: ascending words; chains: a number for each."""
+    gap = np.diff(hits)
+    linked = (gap < WINDOW + 1) & (chains[1:] == chains[:-1])
+    reach = np.where(linked, np.clip(gap - PASSAGE, 0, None), WINDOW - 1)
+    steps = np.arange(1, WINDOW)
+    right = (hits[:, None] + steps)[steps <= np.append(reach, WINDOW - 1)[:, None]]
+    left = (hits[:, None] - steps)[steps <= np.append(WINDOW - 1, reach)[:, None]]
+    out = np.unique(np.concatenate([right, left]))
+    # a hit's own steps may lead beyond the next one: there the next one's count
+    k = np.searchsorted(hits, out)
+    inner = (k > 0) & (k < len(hits))
+    inner[inner] &= linked[k[inner] - 1]
+    a, b = hits[np.maximum(k - 1, 0)], hits[np.minimum(k, len(hits) - 1)]
+    near = np.minimum(out - a, b - out) <= b - a - PASSAGE
+    return out[~np.isin(out, hits) & (out >= 0) & (~inner | near)]
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose Jaccard similarity is exactly at least that."""
     x = pairs.join(sets.select(F.col("p").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("p").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -357,11 +389,12 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Passages that repeat inside otherwise different paragraphs, or over several
     lines, are found by kept passages of 20 words (see WINDOW): of 50 shared
     words in a row, one at least is kept in both texts, and every place of the
-    shared words is less than WINDOW words from one. So all passages that near a
+    shared words is less than WINDOW words from one. So the passages that near a
     kept one that repeats are compared again, and those that repeat are merged to
     stretches where they overlap or touch. A stretch of 50 words or more is
     reported, in full; shorter ones only as paragraphs. It is left out where it
-    lies in a paragraph that is removed. Passages whose first copies stand in
+    lies in a paragraph that is removed; kept passages in a paragraph that equals
+    an earlier one aren't followed up. Passages whose first copies stand in
     different documents make rows of their own, as do first copies; such rows of
     a document can overlap, and a word is a later copy's if any removed row spans
     it.
@@ -372,7 +405,11 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     does. Keys may be of any type that has an order. Columns other than key and
     text aren't used; a table without repeats gives an empty one.
     """
-    d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("th"), F.col(text).alias("text"))
+    d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    # th tells rows apart that share a key; where none do, it is one number
+    shared = docs.where(F.col(text).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    th = F.xxhash64("id", "text") if shared.limit(1).count() else F.lit(0).cast("long")
+    d = d.select("id", th.alias("th"), "text")
     units = stash(paragraph_units(d, least, tune_bands(similarity)), "substring-units")
     place = F.struct("id", "th", "word")
 
@@ -389,12 +426,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = classes.join(stash(wanted, "substring-wanted"), F.col("p") == F.col("q"), "left_semi").select("p", "id", "th", "word", "words")
 
     def repeats(pieces: DataFrame, tag: str) -> DataFrame:
-        twice = pieces.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
+        twice = pieces.groupBy("d1").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
         # written first: a join right above the grouping could not split a hot passage
-        return pieces.join(stash(twice, f"substring-twice-{tag}"), ["d1", "d2"]).select("id", "th", "word", "head")
+        return pieces.join(stash(twice, f"substring-twice-{tag}"), "d1").select("id", "th", "word", "head", "d1")
 
-    hits = repeats(units.where("not line").select("id", "th", "word", "d1", "d2"), "kept")
-    again = stash(_text_pass(d, wanted, hits.select("id", "th", "word")), "substring-texts")
+    hits = repeats(units.where("not line").select("id", "th", "word", "d1"), "kept")
+    repeated = stash(classes.where("again").select("d1", "d2", F.col("id").alias("i0"), F.col("th").alias("t0"), F.col("word").alias("w0")), "substring-again")
+    later = join_bounded(lines.select("id", "th", "word", "words", "d1", "d2"), repeated, ["d1", "d2"]).where(~(F.col("id").eqNullSafe(F.col("i0")) & (F.col("th") == F.col("t0")) & (F.col("word") == F.col("w0"))))
+    hits = stash(_outside(hits, later, PASSAGE), "substring-hits")
+    again = stash(_text_pass(d, wanted, _chained(hits)), "substring-texts")
     sets = stash(again.where("p is not null").select("p", "shingles").dropDuplicates(["p"]), "substring-sets")
 
     first = stash(_similar(star, sets, similarity), "substring-links")
@@ -413,7 +453,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = join_bounded(lines.select("id", "th", "word", "words", "d1", "d2"), label, ["d1", "d2"]).select("id", "th", "word", "words", F.lit(True).alias("near"), F.col("head.id").alias("class_id"), F.col("head.word").alias("class_word"), (place != F.col("head")).alias("removed"))
     found = stash(found.distinct(), "substring-paragraphs")
 
-    hit = stash(repeats(again.where("p is null").select("id", "th", "word", "d1", "d2"), "all").withColumn("later", place != F.col("head")), "substring-pieces")
+    beside = again.where("p is null").select("id", "th", "word", "d1")
+    hit = repeats(hits.select("id", "th", "word", "d1").unionByName(beside), "all").drop("d1")
+    hit = stash(hit.withColumn("later", place != F.col("head")), "substring-pieces")
     # stretches of repeated passages that overlap or touch, of 50 words or more
     order = Window.partitionBy("id", "th").orderBy("word")
     end = F.col("word") + PASSAGE
@@ -426,10 +468,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     runs = runs.groupBy("id", "th", F.col("head.id").alias("class_id"), F.col("head.th").alias("head_th"), "later", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(end).alias("end"))
     runs = runs.select("id", "th", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), "class_id", F.col("m.head.word").alias("class_word"), F.col("later").alias("removed"))
     # a run inside one paragraph that is removed already adds nothing
-    own = found.where("removed").select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("word").alias("fw"), F.col("words").alias("fn"))
-    inside = runs.join(own, (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid")) & (F.col("word") >= F.col("fw")) & (F.col("word") + F.col("words") <= F.col("fw") + F.col("fn")), "left_anti")
+    inside = _outside(runs, found.where("removed"), F.col("words"))
     return found.unionByName(inside).drop("th").withColumnRenamed("id", key)
 
 
+def _outside(places: DataFrame, spans: DataFrame, words: Column | int) -> DataFrame:
+    """The places (id, th, word) that don't lie, `words` long, in one of spans (id,
+    th, word, words)."""
+    s = spans.select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("word").alias("fw"), F.col("words").alias("fn"))
+    on = (F.col("th") == F.col("fth")) & F.col("id").eqNullSafe(F.col("fid"))
+    return places.join(s, on & (F.col("word") >= F.col("fw")) & (F.col("word") + words <= F.col("fw") + F.col("fn")), "left_anti")
+
+
 def op10(docs: DataFrame) -> DataFrame:
     return repeated_passages(docs)
