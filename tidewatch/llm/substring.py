@@ -7,7 +7,6 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import LOWER, as_bytes, join_bounded, mix64, small_batches, stash, word_hashes, word_starts
@@ -250,41 +249,49 @@ def _text_pass(docs: DataFrame, wanted: DataFrame, hits: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", SECTION):
+            keys = [batch.column("id"), batch.column("th")]
+            rows, at, d1 = [], [], []
+            owner, ps, sets = [], [], []
             for i, (data, places) in enumerate(zip(as_bytes(batch.column("text")), batch.column("places"))):
                 x = places.values
-                key = [batch.column(k).slice(i, 1) for k in ("id", "th")]
                 p, word, words, chain = (x.field(k) for k in ("p", "word", "words", "chain"))
-                lines = p.is_valid()
-                passages = pc.invert(lines)
-                if pc.any(passages).as_py():
-                    yield from _extend(key, data, word.filter(passages).to_numpy(), chain.filter(passages).to_numpy())
-                if pc.any(lines).as_py():
-                    yield from _sets(key, data, *[c.filter(lines).to_numpy() for c in (p, word, words)])
-
-    def row(key: list[pa.Array], n: int, p=None, shingles=None, word=None, d1=None) -> pa.RecordBatch:
-        cols = [k.take(pa.array(np.zeros(n, np.int64))) for k in key]
-        longs = lambda v: pa.nulls(n, pa.int64()) if v is None else pa.array(v)
-        sets = pa.nulls(n, pa.list_(pa.int64())) if shingles is None else pa.array(shingles, pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*cols, longs(p), sets, longs(word), longs(d1)], names=["id", "th", "p", "shingles", "word", "d1"])
-
-    def _extend(key: list[pa.Array], data: bytes, hits: np.ndarray, chains: np.ndarray) -> Iterator[pa.RecordBatch]:
+                # sorted, with the passages first, as their p is null
+                n = p.null_count
+                if n:
+                    for w, h in _extend(data, word.slice(0, n).to_numpy(), chain.slice(0, n).to_numpy()):
+                        rows.append(np.full(len(w), i)), at.append(w), d1.append(h)
+                for q, s in _sets(data, *[c.slice(n).to_numpy() for c in (p, word, words)]) if n < len(x) else ():
+                    owner.append(i), ps.append(q), sets.append(s)
+                if sum(map(len, sets)) > 1 << 20:
+                    yield batch_of(keys, owner, p=pa.array(ps, pa.int64()), shingles=pa.array(sets, pa.list_(pa.int64())))
+                    owner, ps, sets = [], [], []
+            if rows:
+                yield batch_of(keys, np.concatenate(rows), word=pa.array(np.concatenate(at)), d1=pa.array(np.concatenate(d1)))
+            if owner:
+                yield batch_of(keys, owner, p=pa.array(ps, pa.int64()), shingles=pa.array(sets, pa.list_(pa.int64())))
+
+    def batch_of(keys: list[pa.Array], owner, **columns: pa.Array) -> pa.RecordBatch:
+        rows = pa.array(np.asarray(owner, np.int64))
+        kinds = {"p": pa.int64(), "shingles": pa.list_(pa.int64()), "word": pa.int64(), "d1": pa.int64()}
+        return pa.RecordBatch.from_arrays([*[k.take(rows) for k in keys], *[columns.get(n, pa.nulls(len(rows), kind)) for n, kind in kinds.items()]], names=["id", "th", *kinds])
+
+    def _extend(data: bytes, hits: np.ndarray, chains: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         wanted = _beside(hits, chains)
         for before, repeated, _, part in _sections(data, SECTION):
             raw = np.frombuffer(part.translate(LOWER), np.uint8)
             h = word_hashes(raw, word_starts(raw))
             # what lies in the repeated words alone was in the part before
             lo, hi = np.searchsorted(wanted, [before + max(0, repeated - PASSAGE + 1), before + len(h) - PASSAGE + 1])
-            at = wanted[lo:hi]
-            if len(at):
-                yield row(key, len(at), word=at, d1=_passage_hashes(h)[at - before].view(np.int64))
+            if lo < hi:
+                yield wanted[lo:hi], _passage_hashes(h)[wanted[lo:hi] - before].view(np.int64)
 
-    def _sets(key: list[pa.Array], data: bytes, ps: np.ndarray, word: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _sets(data: bytes, ps: np.ndarray, word: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         raw = np.frombuffer(data.translate(LOWER), np.uint8)
         starts = word_starts(raw)
         for p, a, n in zip(ps, word, words):
             part = raw[starts[a] : starts[a + n] if a + n < len(starts) else len(raw)]
             h = word_hashes(part, word_starts(part))
-            yield row(key, 1, p=[int(p)], shingles=[np.unique(shingle_hashes(h)[: len(h) - SHINGLE + 1]).view(np.int64)])
+            yield int(p), np.unique(shingle_hashes(h)[: len(h) - SHINGLE + 1]).view(np.int64)
 
     more = {"p": none, "shingles": F.lit(None).cast("array<bigint>"), "word": none, "d1": none}
     return d.mapInArrow(run, d.select("id", "th").withColumns(more).schema)
@@ -455,18 +462,20 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     beside = again.where("p is null").select("id", "th", "word", "d1")
     hit = repeats(hits.select("id", "th", "word", "d1").unionByName(beside), "all").drop("d1")
-    hit = stash(hit.withColumn("later", place != F.col("head")), "substring-pieces")
-    # stretches of repeated passages that overlap or touch, of 50 words or more
-    order = Window.partitionBy("id", "th").orderBy("word")
-    end = F.col("word") + PASSAGE
-    hit = hit.withColumn("new", F.coalesce((F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("word")).cast("int"), F.lit(1))).withColumn("stretch", F.sum("new").over(order))
-    whole = Window.partitionBy("id", "th", "stretch")
-    hit = hit.withColumn("size", F.max(end).over(whole) - F.min("word").over(whole)).where(F.col("size") >= STRETCH)
-    # in them, a run for each document of first copies, and first copies apart from later ones
+    hit = hit.withColumn("later", place != F.col("head"))
+    # runs of repeated passages that overlap or touch: one for each document of
+    # first copies, and first copies apart from later ones
     order = Window.partitionBy("id", "th", "head.id", "head.th", "later").orderBy("word")
+    end = F.col("word") + PASSAGE
     runs = hit.withColumn("new", F.coalesce((F.lag(end).over(order) < F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
     runs = runs.groupBy("id", "th", F.col("head.id").alias("class_id"), F.col("head.th").alias("head_th"), "later", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(end).alias("end"))
-    runs = runs.select("id", "th", F.col("m.word").alias("word"), (F.col("end") - F.col("m.word")).cast("int").alias("words"), F.lit(False).alias("near"), "class_id", F.col("m.head.word").alias("class_word"), F.col("later").alias("removed"))
+    runs = stash(runs.select("id", "th", F.col("m.word").alias("word"), "end", "class_id", F.col("m.head.word").alias("class_word"), F.col("later").alias("removed")), "substring-runs")
+    # that belong to a stretch of 50 words or more, whatever first copies it has
+    order = Window.partitionBy("id", "th").orderBy("word", "end")
+    runs = runs.withColumn("new", F.coalesce((F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("word")).cast("int"), F.lit(1))).withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("id", "th", "stretch")
+    runs = runs.withColumn("size", F.max("end").over(whole) - F.min("word").over(whole)).where(F.col("size") >= STRETCH)
+    runs = runs.select("id", "th", "word", (F.col("end") - F.col("word")).cast("int").alias("words"), F.lit(False).alias("near"), "class_id", "class_word", "removed")
     # a run inside one paragraph that is removed already adds nothing
     inside = _outside(runs, found.where("removed"), F.col("words"))
     return found.unionByName(inside).drop("th").withColumnRenamed("id", key)
