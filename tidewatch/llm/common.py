@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage, so that Spark's cleaner deletes the
+    shuffle files of steps that are done and written. Spark itself does so by the
+    clock (spark.cleaner.periodicGC.interval), half an hour by default, which is
+    long after a query of many steps has filled the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about `most` bytes of a text column (or
     values of a list column) and `rows` rows at most, or one row; bounds a

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER, as_bytes, join_bounded, mix64, small_batches, stash, word_hashes, word_starts
+from .common import LOWER, as_bytes, join_bounded, mix64, release, small_batches, stash, word_hashes, word_starts
 from .components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -424,12 +424,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = lines.groupBy("d1", "d2").agg(F.min(F.struct("id", "th", "word", "words", "bands")).alias("m"), F.max(place).alias("hi"))
     # classes are numbered as they are written, so numbers hold from here on
     classes = stash(classes.select(F.monotonically_increasing_id().alias("p"), "d1", "d2", "m.*", (F.struct("m.id", "m.th", "m.word") != F.col("hi")).alias("again")), "substring-classes")
+    release(docs.sparkSession)
     bands = classes.select("p", F.explode("bands").alias("band"))
     buckets = stash(bands.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n")).where("n > 1"), "substring-buckets")
     crowded = stash(join_bounded(bands, stash(buckets.where("n > 2").select("band", "lo"), "substring-crowded"), "band"), "substring-members")
     star = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(crowded.where("p <> lo").select(F.col("lo").alias("a"), F.col("p").alias("b"))).distinct()
     star = stash(star, "substring-stars")
     wanted = star.select(F.col("a").alias("q")).unionByName(star.select(F.col("b").alias("q"))).unionByName(crowded.select(F.col("p").alias("q"))).distinct()
+    release(docs.sparkSession)
     wanted = classes.join(stash(wanted, "substring-wanted"), F.col("p") == F.col("q"), "left_semi").select("p", "id", "th", "word", "words")
 
     def repeats(pieces: DataFrame, tag: str) -> DataFrame:
@@ -441,7 +443,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     repeated = stash(classes.where("again").select("d1", "d2", F.col("id").alias("i0"), F.col("th").alias("t0"), F.col("word").alias("w0")), "substring-again")
     later = join_bounded(lines.select("id", "th", "word", "words", "d1", "d2"), repeated, ["d1", "d2"]).where(~(F.col("id").eqNullSafe(F.col("i0")) & (F.col("th") == F.col("t0")) & (F.col("word") == F.col("w0"))))
     hits = stash(_outside(hits, later, PASSAGE), "substring-hits")
+    release(docs.sparkSession)
     again = stash(_text_pass(d, wanted, _chained(hits)), "substring-texts")
+    release(docs.sparkSession)
     sets = stash(again.where("p is not null").select("p", "shingles").dropDuplicates(["p"]), "substring-sets")
 
     first = stash(_similar(star, sets, similarity), "substring-links")
@@ -459,6 +463,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     label = stash(keep.join(head, "class").select("d1", "d2", "head"), "substring-labels")
     found = join_bounded(lines.select("id", "th", "word", "words", "d1", "d2"), label, ["d1", "d2"]).select("id", "th", "word", "words", F.lit(True).alias("near"), F.col("head.id").alias("class_id"), F.col("head.word").alias("class_word"), (place != F.col("head")).alias("removed"))
     found = stash(found.distinct(), "substring-paragraphs")
+    release(docs.sparkSession)
 
     beside = again.where("p is null").select("id", "th", "word", "d1")
     hit = repeats(hits.select("id", "th", "word", "d1").unionByName(beside), "all").drop("d1")
