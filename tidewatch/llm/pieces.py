@@ -6,6 +6,7 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import small_batches
 
 SPACE = "▁"
-#: Words and runs, and pairs of tokens, that a worker remembers.
-MEMORY, PAIRS = 250_000, 1_000_000
+#: Words, and pairs of tokens, that a worker remembers; characters of a section.
+MEMORY, PAIRS, SECTION = 400_000, 500_000, 1 << 20
+#: In front of the first token.
+START = 0
 codecs.register_error("byte by byte", lambda e: ("�", e.start + 1))
 
 
@@ -32,36 +35,55 @@ class Pieces:
     longest piece at each place (Aho-Corasick finds them all in one pass), goes
     to shorter ones where a neighbour disagrees, steps back where none is left,
     and marks that place in a bitfield: it fails whatever led there.
+
+    Symbols are numbers: the model's ids, then the characters that occur in
+    pieces only, then one for all other characters, `other`.
     """
 
     def __init__(self, model: bytes):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        every = range(sp.get_piece_size())
-        self.names = [sp.id_to_piece(i) for i in every]
-        plain = [i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        self.size = size = sp.get_piece_size()
+        names = [sp.id_to_piece(i) for i in range(size)]
+        plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         if any(sp.is_unused(i) for i in plain):
             raise ValueError("models with unused pieces are not supported")
-        self.ids = {self.names[i]: i for i in plain}
-        self.score = {self.names[i]: sp.get_score(i) for i in plain}
+        self.score = {names[i]: sp.get_score(i) for i in plain}
         self.unknown, self.end, self.begin = sp.unk_id(), sp.eos_id(), sp.bos_id()
-        bytes_ = {int(self.names[i][1:-1], 16): i for i in every if sp.is_byte(i)}
+        bytes_ = {int(names[i][1:-1], 16): i for i in range(size) if sp.is_byte(i)}
         self.fallback = [bytes_[b] for b in range(256)] if len(bytes_) == 256 else None
-        # neighbours inside some piece: between all others no merge can cross
-        self.inner = {pair for p in self.ids for pair in zip(p, p[1:])}
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if all(b != SPACE or a == SPACE for a, b in self.inner) else r"(?s:.+)").findall
-        self.machine = ahocorasick.Automaton()
-        for symbol in {*self.ids, *(c for p in self.ids for c in p)}:
-            self.machine.add_word(symbol, len(symbol))
-        self.machine.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.decimal = [str(i) for i in range(size)]
         # the inverse: bytes of each id; the first piece loses the prefix
-        out = {i: bytes([b]) for b, i in bytes_.items()} | {i: self.names[i].replace(SPACE, " ").encode() for i in plain}
-        self.out = [out.get(i, b"") for i in every]
+        out = {i: bytes([b]) for b, i in bytes_.items()} | {i: names[i].replace(SPACE, " ").encode() for i in plain}
+        self.out = [out.get(i, b"") for i in range(size)]
         self.out[self.unknown] = sp.decode([self.unknown]).encode()
-        self.plain = set(plain)
-        self.strips = SPACE in self.ids and sp.decode([self.ids[SPACE]]) == ""
+        self.strips = {i for i in plain if names[i].startswith(SPACE) and sp.decode([i]) == names[i][1:].replace(SPACE, " ")}
+        # symbols, and from each to the longest shorter one that it begins with
+        letters = sorted({c for p in self.score for c in p} - self.score.keys())
+        stranger = next(c for c in map(chr, range(0x10FFFF, 0, -1)) if c not in self.score and c not in letters)
+        symbols = {names[i]: i for i in plain} | {c: size + k for k, c in enumerate(letters)}
+        self.other = size + len(letters)
+        self.names = [*names, *letters, stranger]
+        self.length = [len(n) for n in self.names]
+        self.shorter = [-1] * len(self.names)
+        self.machine = ahocorasick.Automaton()
+        for symbol, i in symbols.items():
+            self.shorter[i] = next((symbols[symbol[:k]] for k in range(len(symbol) - 1, 0, -1) if symbol[:k] in symbols), -1)
+            self.machine.add_word(symbol, i)
+        self.machine.make_automaton()
+        self.words, self.walls = self._walls()
+        self.pairs: dict[int, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _walls(self) -> tuple[re.Pattern, bool]:
+        """A pattern for words: no merge crosses their ends, as no piece has
+        such neighbours inside; and whether words end where a space begins."""
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        inner = {pair for p in self.score for pair in zip(p, p[1:])}
+        if any(b == SPACE != a for a, b in inner):
+            return re.compile(r"(?s:.+)"), False
+        if any(a != SPACE and bool(letter(a)) != bool(letter(b)) for a, b in inner):
+            return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), True
+        return re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:(?!{SPACE})[\W\d_])+|{SPACE}+"), True
 
     def merged(self, text: str) -> list[str]:
         """Greedy merges of a short text from its characters."""
@@ -76,116 +98,108 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Merging a + b again gives these two; with a empty, b by itself."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return got
-
-    def run(self, text: str) -> list[int]:
-        """Ids of a run of characters of which each occurs in some piece."""
-        n = len(text)
-        longest = [1] * n
-        for end, length in self.machine.iter(text):
-            longest[end - length + 1] = length
-        tokens: list[str] = []
-        last, at, want = "", 0, longest[0]
+    def fits(self, a: int, b: int) -> bool:
+        """Merging the texts of a and b again gives these two; after START, b by
+        itself."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        names = [self.names[a], self.names[b]] if a != START else [self.names[b]]
+        ok = self.pairs[a << 24 | b] = self.merged("".join(names)) == names
+        return ok
+
+    def run(self, text: str) -> tuple[int, ...]:
+        """Ids of a text by itself."""
+        n, length, shorter, pairs = len(text), self.length, self.shorter, self.pairs
+        longest = [self.other] * n
+        for end, i in self.machine.iter(text):
+            longest[end - length[i] + 1] = i
+        tokens: list[int] = []
         failed = None
-        known, pairs, fits = self.score, self.pairs, self.fits
-        while at < n:
-            token = text[at : at + want]
-            while want:
-                if want == 1 or token in known:
-                    end = at + want
-                    if failed is None or not failed[end >> 3] >> (end & 7) & 1:
-                        ok = pairs.get((last, token))
-                        if fits(last, token) if ok is None else ok:
-                            break
-                want -= 1
-                token = token[:-1]
-            if want:
-                tokens.append(token)
-                last, at = token, end
-                want = longest[at] if at < n else 0
-                continue
-            if failed is None:
-                failed = bytearray((n >> 3) + 1)
-            failed[at >> 3] |= 1 << (at & 7)
-            want = len(tokens.pop())
-            at -= want
-            last = tokens[-1] if tokens else ""
-        ids = self.ids
-        out: list[int] = []
-        for t in tokens:
-            i = ids.get(t)
-            if i is None:
-                out.extend(self.strange(t))
-            else:
+        last, at, i = START, 0, longest[0]
+        while True:
+            end = at + length[i]
+            if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                ok = pairs.get(last << 24 | i)
+                if ok or ok is None and self.fits(last, i):
+                    tokens.append(i)
+                    if end == n:
+                        break
+                    last, at, i = i, end, longest[end]
+                    continue
+            i = shorter[i]
+            if i < 0:
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
+                i = tokens.pop()
+                at -= length[i]
+                last = tokens[-1] if tokens else START
+        if max(tokens) < self.size:
+            return tuple(tokens)
+        out, at = [], 0
+        for i in tokens:
+            end = at + length[i]
+            if i < self.size:
                 out.append(i)
-        return out
-
-    def strange(self, char: str) -> list[int]:
-        """Ids of a character that is no piece."""
-        return [self.fallback[b] for b in char.encode()] if self.fallback else [self.unknown]
-
-    def word(self, word: str) -> list[int]:
-        """Ids of a word: its runs between walls, each by itself."""
-        inner, runs, out, start = self.inner, self.runs, [], 0
-        for i, pair in enumerate(zip(word, word[1:]), 1):
-            if pair not in inner:
-                self._run(word[start:i], runs, out)
-                start = i
-        self._run(word[start:], runs, out)
-        return out
-
-    def _run(self, run: str, runs: dict[str, list[int]], out: list[int]) -> None:
-        got = runs.get(run)
-        if got is None:
-            if len(run) == 1:
-                got = [self.ids[run]] if run in self.ids else self.strange(run)
             else:
-                got = self.run(run)
-            if len(runs) >= MEMORY:
-                runs.clear()
-            if len(run) <= 64:
-                runs[run] = got
-        out += got
-
-    def encode(self, text: str, begin: bool = False, end: bool = True) -> tuple[list[int], str]:
-        """The ids of a text and the same in decimal, joined by one space."""
-        known, ids, words = self.known, [self.begin] if begin else [], []
-        for w in self.words(self.sp.normalize(text) if text else ""):
-            got = known.get(w)
-            if got is None:
-                got = self.word(w)
-                got = (got, " ".join(map(str, got)))
-                if len(known) >= MEMORY:
-                    known.clear()
-                if len(w) <= 64:
-                    known[w] = got
-            ids += got[0]
-            words.append(got[1])
-        if end:
-            ids.append(self.end)
+                out += [self.fallback[b] for b in text[at:end].encode()] if self.fallback else [self.unknown]
+            at = end
+        return tuple(out)
+
+    def sections(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, section by section, without begin and end."""
+        text = self.sp.normalize(text) if text else ""
+        known, at = self.known, 0
+        while at < len(text):
+            cut = None
+            if self.walls and len(text) - at > SECTION:
+                cut = text.find(SPACE, at + SECTION)
+                while cut > 0 and text[cut - 1] == SPACE:
+                    cut = text.find(SPACE, cut + 1)
+                cut = cut if cut > 0 else None
+            words = self.words.findall(text, at, len(text) if cut is None else cut)
+            ids = list(map(known.get, words))
+            if None in ids:
+                for k, got in enumerate(ids):
+                    if got is None:
+                        w = words[k]
+                        got = known.get(w) or self.run(w)
+                        if len(known) >= MEMORY:
+                            known.clear()
+                        if len(w) <= 64:
+                            known[w] = got
+                        ids[k] = got
+            yield list(chain.from_iterable(ids))
+            at = len(text) if cut is None else cut
+
+    def encode(self, text: str, begin: bool = False, end: bool = True) -> list[int]:
+        """The ids of a text."""
+        ids = list(chain.from_iterable(self.sections(text)))
         if self.fallback is None:
+            # the library gives one id for a run of unknown characters
             ids = [x for x, before in zip(ids, [None, *ids]) if x != self.unknown or before != x]
-            return ids, " ".join(map(str, ids))
-        return ids, " ".join([*([str(self.begin)] if begin else []), *words, *([str(self.end)] if end else [])])
+        return [*([self.begin] if begin else []), *ids, *([self.end] if end else [])]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids: pieces joined, U+2581 as space, byte pieces as UTF-8
         with U+FFFD for each byte that isn't; control ids give nothing, and the
-        space that encoding put in front goes."""
+        space that encoding put in front of the first piece goes."""
         data = b"".join(map(self.out.__getitem__, ids))
-        if self.strips:
-            first = next((i for i in ids if self.out[i]), None)
-            if first in self.plain and self.names[first].startswith(SPACE):
-                data = data[1:]
+        if first and next((i for i in ids if self.out[i]), None) in self.strips:
+            data = data[1:]
         return data.decode("utf-8", "byte by byte")
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids (with an end id), digest of the ids in decimal with
+        single spaces, digest of the text they decode to."""
+        n, written, read = 1, hashlib.sha256(), hashlib.sha256()
+        for ids in self.sections(text) if self.fallback else [self.encode(text, end=False)]:
+            written.update(" ".join(map(self.decimal.__getitem__, ids)).encode() + b" ")
+            read.update(self.decode(ids, n == 1).encode())
+            n += len(ids)
+        written.update(self.decimal[self.end].encode())
+        return n, written.hexdigest(), read.hexdigest()
+
 
 #: A worker's codec of the last model, so that tasks share what it remembers.
 _CODEC: dict[str, Pieces] = {}
@@ -206,8 +220,8 @@ def _share(df: DataFrame, path: str) -> Broadcast:
     with open(path, "rb") as f:
         model = f.read()
     codec = Pieces(model)
-    probe = " ".join(codec.names[:: max(1, len(codec.names) // 2000)])
-    if codec.encode(probe)[0] != codec.sp.encode(probe, add_eos=True):
+    probe = " ".join(codec.names[: codec.size : max(1, codec.size // 2000)])
+    if codec.encode(probe) != codec.sp.encode(probe, add_eos=True):
         raise ValueError(f"{path} is not a BPE model")
     return df.sparkSession.sparkContext.broadcast((hashlib.sha256(model).hexdigest(), model))
 
@@ -222,7 +236,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", be
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in small_batches(batches, text):
-            ids = [codec.encode(t or "", begin, end)[0] for t in batch.column(text).to_pylist()]
+            ids = [codec.encode(t or "", begin, end) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, docs.withColumn(out, F.array().cast("array<int>")).schema)
@@ -256,12 +270,8 @@ def piece_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in small_batches(batches, "text"):
-            n, first, second = [], [], []
-            for t in batch.column("text").to_pylist():
-                ids, written = codec.encode(t or "")
-                n.append(len(ids))
-                first.append(hashlib.sha256(written.encode()).hexdigest())
-                second.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            rows = [codec.digests(t or "") for t in batch.column("text").to_pylist()]
+            n, first, second = zip(*rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = d.select(key).withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}).schema

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, htmlextract, langid, linededup, milquality, mixing, multiset, simhash, substring
+from . import audio, bpe, htmlextract, langid, linededup, milquality, mixing, multiset, pieces, simhash, substring
 
 
 def _on(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": _on(multiset.op8, "documents"),
     "op9_byte_bpe": _on(bpe.op9, "documents"),
     "op10_substring_dedup": _on(substring.op10, "documents"),
+    "op11_sentencepiece": _on(pieces.op11, "documents"),
 }
 
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": linededup.ORACLE}
