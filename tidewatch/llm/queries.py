@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, htmlextract, langid, linededup, milquality, mixing, multiset, pieces, simhash, substring
+from . import audio, bpe, filteraudit, htmlextract, importance, langid, linededup, milquality, mixing, multiset, pieces, simhash, substring
 
 
 def _on(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": _on(bpe.op9, "documents"),
     "op10_substring_dedup": _on(substring.op10, "documents"),
     "op11_sentencepiece": _on(pieces.op11, "documents"),
+    "op12_filter_audit": _on(filteraudit.op12, "documents", "labels"),
+    "op13_importance_resampling": _on(importance.op13, "documents", "benchmark"),
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": linededup.ORACLE, "op12_filter_audit": filteraudit.ORACLE, "op13_importance_resampling": importance.ORACLE}
