@@ -115,3 +115,37 @@ def test_sets_by_brute_force():
             value.append(model.em(p, c, np.array([0]), inside)[1][0] - penalty * (k - 1))
         k = int(np.argmax(value)) + 1
         assert {x for x, _ in model.infer([text])[0][2]} == {model.languages[i] for i in order[:k]}
+
+
+UNSEEN = ["ok", "日本語のテキストです。", "Русский текст о погоде и море", "lorem ipsum dolor sit amet"]
+
+
+def test_a_rare_label_doesnt_take_unseen_text(spark):
+    """One row of a fifth language: it changes nothing for other texts, and its
+    own words are still its own."""
+    d = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
+    rare = d.limit(1).withColumns({"doc_id": langid.F.lit(1).cast("long"), "text": langid.F.lit("hello my name is"), "lang": langid.F.lit("xx")})
+    learned = d.where(~langid.held_out(d["doc_id"], 5, 0, False)).unionByName(rare)
+    model = langid.train(learned)
+    assert "xx" in model.languages
+    got = model.infer([t.lower().encode() for t in UNSEEN])
+    assert all(g[0] != "xx" for g in got)
+    assert all(g[1] < 0.05 for g in got[1:3])
+    assert model.infer([b"hello my name is"])[0][0] == "xx"
+    docs = {r["lang"]: r["text"] for r in d.where("lang IS NOT NULL AND length(text) > 300").collect()}
+    for lang, text in docs.items():
+        name, score, _, _ = model.infer([text.lower().encode()])[0]
+        assert name == lang and score > 0.5
+
+
+def test_scores_know_chance():
+    model = toy(3)
+    sure, other = model.infer([words(1, 40), b"xyz xyz zyx"])
+    assert sure[1] > 0.99 and other[1] < 0.5 and other[3] < sure[3]
+
+
+def test_unseen_grams_are_alike_in_all_languages():
+    counts = np.zeros((langid.BUCKETS, 3))
+    counts[:50, 0], counts[40:90, 1], counts[7, 2] = 1000, 3, 1
+    p = langid.smoothed(counts, 0.05)
+    assert np.allclose(p.sum(0, dtype=float), langid.BUCKETS, rtol=1e-4) and np.allclose(p[200], p[200, 0])

@@ -23,6 +23,8 @@ LETTER[128:] = np.arange(128, 256)
 STILL, ROUNDS = 1e-3, 100
 #: Grams of neighbouring letters overlap: so many count as one.
 SHARE_OF_GRAMS = 3.0
+#: A batch holds so many bytes of text times languages (or 4 MB, if that is less).
+BATCH = 64 << 20
 
 
 def gram_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,12 @@ class Model:
         independent gram, by more than its penalty (half the log of the number
         of grams, and 4). No set's likelihood is above that of all languages, so
         sizes that it can't justify aren't tried. score is the best language's
-        share of the chosen mixture. gain: the mixture's log-likelihood, less
+        share of the chosen mixture times the probability of that mixture against
+        chance (all grams alike) and, if it is of one language, against the other
+        languages alone: near 0 for a script that no learned text has. EM ends
+        after ROUNDS where it still moves, with the shares it then has; its
+        likelihood only grows, so sets are compared by a lower bound. gain: the
+        mixture's log-likelihood, less
         the penalties of languages beyond the first, less that of chance (all
         grams alike), plus one penalty: below 0 only where chance explains the
         text better by more than a language may cost. Ties go to the language
@@ -130,10 +137,16 @@ class Model:
             took = mixed[better]
             chosen[took], value[took], final[took] = k, ll[better], s[better]
         gain = value + penalty * (1 - chosen)
+        # log-likelihoods are against chance, whose own is 0
+        rivals = np.where((chosen == 1)[:, None], alone, gain[:, None])
+        rivals[chosen > 1, 1:] = -np.inf
+        told = np.concatenate([np.zeros((len(docs), 1)), rivals], axis=1) / SHARE_OF_GRAMS
+        told -= told.max(1, keepdims=True)
+        sure = np.exp(np.where(chosen == 1, told[at, 1 + best], told[:, 1])) / np.exp(told).sum(1)
         for j, d in enumerate(docs):
             top = int(final[j].argmax())
             parts = sorted(((self.languages[i], float(final[j, i])) for i in np.flatnonzero(final[j] > 0)), key=lambda x: (-x[1], x[0]))
-            out[d] = (self.languages[top], float(min(1.0, max(0.0, final[j, top]))), parts, float(gain[j] + penalty[j]))
+            out[d] = (self.languages[top], float(min(1.0, max(0.0, final[j, top] * sure[j]))), parts, float(gain[j] + penalty[j]))
         return out
 
 
@@ -144,19 +157,23 @@ def held_out(key: Column, n: int, r: int, learn_from_r: bool) -> Column:
     return F.coalesce(rest != r if learn_from_r else rest == r, F.lit(True))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 3000, smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 3000, smoothing: float = 0.05) -> Model:
     """Learns from the rows of docs with a language. `per_language` bounds the
     sample: of a language with more rows, each is taken with probability
     per_language / rows, by a hash of its id. Whole texts of the sample are
     counted on the executors; the driver gets one number per language and
-    bucket."""
+    bucket.
+
+    Every language is smoothed towards one background, half the mean of all
+    languages and half chance, in proportion to its own size: a gram that no text
+    of the language has is equally likely in all of them, however few rows a
+    language has."""
     d = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(rows)
-    keep = F.lit(1.0)
-    for x in languages:
-        keep = F.when(F.col("lang") == x, per_language / max(rows[x], per_language)).otherwise(keep)
-    d = d.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < keep * (1 << 20)).select("lang", "text")
+    rates = d.groupBy("lang").agg((F.lit(float(per_language)) / F.greatest(F.count("*"), F.lit(per_language))).alias("keep"))
+    languages = sorted(r["lang"] for r in rates.select("lang").collect())
+    # one row a language, as the model has a column for each
+    d = d.join(F.broadcast(rates), "lang")
+    d = d.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.col("keep") * (1 << 20)).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -174,10 +191,22 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(b), pa.string()), pa.array(b), pa.array(t[b])], names=["lang", "bucket", "n"])
 
     counts = d.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    p = np.full((BUCKETS, len(languages)), smoothing)
+    p = np.zeros((BUCKETS, len(languages)))
     index = {x: i for i, x in enumerate(languages)}
-    p[counts.column("bucket").to_numpy(), [index[x] for x in counts.column("lang").to_pylist()]] += counts.column("n").to_numpy()
-    return Model(languages, (p / p.sum(0) * BUCKETS).astype(np.float32) if languages else p.astype(np.float32))
+    p[counts.column("bucket").to_numpy(), [index[x] for x in counts.column("lang").to_pylist()]] = counts.column("n").to_numpy()
+    return Model(languages, smoothed(p, smoothing))
+
+
+def smoothed(counts: np.ndarray, smoothing: float) -> np.ndarray:
+    """Likelihoods times the bucket count, from counts by bucket and language; a
+    language without grams is the background alone."""
+    if not counts.shape[1]:
+        return counts.astype(np.float32)
+    own = counts / np.maximum(counts.sum(0), 1)
+    background = (own.mean(1, keepdims=True) + 1 / BUCKETS) / 2
+    background /= background.sum()
+    p = own + smoothing * background
+    return (p / p.sum(0) * BUCKETS).astype(np.float32)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -193,7 +222,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", min(4 << 20, BATCH // max(1, len(shared.value.languages)))):
             got = shared.value.infer(as_bytes(batch.column("text")))
             mixtures = pa.array([[{"lang": x, "share": s} for x, s in g[2]] for g in got], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), mixtures, pa.array([g[3] for g in got], pa.float64())], names=[*kept, *names])
