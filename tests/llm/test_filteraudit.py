@@ -88,6 +88,8 @@ def test_copies_of_all_lengths(spark, monkeypatch):
     for n in (0, 1, 255, 256, 257, 4351, 4352, 4353, 69887, 69888, 69889):
         for k in range(3):
             rows += [(len(rows) + i, "x" * n + "abc"[k]) for i in range(2)]
+    for n in (255, 256, 257, 4352, 69887):
+        rows += [(len(rows), "é" * n + c) for c in ("a", "b", "a")]
     rows += [(1000 + i, "the same") for i in range(100)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     steps = d.select(F.col("doc_id").alias("id"), filteraudit.refinement(F.col("text")).alias("steps"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import join_bounded, stash
 
 FILTERS = "ABCDE"
-#: Code points of a text's first block; each block is GROWTH times as long as the one before.
+#: Bytes of a text's first block; each block is GROWTH times as long as the one before.
 BLOCK, GROWTH = 256, 16
 #: Rows of one class that meet its least row in one group of a shuffle.
 MEMBERS = 1000
@@ -32,13 +32,14 @@ def failing(text: Column) -> Column:
 
 def refinement(text: Column) -> Column:
     """What texts are split by, one after the other: length in code points, then
-    the hashes of successive blocks, as many as the length asks for."""
+    the hashes of successive blocks of UTF-8, as many as its bytes ask for."""
     t = F.coalesce(text, F.lit(""))
-    n, blocks, at, size = F.length(t), [], 0, BLOCK
+    data, size_, blocks, at, size = t.cast("binary"), F.octet_length(t), [], 0, BLOCK
     while at < 1 << 31:
-        blocks.append(F.when(n > at, F.xxhash64(F.substring(t, at + 1, min(size, (1 << 31) - 1)))))
+        # blocks of bytes are cut without reading what is before them
+        blocks.append(F.when(size_ > at, F.xxhash64(F.substring(data, at + 1, min(size, (1 << 31) - 1)))))
         at, size = at + size, size * GROWTH
-    return F.concat(F.array(n.cast("long")), F.filter(F.array(*blocks), lambda b: b.isNotNull()))
+    return F.concat(F.array(F.length(t).cast("long")), F.filter(F.array(*blocks), lambda b: b.isNotNull()))
 
 
 def class_after(steps: Column) -> Column:
@@ -80,7 +81,9 @@ def copies(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     the least row's are grouped by text.
     """
     steps = refinement(F.col(text))
-    d = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), class_after(steps).alias("class"), F.size(steps).alias("parts"))
+    d = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), steps.alias("steps"))
+    # two projections: each of them uses what the one before made once
+    d = d.select("id", "text", class_after(F.col("steps")).alias("class"), F.size("steps").alias("parts"))
     of = classes.where("least IS NOT NULL").withColumn("groups", F.ceil(F.col("n") / MEMBERS).cast("int"))
     members = join_bounded(d, of, ["class", "parts"], "inner", 32)
     first = members.where("id = least").groupBy("class", "parts", "groups").agg(F.min("text").alias("first"))
