@@ -1,4 +1,4 @@
-"""The log source, and ingestion that is replayed."""
+"""The log source. What is stored of it: test_ledger.py."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.sources.logs import BlockLogs
-from tidewatch.streaming import ingest
 
 
 def source(spark, fetch="fetch", **options):
@@ -31,22 +30,3 @@ def test_stream(spark, tmp_path):
     d.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == 100 and got.agg(F.max("block")).first()[0] == 49
-
-
-def test_append_once(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "k long, v string")
-    b = spark.createDataFrame([(2, "z"), (3, "z")], "k long, v string")
-    assert ingest.append_once(a, path, ["k"], "r", 0).count() == 2
-    assert [r["k"] for r in ingest.append_once(b, path, ["k"], "r", 1, "k").collect()] == [3]
-    assert [r["k"] for r in ingest.append_once(b, path, ["k"], "r", 1, "k").collect()] == [3]
-    assert ingest.append_once(a.unionByName(b), path, ["k"], "other", 0).count() == 0
-    assert sorted(r["k"] for r in ingest.stored(spark, path).collect()) == [1, 2, 3]
-
-
-def test_cursor_moves_forward(spark, tmp_path):
-    path = f"{tmp_path}/c"
-    assert ingest.cursor(spark, path, 7) == 7
-    for i, n in enumerate((9, 4)):
-        ingest.write_batch(spark.createDataFrame([(n,)], "processed long"), path, "r", i)
-    assert ingest.cursor(spark, path, 0) == 9

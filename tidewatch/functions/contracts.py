@@ -110,3 +110,32 @@ def null_reason(trusted: Column, decimals: Column, anchor: Column, liquidity: Co
         .when(F.coalesce(liquidity, F.lit(0)) <= 0, "zero-liquidity")
         .when(value.isNull(), "overflow")
     )
+
+
+#: The permissions, and which of them are critical.
+PERMISSIONS = {"mint": True, "blacklist": True, "pause": True, "upgradeAdmin": True, "transferTax": False, "ownership": False}
+
+
+def risk_reasons(verification: Column, proxy: Column, states: dict[str, Column], simulation: Column, simulation_reasons: Column) -> tuple[Column, Column, Column]:
+    """(status, risk reasons, good reasons) of a token, in order. states: of each
+    permission PRESENT, ABSENT, UNKNOWN or ANALYSIS_FAILED; behind a beacon they
+    are all UNKNOWN, as its logic can't be found. simulation: PASS, FAIL or
+    UNKNOWN, null if none was made. A critical permission or a failed simulation
+    is FAIL, a critical gap UNKNOWN, never a PASS."""
+    states = {k: F.when(proxy == "beacon", "UNKNOWN").otherwise(s) for k, s in states.items()}
+    found = []
+    for k, critical in PERMISSIONS.items():
+        s = states[k]
+        there = {"transferTax": "Adjustable transfer-tax capability present", "ownership": "Owner-controlled administrative functions present"}.get(k, f"Critical privileged capability present: {k}")
+        line = F.when(s == "PRESENT", there)
+        found.append(line.when(s.isin("UNKNOWN", "ANALYSIS_FAILED"), f"Privileged-permission analysis incomplete: {k}") if critical else line)
+    verified = F.when(verification == "VERIFIED", None).when(verification == "UNVERIFIED", "Contract source is not verified").otherwise("Contract verification status is unknown")
+    behind = F.when(proxy != "none", F.concat(F.lit("Contract is a proxy ("), proxy, F.lit("); logic can change")))
+    tried = F.when(simulation.isNull(), F.array(F.lit("Trade simulation was not performed"))).otherwise(F.coalesce(simulation_reasons, F.array().cast("array<string>")))
+    risks = F.concat(F.array_compact(F.array(verified, behind, *found)), tried)
+    good = F.array_compact(F.array(F.when(verification == "VERIFIED", "Contract source is verified"), F.when(simulation == "PASS", "Buy and sell simulate successfully through the real route")))
+    critical = [states[k] for k, yes in PERMISSIONS.items() if yes]
+    some = lambda *words: F.exists(F.array(*critical), lambda s: s.isin(*words))
+    outcome = F.coalesce(simulation, F.lit("UNKNOWN"))
+    status = F.when(some("PRESENT") | (outcome == "FAIL"), "FAIL").when(some("UNKNOWN", "ANALYSIS_FAILED") | (outcome == "UNKNOWN"), "UNKNOWN").otherwise("PASS")
+    return status, risks, good

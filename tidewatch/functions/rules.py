@@ -117,12 +117,15 @@ def alert_level() -> Column:
 
 def alert_gate(cooldown: int, floor: int = 80, floor_red: int = 70, delta: int = 10) -> tuple[Column, Column]:
     """(emit, reason) of level, score, t against last_level, last_score, last_t
-    of the token's latest alert (null: none)."""
+    of the token's latest alert (null: none), and sibling_level, sibling_token of
+    the latest that was delivered, not long ago, for another token of like name
+    (null: none): it holds back what doesn't outrank it."""
     least = F.when(c("level") == "RED", max(floor, floor_red)).otherwise(floor)
     rank, last = level_rank(c("level")), level_rank(c("last_level"))
     reason = (
         F.when(c("level") == "GRAY", "level-gray-never-emits")
         .when(c("score") < least, "below-min-score")
+        .when(c("sibling_level").isNotNull() & (rank <= level_rank(c("sibling_level"))), F.concat(F.lit("duplicate-name:"), c("sibling_level"), F.lit("@"), c("sibling_token").cast("string")))
         .when(c("last_level").isNull(), "first-alert")
         .when(rank > last, "level-increase")
         .when(c("t") - c("last_t") < cooldown, "within-cooldown")

@@ -140,20 +140,3 @@ ENTRY_FEATURES = {
 def entry_features(json: Column) -> Column:
     """Entry features, all or none: a row that lacks a key is not guessed at."""
     return strict_object(json, ENTRY_FEATURES)
-
-
-def brief_error(json: Column, most: int = 4_000) -> Column:
-    """The first error code of a brief's JSON; null where it is valid."""
-    of = lambda k: F.get_json_object(json, f"$.{k}")
-    thesis, confidence = of("thesis"), of("confidenceBps").try_cast("double")
-    array = lambda k: F.coalesce(of(k), F.lit("")).rlike(r"^\s*\[")
-    return (
-        F.when(F.try_parse_json(json).isNull(), "INVALID_JSON")
-        .when(~json.rlike(r"^\s*\{"), "INVALID_SHAPE")
-        .when(thesis.isNull() | (F.trim(thesis) == ""), "THESIS_INVALID")
-        .when(F.length(thesis) > most, "THESIS_TOO_LONG")
-        .when(~array("thesisEvidence"), "EVIDENCE_INVALID")
-        .when(confidence.isNull() | (confidence != F.floor(confidence)) | ~confidence.between(0, 10_000), "CONFIDENCE_OUT_OF_RANGE")
-        .when(~array("riskCalls"), "RISK_CALLS_INVALID")
-        .when(~F.coalesce(of("recommendation").isin("RESEARCH", "WATCH", "PASS"), F.lit(False)), "RECOMMENDATION_INVALID")
-    )

@@ -48,6 +48,10 @@ def difference(a: Column, b: Column) -> Column:
     return _exact(lambda x, y: x - y, a, b)
 
 
+def sum_of(a: Column, b: Column) -> Column:
+    return _exact(lambda x, y: x + y, a, b)
+
+
 def v2_price(base: Column, quote: Column, base_decimals: Column, quote_decimals: Column) -> Column:
     """Price of the base in the quote, times 10^18; null on a zero reserve."""
     return _exact(lambda b, q, bd, qd: q * WAD * 10**bd // (b * 10**qd) if b > 0 and q > 0 else None, base, quote, base_decimals, quote_decimals)

@@ -62,6 +62,58 @@ def as_of_all(left: DataFrame, rights: dict[str, DataFrame], key: str, time: str
     return out.select(*left.columns, *[F.when(here & near(n), F.col(f"{n}__m")).alias(n) for n in rights], *[F.when(here, F.col(f"{n}__n")).otherwise(0).alias(f"{n}_n") for n in rights])
 
 
+def latest_other(left: DataFrame, right: DataFrame, key: str, own: str, time: str, tie: str, cols: list[str], within: int | None = None, bucket: int | None = None) -> DataFrame:
+    """left with `other`: the last right row of the same key but another `own`
+    that comes before it by (time, tie), null if there is none, or none in the
+    last `within`. Rows with a null key match nothing; a null `own` differs from
+    none.
+
+    One window per key carries two rows on: the last one, and the last one before
+    it of another `own`; one of them is the answer whatever the left row's `own`.
+    `bucket`, a length of time, splits keys with very many rows: windows are per
+    key and bucket, and what the buckets before hand on comes from a table of two
+    rows per key and bucket."""
+    cols = list(dict.fromkeys([time, tie, own, *cols]))
+    l = left.where(F.col(key).isNotNull()).select("*", F.lit(1).alias("side__"), F.lit(None).cast(right.select(F.struct(*cols)).schema[0].dataType).alias("r__"))
+    r = right.where(F.col(key).isNotNull() & F.col(own).isNotNull()).select(F.col(key), F.col(time), F.col(tie), F.lit(0).alias("side__"), F.struct(*cols).alias("r__"))
+
+    def carried(rows: DataFrame, part: list[str]) -> DataFrame:
+        """rows with `last__` and `before__`, up to and with the row itself."""
+        w = Window.partitionBy(*part).orderBy(time, tie, F.col("side__").desc())
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        d = rows.withColumn("last__", F.last("r__", ignorenulls=True).over(upto))
+        previous = F.last("r__", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("previous__", previous)
+        turn = F.col("r__").isNotNull() & (F.col(f"r__.{own}") != F.col(f"previous__.{own}"))
+        return d.withColumn("before__", F.last(F.when(turn, F.col("previous__")), ignorenulls=True).over(upto)).drop("previous__")
+
+    def differs(c: str) -> Column:
+        return F.when(F.col(f"{c}.{own}") != F.col(own), F.col(c))
+
+    u = l.unionByName(r, allowMissingColumns=True)
+    if bucket is None:
+        out = carried(u, [key]).where("side__ = 1").withColumn("other", F.coalesce(differs("last__"), differs("before__")))
+    else:
+        u = u.withColumn("bucket__", F.floor(F.col(time) / bucket))
+        inside = carried(u, [key, "bucket__"])
+        out = inside.where("side__ = 1")
+        at = F.struct(F.col(time), F.col(tie), -F.col("side__"))
+        ends = inside.groupBy(key, "bucket__").agg(F.max_by(F.struct("last__", "before__"), at).alias("e"))
+        two = ends.select(key, "bucket__", F.explode(F.array("e.before__", "e.last__")).alias("r__")).where("r__ IS NOT NULL")
+        heads = out.select(key, "bucket__").distinct().select(key, "bucket__", F.lit(1).alias("side__"))
+        rows = two.select(key, F.col("bucket__").alias("b__"), F.col(f"r__.{time}").alias(time), F.col(f"r__.{tie}").alias(tie), F.lit(0).alias("side__"), "r__")
+        # a bucket's head comes before its own rows
+        start = heads.select(key, F.col("bucket__").alias("b__"), (F.col("bucket__") * bucket).cast(left.schema[time].dataType).alias(time), "side__")
+        handed = carried(rows.unionByName(start, allowMissingColumns=True), [key]).where("side__ = 1")
+        handed = handed.select(F.col(key).alias("k__"), F.col("b__").alias("kb__"), F.col("last__").alias("last0__"), F.col("before__").alias("before0__"))
+        out = out.join(handed, (F.col(key) == F.col("k__")) & (F.col("bucket__") == F.col("kb__")), "left")
+        out = out.withColumn("other", F.coalesce(differs("last__"), differs("before__"), differs("last0__"), differs("before0__")))
+    if within is not None:
+        out = out.withColumn("other", F.when(F.col(time) - F.col(f"other.{time}") <= within, F.col("other")))
+    nothing = left.where(F.col(key).isNull()).withColumn("other", F.lit(None).cast(out.schema["other"].dataType))
+    return out.select(*left.columns, "other").unionByName(nothing)
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, cols: list[str]) -> DataFrame:
     """left with `match`, the right row of least distance in time; of equal
     distances the greatest tie."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .dominance import counts_in_ranges
+
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 
@@ -126,12 +128,9 @@ def sustained_peak(snaps: DataFrame, width: int, low: float, high: float) -> Dat
 
 def cohort_percentiles(snaps: DataFrame, least: int = 8) -> DataFrame:
     """Share of a pool's peers (age from half to twice its own, itself not) with
-    at most its value. A range join of pools, one row each; peers meet in
-    buckets of the log of the age."""
-    c = snaps.groupBy("pool").agg(F.max_by(F.struct("fdv", "liq"), F.struct("t", "id")).alias("s"), ((F.max("t") - F.min("t")) / 60_000_000).alias("age")).where("age > 0").select("pool", "age", F.col("s.fdv").alias("fdv"))
-    key = F.floor(F.log2("age")).cast("int")
-    a = c.withColumn("k", F.explode(F.array(key - 1, key, key + 1)))
-    p = c.select(F.col("pool").alias("peer"), F.col("age").alias("peer_age"), F.col("fdv").alias("peer_fdv"), key.alias("pk"))
-    j = a.join(p, (F.col("k") == F.col("pk")) & (F.col("pool") != F.col("peer")) & F.col("peer_age").between(F.col("age") * 0.5, F.col("age") * 2))
-    g = j.groupBy("pool").agg(F.count("*").alias("cohort"), half_up(F.avg((F.col("peer_fdv") <= F.col("fdv")).cast("int")) * 10000).alias("fdv_bps"))
-    return g.where(F.col("cohort") >= least)
+    at most its value, of those that have one; null without its own value. Peers
+    are counted by dominance, not joined."""
+    c = snaps.groupBy("pool").agg(F.max_by("fdv", F.struct("t", "id")).alias("y"), ((F.max("t") - F.min("t")) / 60_000_000).alias("x")).where("x > 0").withColumnRenamed("pool", "id")
+    n = counts_in_ranges(c, F.col("x") * 0.5, F.col("x") * 2).join(c.select("id", "y"), "id")
+    share = (F.col("at_most") - 1) / F.nullif(F.col("valued") - 1, F.lit(0))
+    return n.where(F.col("inside") - 1 >= least).select(F.col("id").alias("pool"), (F.col("inside") - 1).alias("cohort"), F.when(F.col("y").isNotNull(), half_up(share * 10000)).alias("fdv_bps"))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import ranks
 from .series import half_up
 
 Z = 1.96
@@ -24,21 +25,13 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(n > 0, half_up(low * 10000)), F.when(n > 0, half_up(high * 10000))
 
 
-def quartile(partition: list[str], value: str, tie: str) -> Column:
-    """min(3, floor(4 i / n)) of the sorted place; not ntile."""
-    w = Window.partitionBy(*partition)
-    i = F.row_number().over(w.orderBy(value, tie)) - 1
-    return F.least(F.lit(3), F.floor(i * 4 / F.count("*").over(w))).cast("int")
-
-
-def nearest_rank(p: float, value: str) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-
-
-def multiple_stats() -> list[Column]:
-    """Count, quantiles, shares of two and five times, median fall."""
+def multiple_stats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of keys: count, quantiles of the multiple, shares of two and
+    five times, median fall."""
     share = lambda x: half_up(F.avg((F.col("mult") >= x).cast("int")) * 10000)
-    return [F.count("*").alias("n"), F.min("mult").alias("min"), nearest_rank(0.5, "mult").alias("median"), nearest_rank(0.75, "mult").alias("p75"), F.max("mult").alias("max"), share(20000).alias("share_2x"), share(50000).alias("share_5x"), nearest_rank(0.5, "dd").alias("median_dd")]
+    g = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("mult").alias("min"), F.max("mult").alias("max"), share(20000).alias("share_2x"), share(50000).alias("share_5x"))
+    g = ranks.beside(g, ranks.nearest_ranks(df, keys, "mult", {"median": 0.5, "p75": 0.75}), keys)
+    return ranks.beside(g, ranks.nearest_ranks(df, keys, "dd", {"median_dd": 0.5}), keys)
 
 
 def net_balances(transfers: DataFrame) -> DataFrame:

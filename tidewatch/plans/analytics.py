@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import level_rank, normal_name
-from ..operators import asof, series, stats
+from ..operators import asof, ranks, series, stats
 from ..operators.series import DAY, half_up
 from ..operators.stats import r6
 from ..sources.tables import alerts, labels, micros, read, scores, snapshots, sql, swaps
@@ -56,8 +56,9 @@ def score_precision_curve(spark, sf, horizon=None):
 SELECT horizon, bucket, count(*) AS n, min(dd) AS low, max(dd) AS high, percentile_cont(0.5) WITHIN GROUP (ORDER BY mult) AS median_mult, floor(avg((mult >= 20000)::INT) * 1e6 + 0.5) / 1e6 AS share2 FROM q GROUP BY 1, 2"""))
 def feature_quartiles(spark, sf, horizon=None):
     l = labels(spark, sf) if horizon is None else labels(spark, sf).where(F.col("horizon") == horizon)
-    q = l.where("status <> 'P'").withColumn("bucket", F.ntile(4).over(Window.partitionBy("horizon").orderBy("dd", "id")).cast("bigint"))
-    return q.groupBy("horizon", "bucket").agg(F.count("*").alias("n"), F.min("dd").alias("low"), F.max("dd").alias("high"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY mult)").alias("median_mult"), r6(F.avg((F.col("mult") >= 20000).cast("int"))).alias("share2"))
+    q = ranks.ntile4(l.where("status <> 'P'"), ["horizon"], "dd", "id", "bucket").withColumn("bucket", F.col("bucket").cast("bigint"))
+    g = q.groupBy("horizon", "bucket").agg(F.count("*").alias("n"), F.min("dd").alias("low"), F.max("dd").alias("high"), r6(F.avg((F.col("mult") >= 20000).cast("int"))).alias("share2"))
+    return ranks.beside(g, ranks.medians(q, ["horizon", "bucket"], "mult", "median_mult"), ["horizon", "bucket"])
 
 
 @query(sql("alerts labels_", """, r AS (SELECT a.id, a.token, a.level, a.t, c.c_name AS name FROM alerts a LEFT JOIN customer c ON c.c_custkey = a.token ORDER BY a.t DESC, a.id DESC LIMIT 200)
@@ -280,15 +281,6 @@ def early_buyer_retention(spark, sf):
     return per.where("early = 1").groupBy("pool").agg(F.count("*").alias("early"), F.count_if(F.col("b") > 0).alias("still"), half_up(F.count_if(F.col("b") > 0) * 10000 / F.count("*")).alias("retention_bps"))
 
 
-@query(sql("alerts labels_", ", u AS (SELECT token, 1 AS alert, 0 AS good, 0 AS bad FROM alerts WHERE level = 'GREEN' UNION ALL SELECT token, 0, (mult >= 50000)::INT, (status = 'F')::INT FROM labels_), g AS (SELECT token, max(alert) AS alert, max(good) AS good, max(bad) AS bad FROM u GROUP BY token) SELECT CASE WHEN alert = 1 AND good = 1 THEN 'CAUGHT' WHEN alert = 1 AND bad = 1 THEN 'FALSE_ALERT' WHEN alert = 0 AND good = 1 THEN 'MISSED' END AS quadrant, count(*) AS tokens FROM g WHERE (alert = 1 AND (good = 1 OR bad = 1)) OR (alert = 0 AND good = 1) GROUP BY 1"))
-def feedback_quadrants(spark, sf):
-    a = alerts(spark, sf).where("level = 'GREEN'").select("token", F.lit(1).alias("alert"), F.lit(0).alias("good"), F.lit(0).alias("bad"))
-    l = labels(spark, sf).select("token", F.lit(0).alias("alert"), (F.col("mult") >= 50000).cast("int").alias("good"), (F.col("status") == "F").cast("int").alias("bad"))
-    g = a.unionByName(l).groupBy("token").agg(*[F.max(x).alias(x) for x in ("alert", "good", "bad")])
-    q = F.when((F.col("alert") == 1) & (F.col("good") == 1), "CAUGHT").when((F.col("alert") == 1) & (F.col("bad") == 1), "FALSE_ALERT").when((F.col("alert") == 0) & (F.col("good") == 1), "MISSED")
-    return g.select(q.alias("quadrant")).where("quadrant IS NOT NULL").groupBy("quadrant").agg(F.count("*").alias("tokens"))
-
-
 def candidates(spark, sf):
     """One wide row per pool: its latest snapshot, activity of its last day, and
     fields derived from its number; every side is grouped by pool first."""

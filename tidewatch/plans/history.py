@@ -80,15 +80,6 @@ def realized_taxonomy(spark, sf):
     return x.groupBy("horizon", rules.realized_taxonomy().alias("taxonomy")).agg(F.count("*").alias("n"))
 
 
-_TIER = "CASE WHEN mult < 50000 THEN 'T2' WHEN dd > 9000 THEN 'T3' WHEN status = 'F' THEN 'T4' WHEN status = 'P' THEN 'T5' WHEN token % 3 = 0 THEN 'T6' ELSE 'T7' END"
-
-
-@query(sql("labels_", f"SELECT {_TIER} AS tier, count(*) AS n FROM labels_ GROUP BY 1"))
-def coverage_tier(spark, sf):
-    t = F.when(F.col("mult") < 50000, "T2").when(F.col("dd") > 9000, "T3").when(F.col("status") == "F", "T4").when(F.col("status") == "P", "T5").when(F.col("token") % 3 == 0, "T6").otherwise("T7")
-    return labels(spark, sf).groupBy(t.alias("tier")).agg(F.count("*").alias("n"))
-
-
 # ---- balances: a line item moves its quantity from supplier to part
 
 _MOVES = "m AS (SELECT l_orderkey % 7 AS token, l_suppkey AS src, l_partkey % 150 AS dst, l_quantity::BIGINT AS v FROM lineitem), n AS (SELECT token, src AS holder, -v AS v FROM m UNION ALL SELECT token, dst, v FROM m), b AS (SELECT token, holder, sum(v)::BIGINT AS balance FROM n GROUP BY 1, 2 HAVING sum(v) > 0)"

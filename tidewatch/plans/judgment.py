@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import judgment, rules, texts
-from ..operators import asof, lookup
+from ..operators import asof, lookup, ranks
 from ..operators.series import DAY, half_up
 from ..operators.stats import wilson
 from ..sources.tables import alerts, labels, micros, read, scores, snapshots, sql
 from .analytics import CANDIDATES, candidates
 from .catalogue import query
-from .reports import _BREADTH, _DEPTH, _FAILED, _FLOW, _SCORED, _TILT
+from .reports import _BREADTH, _DEPTH, _FAILED, _FLOW, _SCORED, _TILT, NAMED, delivered, token_names
 
 # ---- briefs: events as judged calls, labels of their pools as what came of them
 
@@ -67,9 +67,12 @@ def judge_report(spark, sf):
     j = judged(spark, sf)
     brier = half_up(F.pow(F.col("implied") / 10_000 - (F.col("label") == "RUNNER").cast("int"), 2) * 1e6)
     kind = lambda x: F.count_if(F.col("recommendation") == x).alias(x.lower())
-    median = lambda c: F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {c})")
     rejected = F.count_if(F.col("status") == "REJECTED_FABRICATED_CITATION")
-    return j.groupBy("version", "horizon").agg(F.count("*").alias("n"), F.count_if("scored").alias("scored"), kind("RESEARCH"), kind("WATCH"), kind("PASS"), judgment.rate_bps(rejected, F.count("*")).alias("fabrication_bps"), half_up(F.avg(F.when(F.col("scored"), brier))).alias("brier_micro"), median("latency").alias("median_latency"), median("calls").alias("median_calls"))
+    by = ["version", "horizon"]
+    g = j.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("scored").alias("scored"), kind("RESEARCH"), kind("WATCH"), kind("PASS"), judgment.rate_bps(rejected, F.count("*")).alias("fabrication_bps"), half_up(F.avg(F.when(F.col("scored"), brier))).alias("brier_micro"))
+    for c in ("latency", "calls"):
+        g = ranks.beside(g, ranks.medians(j, by, c, f"median_{c}"), by)
+    return g
 
 
 @query(sql("labels_", f""", {_BRIEFS}, s AS (SELECT * FROM judged WHERE scored),
@@ -149,8 +152,9 @@ _R = "CASE {} WHEN 'GREEN' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'RED' THEN 1 ELSE 0
 
 @query(sql("snapshots swaps alerts scores", _SCORED + f""", v AS (SELECT *, {_LEVEL} AS level FROM s), k AS (SELECT max(t) AS now FROM alerts),
 a AS (SELECT token, arg_max(level, (t, id)) AS last_level, arg_max(score, (t, id)) AS last_score, max(t) AS last_t FROM alerts GROUP BY token), z AS (SELECT token, max(t) AS scored_t FROM scores GROUP BY token),
-x AS (SELECT v.*, now, a.last_level, a.last_score, a.last_t, scored_t, {_R.format('v.level')} AS r, {_R.format('last_level')} AS lr FROM v, k LEFT JOIN a ON a.token = v.pool LEFT JOIN z ON z.token = v.pool),
-g AS (SELECT *, CASE WHEN level = 'GRAY' THEN 'level-gray-never-emits' WHEN score < CASE WHEN level = 'RED' THEN 50 ELSE 40 END THEN 'below-min-score' WHEN last_level IS NULL THEN 'first-alert' WHEN r > lr THEN 'level-increase' WHEN now - last_t < {DAY} THEN 'within-cooldown' WHEN score - last_score < 10 THEN 'no-material-improvement' WHEN r = lr THEN 'cooldown-elapsed:same-level' ELSE 'cooldown-elapsed:de-escalation' END AS gate FROM x)
+{NAMED}, o AS (SELECT v.pool, arg_max(struct_pack(level := b.level, token := b.token), (b.t, b.id)) AS s FROM v JOIN names n ON n.token = v.pool JOIN sent b ON b.name = n.name AND b.token <> v.pool, k WHERE b.t >= now - {DAY} GROUP BY v.pool),
+x AS (SELECT v.*, o.s.level AS sl, o.s.token AS st, {_R.format('o.s.level')} AS sr, now, a.last_level, a.last_score, a.last_t, scored_t, {_R.format('v.level')} AS r, {_R.format('last_level')} AS lr FROM v, k LEFT JOIN a ON a.token = v.pool LEFT JOIN z ON z.token = v.pool LEFT JOIN o ON o.pool = v.pool),
+g AS (SELECT *, CASE WHEN level = 'GRAY' THEN 'level-gray-never-emits' WHEN score < CASE WHEN level = 'RED' THEN 50 ELSE 40 END THEN 'below-min-score' WHEN sl IS NOT NULL AND r <= sr THEN 'duplicate-name:' || sl || '@' || st WHEN last_level IS NULL THEN 'first-alert' WHEN r > lr THEN 'level-increase' WHEN now - last_t < {DAY} THEN 'within-cooldown' WHEN score - last_score < 10 THEN 'no-material-improvement' WHEN r = lr THEN 'cooldown-elapsed:same-level' ELSE 'cooldown-elapsed:de-escalation' END AS gate FROM x)
 SELECT pool, score::INT AS score, level, array_to_string({_FAILED}, ',') AS failed, gate AS reason, level <> 'GRAY' OR (buyers_1h > 0 AND (scored_t IS NULL OR now - scored_t >= {2 * DAY})) AS logged, gate IN ('first-alert', 'level-increase', 'cooldown-elapsed:same-level', 'cooldown-elapsed:de-escalation') AS emitted FROM g"""))
 def scoring_pass(spark, sf, shadow_interval=2 * DAY, cooldown=DAY, floor=40, floor_red=50):
     """One pass over all pools: features, eligibility, score, level, which rows
@@ -161,7 +165,10 @@ def scoring_pass(spark, sf, shadow_interval=2 * DAY, cooldown=DAY, floor=40, flo
     a = asof.latest(alerts(spark, sf), ["token"], ["t", "id"], ["level", "score", "t"]).select(F.col("token").alias("pool"), *[F.col(x).alias(f"last_{x}") for x in ("level", "score", "t")])
     z = scores(spark, sf).groupBy(F.col("token").alias("pool")).agg(F.max("t").alias("scored_t"))
     now = alerts(spark, sf).agg(F.max("t").alias("t"))
-    x = c.join(a, "pool", "left").join(z, "pool", "left").join(F.broadcast(now))
+    x = c.join(a, "pool", "left").join(z, "pool", "left").join(F.broadcast(now)).join(token_names(spark, sf).withColumnRenamed("token", "pool"), "pool", "left")
+    # ids from 0: all that was delivered until now comes before
+    x = asof.latest_other(x.withColumn("id", F.lit(1 << 62)).withColumn("token", F.col("pool")), delivered(spark, sf), "name", "token", "t", "id", ["level"], within=cooldown)
+    x = x.withColumns({"sibling_level": F.col("other.level"), "sibling_token": F.col("other.token")})
     emit, reason = rules.alert_gate(cooldown, floor, floor_red)
     due = (F.col("buyers_1h") > 0) & (F.col("scored_t").isNull() | (F.col("t") - F.col("scored_t") >= shadow_interval))
     return x.select("pool", F.col("score").cast("int").alias("score"), "level", F.array_join(rules.failed_rules(), ",").alias("failed"), reason.alias("reason"), ((F.col("level") != "GRAY") | due).alias("logged"), emit.alias("emitted"))
@@ -172,12 +179,9 @@ _JSON_SQL = f"""f AS (SELECT p_partkey AS id, p_size * 900.0 AS fdv, CASE WHEN p
   FROM part WHERE p_partkey % 9 < 6)"""
 
 
-@query(f"WITH {_JSON_SQL} SELECT p.p_partkey AS id, f.id IS NOT NULL AS parsed, CASE WHEN f.id IS NOT NULL THEN array_to_string({_FAILED}, ',') END AS failed, CASE WHEN f.id IS NOT NULL THEN ({_DEPTH} + {_BREADTH} + {_FLOW} + {_TILT})::INT END AS score FROM part p LEFT JOIN f ON f.id = p.p_partkey")
-def feature_replay(spark, sf):
-    """Stored entry features, read strictly, and the gate replayed over them.
-    Missing sources count as in the live pass; a row that lacks a key (one in
-    nine), has a number as text, or a word that isn't one of the choices, isn't
-    replayed."""
+def replayed_parts(spark, sf):
+    """(id, e and what the rules read) of parts as tokens at entry: features as
+    JSON, read strictly; e is null where a row can't be replayed."""
     k, z = F.col("p_partkey"), F.col("p_size")
     null = lambda keep, x: F.when(keep, x.cast("string")).otherwise("null")
     q = lambda x: F.concat(F.lit('"'), x.cast("string"), F.lit('"'))
@@ -200,8 +204,16 @@ def feature_replay(spark, sf):
     members = F.array(*[F.when((F.lit(name) != "isProxy") | (k % 9 != 6), F.concat(F.lit(f'"{name}": '), v)) for name, v in values.items()])
     json = F.concat(F.lit("{"), F.array_join(F.array_compact(members), ", "), F.lit("}"))
     d = read(spark, sf, "part").select(k.alias("id"), (z * 900.0).alias("entry_fdv"), texts.entry_features(json).alias("e"))
-    c = rules.replayed(d, "e", F.col("entry_fdv"))
-    there = F.col("e").isNotNull()
+    return rules.replayed(d, "e", F.col("entry_fdv"))
+
+
+@query(f"WITH {_JSON_SQL} SELECT p.p_partkey AS id, f.id IS NOT NULL AS parsed, CASE WHEN f.id IS NOT NULL THEN array_to_string({_FAILED}, ',') END AS failed, CASE WHEN f.id IS NOT NULL THEN ({_DEPTH} + {_BREADTH} + {_FLOW} + {_TILT})::INT END AS score FROM part p LEFT JOIN f ON f.id = p.p_partkey")
+def feature_replay(spark, sf):
+    """Stored entry features, read strictly, and the gate replayed over them.
+    Missing sources count as in the live pass; a row that lacks a key (one in
+    nine), has a number as text, or a word that isn't one of the choices, isn't
+    replayed."""
+    c, there = replayed_parts(spark, sf), F.col("e").isNotNull()
     return c.select("id", there.alias("parsed"), F.when(there, F.array_join(rules.failed_rules(), ",")).alias("failed"), F.when(there, rules.opportunity().cast("int")).alias("score"))
 
 

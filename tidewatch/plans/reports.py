@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import rules, scalars, texts, wide
-from ..operators import asof, stats
+from ..functions.scalars import normal_name
+from ..operators import asof, ranks, stats
 from ..operators.series import DAY, half_up
 from ..operators.stats import r6, wilson
 from ..sources.tables import alerts, labels, read, snapshots, sql, swaps
@@ -41,11 +42,30 @@ def alert_level(spark, sf):
     return _scored(spark, sf).select("pool", rules.alert_level().alias("level"))
 
 
-@query(sql("alerts", f""", x AS (SELECT *, CASE level WHEN 'GREEN' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'RED' THEN 1 ELSE 0 END AS r FROM alerts), y AS (SELECT *, lag(level) OVER w AS last_level, lag(score) OVER w AS last_score, lag(t) OVER w AS last_t, lag(r) OVER w AS lr FROM x WINDOW w AS (PARTITION BY token ORDER BY t, id))
-SELECT id, CASE WHEN level = 'GRAY' THEN 'level-gray-never-emits' WHEN score < 80 THEN 'below-min-score' WHEN last_level IS NULL THEN 'first-alert' WHEN r > lr THEN 'level-increase' WHEN t - last_t < {DAY} THEN 'within-cooldown' WHEN score - last_score < 10 THEN 'no-material-improvement' WHEN r = lr THEN 'cooldown-elapsed:same-level' ELSE 'cooldown-elapsed:de-escalation' END AS reason FROM y"""))
+def token_names(spark, sf):
+    """(token, name): three tokens share a part's name."""
+    p = read(spark, sf, "part").select((F.col("p_partkey") - 1).alias("at"), normal_name(F.col("p_name")).alias("name"))
+    return p.select(F.explode(F.sequence(F.col("at") * 3, F.col("at") * 3 + 2)).alias("token"), F.nullif("name", F.lit("")).alias("name"))
+
+
+def delivered(spark, sf):
+    """Alerts that went out, with the names of their tokens."""
+    return alerts(spark, sf).where("id % 4 <> 0").join(token_names(spark, sf), "token")
+
+
+#: For SQL: names, and alerts that were delivered.
+NAMED = "names AS (SELECT (p_partkey - 1) * 3 + i AS token, nullif(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), '') AS name FROM part, (SELECT unnest([0, 1, 2]) AS i)), sent AS (SELECT alerts.*, name FROM alerts JOIN names USING (token) WHERE id % 4 <> 0)"
+
+
+@query(sql("alerts", f""", {NAMED}, x AS (SELECT a.*, name, CASE level WHEN 'GREEN' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'RED' THEN 1 ELSE 0 END AS r FROM alerts a LEFT JOIN names USING (token)), y AS (SELECT *, lag(level) OVER w AS last_level, lag(score) OVER w AS last_score, lag(t) OVER w AS last_t, lag(r) OVER w AS lr FROM x WINDOW w AS (PARTITION BY token ORDER BY t, id)),
+o AS (SELECT a.id, arg_max(struct_pack(level := b.level, token := b.token), (b.t, b.id)) AS s FROM x a JOIN sent b ON a.name = b.name AND a.token <> b.token AND b.t >= a.t - {DAY} AND (b.t < a.t OR b.t = a.t AND b.id < a.id) GROUP BY a.id),
+z AS (SELECT y.*, s.level AS sl, s.token AS st, CASE s.level WHEN 'GREEN' THEN 3 WHEN 'YELLOW' THEN 2 WHEN 'RED' THEN 1 ELSE 0 END AS sr FROM y LEFT JOIN o USING (id))
+SELECT id, CASE WHEN level = 'GRAY' THEN 'level-gray-never-emits' WHEN score < 80 THEN 'below-min-score' WHEN sl IS NOT NULL AND r <= sr THEN 'duplicate-name:' || sl || '@' || st WHEN last_level IS NULL THEN 'first-alert' WHEN r > lr THEN 'level-increase' WHEN t - last_t < {DAY} THEN 'within-cooldown' WHEN score - last_score < 10 THEN 'no-material-improvement' WHEN r = lr THEN 'cooldown-elapsed:same-level' ELSE 'cooldown-elapsed:de-escalation' END AS reason FROM z"""))
 def alert_gate(spark, sf):
     w = Window.partitionBy("token").orderBy("t", "id")
-    a = alerts(spark, sf).select("*", *[F.lag(c).over(w).alias(f"last_{c}") for c in ("level", "score", "t")])
+    a = alerts(spark, sf).select("*", *[F.lag(c).over(w).alias(f"last_{c}") for c in ("level", "score", "t")]).join(token_names(spark, sf), "token", "left")
+    a = asof.latest_other(a, delivered(spark, sf), "name", "token", "t", "id", ["level"], within=DAY, bucket=7 * DAY)
+    a = a.withColumns({"sibling_level": F.col("other.level"), "sibling_token": F.col("other.token")})
     return a.select("id", rules.alert_gate(DAY)[1].alias("reason"))
 
 
@@ -77,13 +97,14 @@ _STATS = "count(*) AS n, min(mult) AS min, percentile_disc(0.5) WITHIN GROUP (OR
 
 @query(sql("labels_", f"SELECT horizon, {_STATS} FROM labels_ GROUP BY 1"))
 def calibration_headline(spark, sf):
-    return labels(spark, sf).groupBy("horizon").agg(*stats.multiple_stats())
+    return stats.multiple_stats(labels(spark, sf), ["horizon"])
 
 
 @query(sql("labels_", f", q AS (SELECT *, CASE WHEN status <> 'P' THEN least(3, floor((row_number() OVER (PARTITION BY horizon, status <> 'P' ORDER BY dd, id) - 1) * 4 / count(*) OVER (PARTITION BY horizon, status <> 'P')))::INT END AS bucket FROM labels_) SELECT horizon, bucket, {_STATS} FROM q GROUP BY 1, 2"))
 def calibration_buckets(spark, sf):
-    q = labels(spark, sf).withColumn("known", F.col("status") != "P").withColumn("bucket", F.when(F.col("known"), stats.quartile(["horizon", "known"], "dd", "id")))
-    return q.groupBy("horizon", "bucket").agg(*stats.multiple_stats())
+    l = labels(spark, sf)
+    known = ranks.quartiles(l.where("status <> 'P'"), ["horizon"], "dd", "id", "bucket")
+    return stats.multiple_stats(known.unionByName(l.where("status = 'P'"), allowMissingColumns=True), ["horizon", "bucket"])
 
 
 @query(sql("labels_", ", q AS (SELECT *, dd // 2500 AS bucket, id % 2 = 0 AS tune, (status = 'F')::INT AS bad FROM labels_), p AS (SELECT avg(bad) FILTER (tune) AS t, avg(bad) FILTER (NOT tune) AS c FROM q), l AS (SELECT bucket, count(*) AS n, avg(bad) FILTER (tune) - any_value(p.t) AS lt, avg(bad) FILTER (NOT tune) - any_value(p.c) AS lc FROM q, p GROUP BY bucket) SELECT bucket, n, floor(lt * 1e6 + 0.5) / 1e6 AS lift_tune, floor(lc * 1e6 + 0.5) / 1e6 AS lift_confirm, sign(floor(lt * 1e6 + 0.5)) = sign(floor(lc * 1e6 + 0.5)) AND floor(lt * 1e6 + 0.5) <> 0 AS signal FROM l"))
@@ -104,23 +125,6 @@ def floor_volume(spark, sf):
     return per.groupBy(F.col("floor").cast("int").alias("floor")).agg(F.sum("k").alias("token_days"), r6(F.avg("k")).alias("per_day"))
 
 
-_PERIOD = "CASE WHEN t < 820454400000000 THEN 'tune' WHEN t < 883612800000000 THEN 'confirm' END"
-
-
-@query(sql("labels_", f", x AS (SELECT {_PERIOD} AS period, mult >= 50000 AS win, dd < 5000 AS caught FROM labels_) SELECT period, count(*) FILTER (win) AS winners, count(*) FILTER (win AND caught) AS hit, count(*) FILTER (NOT win AND caught) AS losers, floor(count(*) FILTER (win AND caught) / count(*) FILTER (caught) * 1e6 + 0.5) / 1e6 AS prec, floor(count(*) FILTER (win AND caught) / count(*) FILTER (win) * 1e6 + 0.5) / 1e6 AS recall FROM x WHERE period IS NOT NULL GROUP BY 1"))
-def sweep_comparison(spark, sf):
-    p = F.when(F.col("t") < 820454400000000, "tune").when(F.col("t") < 883612800000000, "confirm")
-    x = labels(spark, sf).select(p.alias("period"), (F.col("mult") >= 50000).alias("win"), (F.col("dd") < 5000).alias("caught")).where("period IS NOT NULL")
-    g = x.groupBy("period").agg(F.count_if("win").alias("winners"), F.count_if(F.col("win") & F.col("caught")).alias("hit"), F.count_if(~F.col("win") & F.col("caught")).alias("losers"))
-    return g.select("*", r6(F.col("hit") / (F.col("hit") + F.col("losers"))).alias("prec"), r6(F.try_divide("hit", "winners")).alias("recall"))
-
-
-@query(sql("labels_", "SELECT CASE WHEN dd < 2000 THEN 'alreadyCaught' WHEN status = 'F' THEN 'gateBlocked' WHEN dd < 7000 THEN 'reachable' ELSE 'below' END AS class, count(*) AS n FROM labels_ WHERE mult >= 50000 GROUP BY 1"))
-def reachable_ceiling(spark, sf):
-    c = F.when(F.col("dd") < 2000, "alreadyCaught").when(F.col("status") == "F", "gateBlocked").when(F.col("dd") < 7000, "reachable").otherwise("below")
-    return labels(spark, sf).where("mult >= 50000").groupBy(c.alias("class")).agg(F.count("*").alias("n"))
-
-
 @query("WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS k FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT source, n, k, floor(greatest(0, (k / n + 3.8416 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)) * 10000 + 0.5)::BIGINT AS low, floor(least(1, (k / n + 3.8416 / (2 * n) + 1.96 * sqrt((k / n * (1 - k / n) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)) * 10000 + 0.5)::BIGINT AS high FROM g")
 def wilson_rates(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "source").join(read(spark, sf, "labels"), "doc_id")
@@ -135,14 +139,6 @@ def brier_calibration(spark, sf):
     return x.groupBy(F.expr("least(9L, dd div 1000)").alias("decile")).agg(F.count("*").alias("n"), half_up(F.avg("dd")).alias("stated"), half_up(F.avg("hit") * 10000).alias("realized"), half_up(F.avg(F.pow(F.col("dd") / 10000 - F.col("hit"), 2)) * 1e6).alias("brier_micro"))
 
 
-@query(sql("labels_", ", x AS (SELECT unnest(list_distinct(list_filter([CASE WHEN dd > 5000 THEN 'DRAWDOWN' END, CASE WHEN token % 2 = 0 THEN 'RUG' END, CASE WHEN token % 3 = 0 THEN 'BLEED' END], lambda v: v IS NOT NULL))) AS tag, status, mult, dd FROM labels_) SELECT tag, count(*) AS calls, count(*) FILTER (CASE tag WHEN 'RUG' THEN status = 'F' WHEN 'DRAWDOWN' THEN dd > 7500 ELSE mult < 11000 END) AS hits FROM x GROUP BY 1"))
-def tag_precision_recall(spark, sf):
-    tags = F.array_distinct(F.array_compact(F.array(F.when(F.col("dd") > 5000, F.lit("DRAWDOWN")), F.when(F.col("token") % 2 == 0, F.lit("RUG")), F.when(F.col("token") % 3 == 0, F.lit("BLEED")))))
-    x = labels(spark, sf).select(F.explode(tags).alias("tag"), "status", "mult", "dd")
-    hit = F.when(F.col("tag") == "RUG", F.col("status") == "F").when(F.col("tag") == "DRAWDOWN", F.col("dd") > 7500).otherwise(F.col("mult") < 11000)
-    return x.groupBy("tag").agg(F.count("*").alias("calls"), F.count_if(hit).alias("hits"))
-
-
 @query(sql("labels_", "SELECT CASE WHEN horizon <> '1-URGENT' THEN 'wrongHorizon' WHEN mult NOT BETWEEN 5000 AND 50000 THEN 'wrongBand' WHEN status = 'P' THEN 'unparseable' ELSE 'kept' END AS reason, count(*) AS n FROM labels_ GROUP BY 1"))
 def skip_reasons(spark, sf):
     r = F.when(F.col("horizon") != "1-URGENT", "wrongHorizon").when(~F.col("mult").between(5000, 50000), "wrongBand").when(F.col("status") == "P", "unparseable").otherwise("kept")
@@ -162,7 +158,8 @@ def comparable_knn(spark, sf):
 @query(sql("labels_", "SELECT horizon, count(*) AS n, floor(avg((status = 'F')::INT) * 1e6 + 0.5) / 1e6 AS died, floor(avg((mult >= 20000)::INT) * 1e6 + 0.5) / 1e6 AS runner, percentile_disc(0.5) WITHIN GROUP (ORDER BY mult) AS median, count(*) < 5 AS low_sample FROM labels_ WHERE dd < 5000 AND mult > 10000 GROUP BY 1"))
 def base_rate_pattern(spark, sf):
     x = labels(spark, sf).where("dd < 5000 AND mult > 10000")
-    return x.groupBy("horizon").agg(F.count("*").alias("n"), r6(F.avg((F.col("status") == "F").cast("int"))).alias("died"), r6(F.avg((F.col("mult") >= 20000).cast("int"))).alias("runner"), stats.nearest_rank(0.5, "mult").alias("median"), (F.count("*") < 5).alias("low_sample"))
+    g = x.groupBy("horizon").agg(F.count("*").alias("n"), r6(F.avg((F.col("status") == "F").cast("int"))).alias("died"), r6(F.avg((F.col("mult") >= 20000).cast("int"))).alias("runner"), (F.count("*") < 5).alias("low_sample"))
+    return ranks.beside(g, ranks.nearest_ranks(x, ["horizon"], "mult", {"median": 0.5}), ["horizon"])
 
 
 @query(sql("snapshots", ", x AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, id) - 1 AS i, count(*) OVER (PARTITION BY pool) AS n FROM snapshots) SELECT pool, id, i::BIGINT AS i FROM x WHERE n <= 12 OR list_contains(list_transform(range(12), lambda j: floor(j * (n - 1) / 11 + 0.5)::BIGINT), i)"))

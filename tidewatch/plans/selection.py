@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import asof, stats
+from ..operators import asof, ranks, stats
 from ..operators.series import DAY, half_up
 from ..operators.stats import r6
 from ..sources.tables import alerts, labels, micros, read, snapshots, sql, swaps
@@ -197,4 +197,5 @@ def no_lookahead(spark, sf):
 @query(sql("labels_", ", x AS (SELECT horizon, mult, (mult >= 50000)::INT AS hit, CASE WHEN t < 820454400000000 THEN 'v1' ELSE 'v2' END AS v FROM labels_) SELECT v, horizon, count(*) AS n, sum(hit)::BIGINT AS hits, percentile_cont(0.5) WITHIN GROUP (ORDER BY mult) AS median, floor(avg(hit) * 1e6 + 0.5) / 1e6 AS rate FROM x GROUP BY 1, 2"))
 def report_slices(spark, sf):
     x = labels(spark, sf).select("horizon", "mult", (F.col("mult") >= 50000).cast("int").alias("hit"), F.when(F.col("t") < 820454400000000, "v1").otherwise("v2").alias("v"))
-    return x.groupBy("v", "horizon").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY mult)").alias("median"), r6(F.avg("hit")).alias("rate"))
+    g = x.groupBy("v", "horizon").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), r6(F.avg("hit")).alias("rate"))
+    return ranks.beside(g, ranks.medians(x, ["v", "horizon"], "mult"), ["v", "horizon"])

@@ -99,15 +99,6 @@ def strict_features(spark, sf):
     return e.select("id", "f.k", "f.side", "f.flag")
 
 
-@query("SELECT code, count(*) AS n FROM (SELECT CASE o_orderkey % 8 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'INVALID_SHAPE' WHEN 2 THEN 'THESIS_INVALID' WHEN 3 THEN 'CONFIDENCE_OUT_OF_RANGE' WHEN 4 THEN 'RECOMMENDATION_INVALID' WHEN 5 THEN 'EVIDENCE_INVALID' WHEN 6 THEN 'THESIS_TOO_LONG' END AS code FROM orders) GROUP BY 1")
-def brief_payload_validation(spark, sf):
-    k = F.col("o_orderkey") % 8
-    brief = lambda thesis='"t"', evidence="[]", bps="5000", call="WATCH": f'{{"thesis": {thesis}, "thesisEvidence": {evidence}, "confidenceBps": {bps}, "riskCalls": [], "recommendation": "{call}"}}'
-    cases = ["{", "[1]", brief(thesis='" "'), brief(bps="10001"), brief(call="BUY"), brief(evidence="3"), brief(thesis='"' + "x" * 4001 + '"'), brief()]
-    json = F.get(F.array(*[F.lit(c) for c in cases]), k.cast("int"))
-    return read(spark, sf, "orders").select(texts.brief_error(json).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-
-
 @query()
 def checksummed_addresses(spark, sf):
     """Rows only: the checksum needs a hash that SQL lacks."""

@@ -4,8 +4,9 @@
     spark.read.format("block_logs").options(fetch="module:function", start=0, end=99, chunk=2000).load()
 
 `fetch` names a function (first block, last block) -> rows of (block, log_index,
-address, topic, data), which the tasks call; a third party's client goes there.
-It raises TooLarge where a range has more than it can return.
+address, topic, data), or of the `columns` given, which begin with the first
+two; the tasks call it, and a third party's client goes there. It raises TooLarge
+where a range has more than it can return.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from importlib import import_module
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 COLUMNS = "block LONG, log_index LONG, address STRING, topic STRING, data STRING"
+#: Logs with all topics and their transaction.
+FULL = "block LONG, log_index LONG, tx STRING, address STRING, topics ARRAY<STRING>, data STRING"
 
 
 class TooLarge(Exception):
@@ -36,7 +39,7 @@ def logs(fetch: Callable, first: int, last: int) -> Iterator[tuple]:
     """Rows in block order; a range that is too large is halved, down to one
     block, whose error is passed on."""
     try:
-        yield from sorted(fetch(first, last))
+        yield from sorted(fetch(first, last), key=lambda row: row[:2])
     except TooLarge:
         if first == last:
             raise
@@ -86,7 +89,7 @@ class BlockLogs(DataSource):
         return "block_logs"
 
     def schema(self) -> str:
-        return COLUMNS
+        return self.options.get("columns", COLUMNS)
 
     def reader(self, schema) -> Reader:
         return Reader(self.options)

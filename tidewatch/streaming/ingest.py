@@ -1,107 +1,80 @@
-"""Micro-batch ingestion: deduplicated append, touched-key snapshots, cursor last."""
+"""Micro-batch ingestion: deduplicated append, touched-key snapshots and the cursor in one commit."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import series
 from ..plans.catalogue import query
+from ..sources.scratch import new_folder
 from ..sources.tables import micros, read, sql
+from .ledger import Ledger
 
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """What a folder of batches holds, with columns run and batch; None before
-    the first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def run_of(checkpoint: str) -> str:
     """Tells the runs of a query from different checkpoints apart."""
     return "r" + hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def append_once(batch: DataFrame, path: str, keys: list[str], run: str, batch_id: int, order: str | None = None, first: list[str] | None = None) -> DataFrame:
-    """Appends the first row of each key that is new, and returns what was
-    appended. `first`: the columns by which a batch's rows of one key are ordered
-    (all columns unless given); across batches what is stored wins.
-
-    A batch has a folder of its own, run=.../batch=..., which a replay
-    overwrites and doesn't look at; so a replayed batch changes nothing, and nor
-    does a run from a fresh checkpoint, whatever its batches. `order`: a column
-    that grows with time; stored rows outside the batch's range of it aren't
-    read, as Parquet's statistics show where they are.
-    """
-    spark, own = batch.sparkSession, f"{path}/run={run}/batch={batch_id}"
-    row = F.min_by(F.struct(*batch.columns), F.struct(*(first or batch.columns)))
-    new, older = batch.groupBy(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]).agg(row.alias("row")).select("row.*"), stored(spark, path)
-    if older is not None:
-        older = older.where((F.col("run") != run) | (F.col("batch") != batch_id))
-        if order is not None:
-            low, high = batch.agg(F.min(order), F.max(order)).first()
-            older = older.where(F.col(order).between(low, high))
-        new = new.join(older.select(*keys), keys, "left_anti").select(*batch.columns)
-    new.write.mode("overwrite").parquet(own)
-    return spark.read.schema(batch.schema).parquet(own)
-
-
-def write_batch(df: DataFrame, path: str, run: str, batch_id: int) -> None:
-    """A batch's derived rows in its own folder; a replay overwrites them."""
-    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
-
-
-def cursor(spark: SparkSession, path: str, start: int) -> int:
-    """The cursor only moves forward: the greatest of all batches' rows."""
-    rows = stored(spark, path)
-    top = rows.agg(F.max("processed")).first()[0] if rows is not None else None
-    return max(start, top) if top is not None else start
-
-
 def ingest_events(stream: DataFrame, out: str, checkpoint: str):
     """Starts a query that runs over what is there and stops: events appended
-    once by event_id, counts of the touched pools, then the cursor."""
-    run = run_of(checkpoint)
-
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        new = append_once(batch, f"{out}/events", ["event_id"], run, batch_id, "event_id", ["ts"])
+    once by event_id, counts of the touched pools, the cursor. All of a batch is
+    committed at once (see ledger), so one that was cut off, or that a restart
+    from an old or a fresh checkpoint brings again, changes nothing twice."""
+    ledger, run = Ledger(stream.sparkSession, out), run_of(checkpoint)
+
+    def commit(rows: DataFrame, batch_id: int) -> None:
+        batch = ledger.begin(run, batch_id)
+        if batch is None:
+            return
+        new = batch.append_once("events", rows, ["event_id"], ["event_id"], ["ts"])
         pools = new.select((F.get_json_object("props", "$.k").try_cast("bigint") % 20).alias("pool"), micros("ts").alias("t"), "event_type")
         touched = pools.groupBy("pool").agg(F.max("t").alias("t"), F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("buys"))
-        write_batch(touched, f"{out}/activity", run, batch_id)
-        write_batch(new.agg(F.max("event_id").alias("processed")), f"{out}/cursor", run, batch_id)
+        batch.append("activity", touched)
+        top = new.agg(F.max("event_id")).first()[0]
+        if top is not None:
+            batch.advance("events", processed=top)
+        batch.commit()
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def net(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("token", "holder").agg(F.sum("delta").alias("delta"))
+
+
+def transfers_ledger(spark: SparkSession, out: str) -> Ledger:
+    return Ledger(spark, out, folds={"deltas": net})
+
+
 def net_balances(stream: DataFrame, out: str, checkpoint: str):
     """Nets transfers (id, token, src, dst, value) batch by batch. Each batch
-    stores the deltas of the holders that it touches; a balance is their sum.
-    Transfers that were seen before change nothing."""
-    run = run_of(checkpoint)
-
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        new = append_once(batch, f"{out}/transfers", ["id"], run, batch_id)
-        side = lambda who, sign: F.struct(F.col(who).alias("holder"), (sign * F.col("value")).alias("v"))
-        moves = new.select("token", F.explode(F.array(side("src", -1), side("dst", 1))).alias("m"))
-        write_batch(moves.groupBy("token", F.col("m.holder").alias("holder")).agg(F.sum("m.v").alias("delta")), f"{out}/deltas", run, batch_id)
+    stores, with its new transfers, the deltas of the holders that they touch; a
+    balance is their sum, and merged deltas are summed. Transfers that were seen
+    before change nothing."""
+    ledger, run = transfers_ledger(stream.sparkSession, out), run_of(checkpoint)
+
+    def commit(rows: DataFrame, batch_id: int) -> None:
+        batch = ledger.begin(run, batch_id)
+        if batch is None:
+            return
+        new = batch.append_once("transfers", rows, ["id"])
+        side = lambda who, sign: F.struct(F.col(who).alias("holder"), (sign * F.col("value")).alias("delta"))
+        moves = new.select("token", F.inline(F.array(side("src", -1), side("dst", 1))))
+        batch.append("deltas", net(moves))
+        batch.commit()
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def balances(spark: SparkSession, out: str) -> DataFrame:
     """(token, holder, balance), also of holders that sold everything."""
-    return spark.read.parquet(f"{out}/deltas").groupBy("token", "holder").agg(F.sum("delta").alias("balance"))
+    return net(transfers_ledger(spark, out).table("deltas")).withColumnRenamed("delta", "balance")
 
 
 def refresh_due(active: DataFrame, last: DataFrame, age: int) -> DataFrame:
@@ -112,17 +85,6 @@ def refresh_due(active: DataFrame, last: DataFrame, age: int) -> DataFrame:
     return active.join(fresh, "pool", "left_anti")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local session without
-    spark.checkpoint.dir gets a temporary one, a cluster's is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-
-
 @query(sql("snapshots", f"SELECT p_partkey AS pool FROM part WHERE p_partkey NOT IN (SELECT pool FROM snapshots GROUP BY pool HAVING max(t) > (SELECT max(t) FROM snapshots) - {3 * series.DAY})"))
 def refresh_lane(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders").select((F.col("o_custkey") % 97).alias("pool"), micros("o_orderdate").alias("t"))
@@ -133,18 +95,18 @@ def refresh_lane(spark: SparkSession, sf: str) -> DataFrame:
 def stream_replay_equivalence(spark: SparkSession, sf: str) -> DataFrame:
     """Ingests the events as a stream twice, the second time from a fresh
     checkpoint and in other batches, and counts events and keys by type."""
-    base = _folder(spark)
+    base = new_folder(spark)
     read(spark, sf, "events").repartition(5).write.parquet(f"{base}/in")
     for k, files in enumerate((2, 3)):
         ingest_events(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint{k}").awaitTermination()
-    got = spark.read.parquet(f"{base}/out/events").groupBy("event_type").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("keys"))
+    got = Ledger(spark, f"{base}/out").table("events").groupBy("event_type").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("keys"))
     want = read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("expected"))
     return reduce(lambda a, b: a.join(b, "event_type", "full"), [got, want])
 
 
 @query("WITH m AS (SELECT o_orderkey AS id, o_custkey % 5 AS token, o_custkey AS src, o_orderkey % 300 AS dst, floor(o_totalprice)::BIGINT AS value FROM orders), n AS (SELECT token, src AS holder, -value AS v FROM m UNION ALL SELECT token, dst, value FROM m) SELECT token, holder, sum(v)::BIGINT AS balance FROM n GROUP BY 1, 2")
 def stream_balances(spark: SparkSession, sf: str) -> DataFrame:
-    base = _folder(spark)
+    base = new_folder(spark)
     o = read(spark, sf, "orders")
     t = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("token"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 300).alias("dst"), F.floor("o_totalprice").cast("bigint").alias("value"))
     t.repartition(4).write.parquet(f"{base}/in")
