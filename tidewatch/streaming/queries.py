@@ -57,7 +57,7 @@ def creation_logs(spark: SparkSession, sf: str) -> Callable[[int, int], DataFram
 def swap_logs(spark: SparkSession, sf: str) -> Callable[[int, int, DataFrame], DataFrame]:
     """A log a line item, in the pool of its part."""
     i = read(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") % BLOCKS).alias("block"), F.col("l_linenumber").cast("bigint").alias("log_index"), F.col("l_orderkey").alias("tx"), _address(F.col("l_partkey").cast("bigint") + 1_000_000).alias("pool"),
+        (F.col("l_orderkey") % BLOCKS).alias("block"), (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("log_index"), F.col("l_orderkey").alias("tx"), _address(F.col("l_partkey").cast("bigint") + 1_000_000).alias("pool"),
         F.col("l_suppkey").cast("bigint").alias("buyer"), F.col("l_quantity").cast("bigint").alias("x"), F.floor("l_extendedprice").cast("bigint").alias("q"), F.when(F.col("l_linenumber") % 3 != 0, 1).otherwise(-1).alias("sign"),
     )
 
