@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import contracts, keccak, texts, wide
-from tidewatch.operators import asof, series, stats
+from tidewatch.operators import asof, ranks, series, stats
 
 MIN = 60_000_000
 
@@ -124,7 +124,7 @@ def test_concentration(spark, balances, want):
 
 
 def test_quartiles_differ_from_ntile(spark):
-    d = spark.createDataFrame([(1, i) for i in range(6)], "g int, v int").withColumn("q", stats.quartile(["g"], "v", "v"))
+    d = ranks.quartiles(spark.createDataFrame([(1, i) for i in range(6)], "g int, v int"), ["g"], "v", "v", "q")
     assert [d.where(F.col("q") == i).count() for i in range(4)] == [2, 1, 2, 1]
 
 
@@ -238,13 +238,16 @@ def test_lookups(spark):
 
 
 def test_first_rows_win_within_a_batch(spark, tmp_path):
-    from tidewatch.streaming import ingest
+    from tidewatch.streaming.ledger import Ledger
 
     rows = [(1, 30, "late"), (1, 10, "first"), (1, 20, "second"), (2, 5, "only")]
     d = spark.createDataFrame(rows, "k int, t long, v string").repartition(4)
-    got = ingest.append_once(d, f"file://{tmp_path}/x", ["k"], "r", 0, first=["t"])
+    ledger = Ledger(spark, f"file://{tmp_path}/x")
+    batch = ledger.begin("r", 0)
+    got = batch.append_once("x", d, ["k"], first=["t"])
+    batch.commit()
     assert {(r["k"], r["v"]) for r in got.collect()} == {(1, "first"), (2, "only")}
-    again = ingest.append_once(d.withColumn("t", F.col("t") - 100), f"file://{tmp_path}/x", ["k"], "r", 1, first=["t"])
+    again = ledger.begin("r", 1).append_once("x", d.withColumn("t", F.col("t") - 100), ["k"], first=["t"])
     assert again.count() == 0
 
 

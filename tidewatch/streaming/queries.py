@@ -14,8 +14,8 @@ from . import state
 from .ledger import Ledger
 from .passes import activity_pass, discovery_pass
 
-#: Blocks of the made logs, blocks a span, microseconds a block (25 minutes a span).
-BLOCKS, SPAN, TICK = 4000, 1000, 1_500_000
+#: Blocks of the made logs, blocks a span, microseconds a block (50 minutes a span).
+BLOCKS, SPAN, TICK = 4000, 2000, 1_500_000
 FACTORIES = [{"address": "0x" + "a" * 40, "kind": "v2", "dex": "alpha", "deployed": 0}, {"address": "0x" + "b" * 40, "kind": "v3", "dex": "beta", "deployed": 0}]
 
 
@@ -100,8 +100,8 @@ def discovered_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EVENTS = """WITH p AS (SELECT p_partkey AS k, p_partkey % 4000 AS block FROM part WHERE p_size <= 10),
-m AS (SELECT min(block) - 1 AS start FROM p), i AS (SELECT unnest([0, 1, 2, 3, 4]) AS i),
-s AS (SELECT start + 1000 * i AS low, least(start + 1000 * (i + 1), 1900) AS upto FROM m, i WHERE start + 1000 * i < 1900 UNION ALL SELECT 1900 + 1000 * i, least(1900 + 1000 * (i + 1), 4000) FROM i WHERE 1900 + 1000 * i < 4000),
+m AS (SELECT min(block) - 1 AS start FROM p), i AS (SELECT unnest([0, 1, 2]) AS i),
+s AS (SELECT start + 2000 * i AS low, least(start + 2000 * (i + 1), 1900) AS upto FROM m, i WHERE start + 2000 * i < 1900 UNION ALL SELECT 1900 + 2000 * i, least(1900 + 2000 * (i + 1), 4000) FROM i WHERE 1900 + 2000 * i < 4000),
 e AS (SELECT l_partkey AS pool, l_suppkey AS buyer, CASE WHEN l_linenumber % 3 <> 0 THEN 'BUY' ELSE 'SELL' END AS side, floor(l_extendedprice)::HUGEINT AS amount, upto, upto * 1500000 AS t
       FROM lineitem JOIN p ON k = l_partkey JOIN s ON l_orderkey % 4000 > low AND l_orderkey % 4000 <= upto WHERE block <= upto)"""
 
@@ -122,7 +122,7 @@ SELECT c.pool + 1000000 AS pool, c.upto AS block, t, buyers_20m, buyers_1h, buys
 FROM c LEFT JOIN g USING (pool, upto) LEFT JOIN z USING (pool, upto)""")
 def activity_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots of the pools that each span touches, after two passes; the first
-    ends at block 1900, so its last span is a short one."""
+    ends at block 1900, in the middle of a span."""
     ledger = _discovered(spark, sf)
     for head in (BLOCKS // 2, BLOCKS + 100):
         activity_pass(ledger, swap_logs(spark, sf), head, lambda block: block * TICK, confirmations=100, span=SPAN)
