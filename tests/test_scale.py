@@ -9,6 +9,7 @@ from compare import DATA, same
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  it fills the catalogue
+from tidewatch.functions import keccak
 from tidewatch.operators import stats
 from tidewatch.plans import catalogue
 
@@ -28,3 +29,20 @@ def test_near_ties_rank_by_id(spark):
 def test_comparable_knn_on_the_larger_table(spark):
     sf = str(DATA / "sf0.1")
     same(catalogue.QUERIES["comparable_knn"](spark, sf), catalogue.ORACLES["comparable_knn"], sf)
+
+
+def test_keccak_of_many():
+    texts = [bytes(range(n % 256)) * 2 for n in (0, 1, 40, 67, 68, 69, 135, 136, 137, 200)] + [b"x" * 40] * 3
+    assert keccak.keccak256_many(texts) == [keccak.keccak256(t) for t in texts]
+    assert keccak.keccak256_many([]) == []
+
+
+def test_checksums_are_spread(spark):
+    got = catalogue.QUERIES["checksummed_addresses"](spark, str(DATA / "sf0.001"))
+    assert got.rdd.getNumPartitions() > 1
+    assert all(r["address"] == keccak.checksum(f"0x{r['id']:040x}") for r in got.collect())
+
+
+def test_checksums_of_nulls(spark):
+    d = spark.createDataFrame([("0x5aaeb6053f3e94c9b9a09f33669435e7ef1beaed",), (None,)], "a string").coalesce(1)
+    assert [r[0] for r in d.select(keccak.checksum_address(F.col("a"))).collect()] == ["0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", None]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..functions.keccak import checksum_address
-from ..sources.tables import alerts, micros, read, sql
+from ..sources.tables import alerts, micros, read, spread, sql
 from .catalogue import query
 
 _HEX = "'0x' || lpad(lower(to_hex(c_custkey)), 40, '0')"
@@ -102,4 +102,4 @@ def strict_features(spark, sf):
 @query()
 def checksummed_addresses(spark, sf):
     """Rows only: the checksum needs a hash that SQL lacks."""
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), checksum_address(_address("c_custkey")).alias("address"))
+    return spread(read(spark, sf, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("id"), checksum_address(_address("c_custkey")).alias("address"))
