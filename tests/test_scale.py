@@ -46,3 +46,20 @@ def test_checksums_are_spread(spark):
 def test_checksums_of_nulls(spark):
     d = spark.createDataFrame([("0x5aaeb6053f3e94c9b9a09f33669435e7ef1beaed",), (None,)], "a string").coalesce(1)
     assert [r[0] for r in d.select(keccak.checksum_address(F.col("a"))).collect()] == ["0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", None]
+
+
+@pytest.mark.parametrize("k", [1, 3, 200])
+def test_nearest_shared_keeps_no_pairs(spark, k):
+    """By brute force, with ties, lacking features and more probes than a block."""
+    rows = [(i, None if i % 5 == 0 else float(i % 7), None if i % 11 == 0 else float(i % 3)) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, a double, b double")
+
+    def distance(p, r):
+        both = [(x - y) ** 2 for x, y in zip(p[1:], r[1:]) if x is not None and y is not None]
+        return math.floor(math.sqrt(sum(both)) * 1e6 + 0.5) / 1e6 if both else math.inf
+
+    want = [(p[0], i, rank + 1) for p in rows if p[0] % 2 == 0 for rank, (_, i) in enumerate(sorted((distance(p, r), r[0]) for r in rows if r[0] != p[0])[:k])]
+    for most in (20_000, 25):
+        n = stats.nearest_shared(d, d.where("id % 2 = 0"), ["a", "b"], k, most)
+        assert "NestedLoop" not in plan(n) and "Cartesian" not in plan(n)
+        assert sorted((r["probe"], r["id"], r["rank"]) for r in n.collect()) == sorted(want)
