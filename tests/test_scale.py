@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from compare import DATA, same
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ import __spark_entry__  # noqa: F401  it fills the catalogue
 from tidewatch.functions import keccak
 from tidewatch.operators import stats
 from tidewatch.plans import catalogue
+from tidewatch.streaming import queries, state
 
 
 def plan(df):
@@ -63,3 +65,21 @@ def test_nearest_shared_keeps_no_pairs(spark, k):
         n = stats.nearest_shared(d, d.where("id % 2 = 0"), ["a", "b"], k, most)
         assert "NestedLoop" not in plan(n) and "Cartesian" not in plan(n)
         assert sorted((r["probe"], r["id"], r["rank"]) for r in n.collect()) == sorted(want)
+
+
+def test_holders_need_no_python(spark, tmp_path):
+    state.keyed_state(spark)
+    schema = "id long, ts timestamp, token long, src long, dst long, value long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    logical = state.holder_balances(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "1 hour")._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in logical and "Pandas" not in logical
+
+
+def test_slices_in_several_files(spark, tmp_path):
+    """Each slice of times has as many files as it is said to."""
+    d = spark.range(4000).select("id", F.timestamp_seconds("id").alias("ts"))
+    for least, files in ((1000, 4), (10_000, 1)):
+        path = f"{tmp_path}/{least}"
+        assert queries._in_order(d, "ts", 2, path, 4, least) == files
+        per = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
+        assert len(per) == 2 * files and all((r["low"] < 2000) == (r["high"] < 2000) for r in per)

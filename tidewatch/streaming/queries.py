@@ -143,12 +143,17 @@ def _emitted(stream: DataFrame, mode: str, base: str) -> DataFrame:
     return stream.sparkSession.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{base}/out").drop("at")
 
 
-def _in_order(df: DataFrame, by: str, slices: int, path: str) -> None:
-    """Writes df in files whose order is that of a column of times."""
+def _in_order(df: DataFrame, by: str, slices: int, path: str, files: int = 16, least: int = 100_000) -> int:
+    """Writes df in slices whose order is that of a column of times, and returns
+    of how many files each is: one, or `files` if all slices have `least` rows."""
     low, high = df.agg(F.min(F.unix_micros(by)), F.max(F.unix_micros(by))).first()
-    for k in range(slices):
-        at = lambda i: low + (high - low) * i // slices
-        df.where((F.unix_micros(by) >= at(k)) & (F.unix_micros(by) < at(k + 1) + (k + 1 == slices))).coalesce(1).write.mode("append").parquet(path)
+    at = lambda i: low + (high - low) * i // slices
+    inside = [(F.unix_micros(by) >= at(k)) & (F.unix_micros(by) < at(k + 1) + (k + 1 == slices)) for k in range(slices)]
+    n = files if min(df.agg(*[F.count_if(x) for x in inside]).first()) >= least else 1
+    for x in inside:
+        part = df.where(x)
+        (part.repartition(n) if n > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return n
 
 
 _DAY_OF_ORDERS = "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate))"
@@ -161,8 +166,8 @@ def holders_by_state(spark: SparkSession, sf: str) -> DataFrame:
     state.keyed_state(spark)
     base, o = new_folder(spark, "holders"), read(spark, sf, "orders")
     t = o.select(F.col("o_orderkey").cast("bigint").alias("id"), F.expr(_DAY_OF_ORDERS).alias("ts"), (F.col("o_custkey") % 5).cast("bigint").alias("token"), F.col("o_custkey").cast("bigint").alias("src"), (F.col("o_orderkey") % 300).cast("bigint").alias("dst"), F.floor("o_totalprice").cast("bigint").alias("value"))
-    _in_order(t.unionByName(t.where("id % 7 = 0")), "ts", 3, f"{base}/in")
-    stream = state.holder_balances(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), "1 day")
+    n = _in_order(t.unionByName(t.where("id % 7 = 0")), "ts", 3, f"{base}/in")
+    stream = state.holder_balances(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", n).parquet(f"{base}/in"), "1 day")
     return _emitted(stream, "update", base).groupBy("token", "holder").agg(F.max_by("balance", "batch").alias("balance"))
 
 
@@ -179,6 +184,6 @@ def decaying_activity(spark: SparkSession, sf: str) -> DataFrame:
     state.keyed_state(spark)
     base = new_folder(spark, "windows")
     s = swaps(spark, sf).where("pool IS NOT NULL").select(F.timestamp_micros("t").alias("ts"), "pool", "buyer", "side", "amount")
-    _in_order(s, "ts", 3, f"{base}/in")
-    stream = state.decaying_windows(spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), "1 day", WIDTH, EVERY)
+    n = _in_order(s, "ts", 3, f"{base}/in")
+    stream = state.decaying_windows(spark.readStream.schema(s.schema).option("maxFilesPerTrigger", n).parquet(f"{base}/in"), "1 day", WIDTH, EVERY)
     return _emitted(stream, "append", base).select("pool", F.unix_micros("t").alias("t"), "buyers", "buys", "sells", "buy_volume", "sell_volume")
