@@ -83,3 +83,20 @@ def test_slices_in_several_files(spark, tmp_path):
         assert queries._in_order(d, "ts", 2, path, 4, least) == files
         per = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
         assert len(per) == 2 * files and all((r["low"] < 2000) == (r["high"] < 2000) for r in per)
+
+
+def test_windows_keep_cells_not_times():
+    """Sums and buyers are one entry a cell, however many swaps it has."""
+
+    class Kept(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+    w = state.Windows(30, 20)
+    w.sums, w.buyers = Kept(), Kept()
+    w.read = type("Read", (), {"exists": lambda self: False})()
+    w.handle = type("Handle", (), {"registerTimer": lambda self, at: None})()
+    rows = pd.DataFrame({"ts": pd.to_datetime(range(1_000_000, 9_000_000, 1000), unit="us"), "pool": 1, "buyer": [i % 50 for i in range(8000)], "side": "BUY", "amount": 2})
+    for part in (rows[:5000], rows[5000:]):
+        assert not list(w.handleInputRows((1,), iter([part[:2000], part[2000:]]), None))
+    assert dict(w.sums) == {(1,): (8000, 0, 16000, 0)}
+    assert w._bought(1).tolist() == list(range(50))
