@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  it fills the catalogue
 from tidewatch.functions import keccak
-from tidewatch.operators import stats
+from tidewatch import plans
+from tidewatch.operators import citations, stats
 from tidewatch.plans import catalogue
+from tidewatch.sources import scratch
 from tidewatch.streaming import queries, state
 
 
@@ -100,3 +102,13 @@ def test_windows_keep_cells_not_times():
         assert not list(w.handleInputRows((1,), iter([part[:2000], part[2000:]]), None))
     assert dict(w.sums) == {(1,): (8000, 0, 16000, 0)}
     assert w._bought(1).tolist() == list(range(50))
+
+
+def test_citations_read_payloads_once(spark, monkeypatch):
+    """Payloads and pointers are written before seven tables and the verdicts read them."""
+    kept = []
+    for module in (plans.briefs, citations):
+        monkeypatch.setattr(module, "written", lambda df, tag="scratch": kept.append(tag) or scratch.written(df, tag))
+    got = catalogue.QUERIES["citation_verdicts"](spark, str(DATA / "sf0.001"))
+    assert kept == ["payloads", "pointers"]
+    assert got.count() == spark.read.parquet(f"{DATA}/sf0.001/events.parquet").where("event_id % 20 = 0").count()

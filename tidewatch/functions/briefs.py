@@ -75,13 +75,14 @@ def risk_problem(r: Column, i: Column) -> Column:
     path, evidence = _at("riskCalls", i), F.concat(_at("riskCalls", i), F.lit(".evidence"))
     bad = evidence_problem(r, "$.evidence", evidence)
     one_of = lambda at, words: ~F.coalesce(text(r, at).isin(words), F.lit(False))
-    return (
+    # coalesce, as a problem that is tested and then named would be sought twice
+    return F.coalesce(
         F.when(~kind(r).startswith("OBJECT"), _say("RISK_CALL_INVALID", path, " must be an object"))
         .when(~filled(text(r, "$.risk")), _say("RISK_CALL_INVALID", path, ".risk must be a nonempty string"))
         .when(one_of("$.tag", TAGS), _say("RISK_CALL_TAG_INVALID", path, ".tag must be one of " + ", ".join(TAGS)))
-        .when(one_of("$.severity", SEVERITIES), _say("RISK_CALL_SEVERITY_INVALID", path, ".severity must be one of " + ", ".join(SEVERITIES)))
-        .when(bad.isNotNull(), bad)
-        .when(F.size(items(r, "$.evidence")) == 0, _say("RISK_CALL_EVIDENCE_EMPTY", evidence, " must contain at least one pointer"))
+        .when(one_of("$.severity", SEVERITIES), _say("RISK_CALL_SEVERITY_INVALID", path, ".severity must be one of " + ", ".join(SEVERITIES))),
+        bad,
+        F.when(F.size(items(r, "$.evidence")) == 0, _say("RISK_CALL_EVIDENCE_EMPTY", evidence, " must contain at least one pointer")),
     )
 
 
@@ -112,23 +113,23 @@ def brief_problem(json: Column) -> Column:
         evidence = evidence_problem(v, "$.thesisEvidence", "thesisEvidence")
         risks, claims, changes = items(v, "$.riskCalls"), items(v, "$.disconfirming"), items(v, "$.whatWouldChangeThisCall")
         risk, claim, change = _first(risks, risk_problem), _first(claims, claim_problem), _first(changes, change_problem)
-        return (
+        return F.coalesce(
             F.when(v.isNull(), _say("INVALID_JSON", "payload is not valid JSON"))
             .when(~kind(v).startswith("OBJECT"), _say("INVALID_SHAPE", "payload must be a JSON object"))
             .when(~filled(thesis), _say("THESIS_INVALID", "thesis must be a nonempty string"))
-            .when(length(thesis) > THESIS, _say("THESIS_TOO_LONG", f"thesis exceeds {THESIS} characters"))
-            .when(evidence.isNotNull(), evidence)
-            .when(~whole, _say("CONFIDENCE_OUT_OF_RANGE", "confidenceBps must be an integer between 0 and 10000"))
+            .when(length(thesis) > THESIS, _say("THESIS_TOO_LONG", f"thesis exceeds {THESIS} characters")),
+            evidence,
+            F.when(~whole, _say("CONFIDENCE_OUT_OF_RANGE", "confidenceBps must be an integer between 0 and 10000"))
             .when(risks.isNull(), _say("RISK_CALLS_INVALID", "riskCalls must be an array"))
-            .when(F.size(risks) != RISKS, _say("RISK_CALLS_COUNT", f"riskCalls must contain exactly {RISKS} entries"))
-            .when(risk.isNotNull(), risk)
-            .when(claims.isNull(), _say("CITED_CLAIM_ARRAY_INVALID", "disconfirming must be an array"))
-            .when(F.size(claims) > ITEMS, _say("CITED_CLAIM_ARRAY_TOO_LONG", f"disconfirming must contain at most {ITEMS} items"))
-            .when(claim.isNotNull(), claim)
-            .when(changes.isNull(), _say("STRING_ARRAY_INVALID", "whatWouldChangeThisCall must be an array"))
-            .when(F.size(changes) > ITEMS, _say("STRING_ARRAY_TOO_LONG", f"whatWouldChangeThisCall must contain at most {ITEMS} items"))
-            .when(change.isNotNull(), change)
-            .when(~F.coalesce(text(v, "$.recommendation").isin(CALLS), F.lit(False)), _say("RECOMMENDATION_INVALID", "recommendation must be one of " + ", ".join(CALLS)))
+            .when(F.size(risks) != RISKS, _say("RISK_CALLS_COUNT", f"riskCalls must contain exactly {RISKS} entries")),
+            risk,
+            F.when(claims.isNull(), _say("CITED_CLAIM_ARRAY_INVALID", "disconfirming must be an array"))
+            .when(F.size(claims) > ITEMS, _say("CITED_CLAIM_ARRAY_TOO_LONG", f"disconfirming must contain at most {ITEMS} items")),
+            claim,
+            F.when(changes.isNull(), _say("STRING_ARRAY_INVALID", "whatWouldChangeThisCall must be an array"))
+            .when(F.size(changes) > ITEMS, _say("STRING_ARRAY_TOO_LONG", f"whatWouldChangeThisCall must contain at most {ITEMS} items")),
+            change,
+            F.when(~F.coalesce(text(v, "$.recommendation").isin(CALLS), F.lit(False)), _say("RECOMMENDATION_INVALID", "recommendation must be one of " + ", ".join(CALLS))),
         )
 
     return F.get(F.transform(F.array(F.try_parse_json(json)), of), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DateType, TimestampNTZType, TimestampType
 
 from ..functions import briefs, texts
+from ..sources.scratch import written
 
 TOOL_CALLS = "judgment_tool_calls"
 ROW = r"^\d+$"
@@ -75,11 +76,12 @@ def check_citations(payloads: DataFrame, tables: dict[str, tuple[DataFrame, str]
     OK, VALUE_MISMATCH, FIELD_NOT_FOUND, ROW_NOT_FOUND or UNKNOWN_TABLE.
 
     tables: by name, with their key column. Of each only cited rows are kept, by
-    a semi-join with the distinct citations, and their union is joined once. Tool
+    a semi-join with the distinct citations, and their union is joined once;
+    pointers are written first, as every table's share of them is read. Tool
     results (brief, seq, result) are those of the same brief.
     """
     p = payloads.select("brief", F.posexplode(briefs.pointers(F.col("json"))).alias("place", "p")).select("brief", "place", "p.*")
-    p = p.withColumn("key", row_number(F.col("row")))
+    p = written(p.withColumn("key", row_number(F.col("row"))), "pointers")
     cited = p.where(F.col("key").isNotNull()).select("table", "key").distinct()
 
     def of(name: str) -> DataFrame:

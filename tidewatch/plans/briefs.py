@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import briefs
 from ..operators import citations
-from ..sources.tables import read
+from ..sources.scratch import written
+from ..sources.tables import read, spread
 from .catalogue import query
 
 EVIDENCE = {"table": "token_risks", "rowId": "7", "field": "p_size", "claimedValue": "3"}
@@ -116,7 +117,8 @@ def citation_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     of: Column = F.col("ps.p")
     risk = lambda i: F.struct(F.lit("r").alias("risk"), F.lit("OTHER").alias("tag"), F.lit("LOW").alias("severity"), F.slice(of, i, 1 if i < 5 else 2).alias("evidence"))
     payload = F.to_json(F.struct(F.lit("t").alias("thesis"), F.slice(of, 1, 2).alias("thesisEvidence"), F.lit(5000).alias("confidenceBps"), F.array(risk(3), risk(4), risk(5)).alias("riskCalls"), F.array(F.struct(F.lit("c").alias("claim"), F.slice(of, 7, 1).alias("evidence"))).alias("disconfirming"), F.array(F.lit("w")).alias("whatWouldChangeThisCall"), F.lit("PASS").alias("recommendation")))
-    payloads = g.select("brief", payload.alias("json")).where(briefs.brief_error(payload).isNull())
+    # each table's citations, the calls and the verdicts read them again
+    payloads = written(spread(g.select("brief", payload.alias("json")), "brief").where(briefs.brief_error(F.col("json")).isNull()), "payloads")
     calls = payloads.select("brief", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")).select("brief", "seq", F.to_json(F.struct((F.col("brief") + F.col("seq")).alias("found"), F.array(F.lit("a"), F.lit("b")).alias("list"))).alias("result"))
     checks = citations.check_citations(payloads, tables, calls)
     count = lambda code, name: F.count_if(F.col("code") == code).alias(name)
