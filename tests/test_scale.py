@@ -112,3 +112,8 @@ def test_citations_read_payloads_once(spark, monkeypatch):
     got = catalogue.QUERIES["citation_verdicts"](spark, str(DATA / "sf0.001"))
     assert kept == ["payloads", "pointers"]
     assert got.count() == spark.read.parquet(f"{DATA}/sf0.001/events.parquet").where("event_id % 20 = 0").count()
+
+
+def test_legs_are_computed_once(spark):
+    got = catalogue.QUERIES["slippage_curve"](spark, str(DATA / "sf0.001"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(" div ") <= 6

@@ -83,26 +83,34 @@ def _whole(x: Column, y: Column) -> Column:
     return F.call_function("div", x, y)
 
 
-def swap_out(amount: Column, reserve_in: Column, reserve_out: Column, fee_bps: int = 30) -> Column:
-    """What a constant-product pool gives for an amount, rounded down; null
-    without reserves, or where it gives nothing."""
+def _given(amount: Column, reserve_in: Column, reserve_out: Column, fee_bps: int) -> Column:
+    """What a pool gives, also 0; null without reserves."""
     d = "decimal(19,0)"
     after = amount.cast(d) * (10_000 - fee_bps)
     out = _whole((after.cast("decimal(24,0)") * reserve_out.cast("decimal(14,0)")).cast("decimal(38,0)"), (reserve_in.cast(d) * 10_000 + after).cast("decimal(38,0)"))
-    return F.when((reserve_in > 0) & (reserve_out > 0) & (out > 0), out)
+    return F.when((reserve_in > 0) & (reserve_out > 0), out)
+
+
+def swap_out(amount: Column, reserve_in: Column, reserve_out: Column, fee_bps: int = 30) -> Column:
+    """What a constant-product pool gives for an amount, rounded down; null
+    without reserves, or where it gives nothing."""
+    return F.nullif(_given(amount, reserve_in, reserve_out, fee_bps), F.lit(0))
 
 
 def slippage_curve(pools: DataFrame, dollar_raw: Column, notionals: list[float], fee_bps: int = 30) -> DataFrame:
     """pools (..., base_reserve, quote_reserve) and `curve`: for each notional in
     dollars the loss of buying and selling at once, in basis points of what was
     put in, rounded down and at least 0; null where a leg gives nothing.
-    `dollar_raw`: raw quote units of a dollar. Notionals are taken to the cent."""
-
-    def point(n: float) -> Column:
-        raw = _whole(dollar_raw.cast("decimal(19,0)") * int(n * 100 + 0.5), F.lit(100).cast("decimal(3,0)"))
-        bought = swap_out(raw, c("quote_reserve"), c("base_reserve"), fee_bps)
-        back = swap_out(bought, c("base_reserve"), c("quote_reserve"), fee_bps)
-        loss = F.when((raw > 0) & back.isNotNull(), F.greatest(F.lit(0), _whole((raw - back).cast("decimal(28,0)") * 10_000, raw)).cast("bigint"))
-        return F.struct(F.lit(f"{n:g}").alias("notional"), loss.alias("loss_bps"))
-
-    return pools.withColumn("curve", F.array(*[point(n) for n in notionals]))
+    `dollar_raw`: raw quote units of a dollar. Notionals are taken to the cent.
+    Each leg is a step of its own over an array: inside one expression a leg would
+    be computed again wherever it is named, and the code outgrows what compiles."""
+    raw = lambda n: _whole(dollar_raw.cast("decimal(19,0)") * int(n * 100 + 0.5), F.lit(100).cast("decimal(3,0)"))
+    legs = F.array(*[F.struct(F.lit(f"{n:g}").alias("notional"), raw(n).alias("raw")) for n in notionals])
+    bought = lambda x: F.struct(x["notional"].alias("notional"), x["raw"].alias("raw"), _given(x["raw"], c("quote_reserve"), c("base_reserve"), fee_bps).alias("bought"))
+    back = lambda x: F.struct(x["notional"].alias("notional"), x["raw"].alias("raw"), F.when(x["bought"] > 0, _given(x["bought"], c("base_reserve"), c("quote_reserve"), fee_bps)).alias("back"))
+
+    def point(x: Column) -> Column:
+        loss = F.when((x["raw"] > 0) & (x["back"] > 0), _whole(F.greatest(F.lit(0), x["raw"] - x["back"]).cast("decimal(28,0)") * 10_000, x["raw"])).cast("bigint")
+        return F.struct(x["notional"].alias("notional"), loss.alias("loss_bps"))
+
+    return pools.withColumn("curve", F.transform(F.transform(F.transform(legs, bought), back), point))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts
 from ..operators import market
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .catalogue import query
 from .history import _MOVES, _balances
 
@@ -84,5 +84,5 @@ SELECT id, notional, CASE WHEN back IS NOT NULL THEN greatest(0, (raw - back) *
 def slippage_curve(spark, sf):
     """Round trips of three sizes through the reserves of every part's pool."""
     k = F.col("p_partkey")
-    p = read(spark, sf, "part").select(k.alias("id"), (F.col("p_size").cast("bigint") * 100_000).alias("base_reserve"), F.when(k % 11 == 0, 0).otherwise(k * 1000).cast("bigint").alias("quote_reserve"))
+    p = spread(read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), (F.col("p_size").cast("bigint") * 100_000).alias("base_reserve"), F.when(k % 11 == 0, 0).otherwise(k * 1000).cast("bigint").alias("quote_reserve"))
     return market.slippage_curve(p, F.lit(1000), [1, 25.5, 1000]).select("id", F.inline("curve"))
