@@ -13,7 +13,7 @@ import __spark_entry__  # noqa: F401  it fills the catalogue
 from tidewatch.functions import keccak
 from tidewatch import plans
 from tidewatch.operators import citations, stats
-from tidewatch.plans import catalogue
+from tidewatch.plans import catalogue, judgment
 from tidewatch.sources import scratch
 from tidewatch.streaming import queries, state
 
@@ -117,3 +117,7 @@ def test_citations_read_payloads_once(spark, monkeypatch):
 def test_legs_are_computed_once(spark):
     got = catalogue.QUERIES["slippage_curve"](spark, str(DATA / "sf0.001"))
     assert got._jdf.queryExecution().optimizedPlan().toString().count(" div ") <= 6
+
+
+def test_replay_is_spread(spark):
+    assert judgment.replayed_parts(spark, str(DATA / "sf0.001")).rdd.getNumPartitions() > 1

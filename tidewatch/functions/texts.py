@@ -85,25 +85,29 @@ def strict_object(json: Column, kinds: dict[str, str]) -> Column:
     """struct of a JSON object's fields if it has all these keys, each of its type
     (`number`, `string`, `boolean` or words to choose from, as `A|B`; a ? allows
     null), else null. A number in quotes is a string. More keys are ignored."""
-    whole = F.try_parse_json(json)
-    ok = F.coalesce(json.rlike(r"^\s*\{"), F.lit(False))
-    fields = []
-    for k, kind in kinds.items():
-        part = F.try_variant_get(whole, f"$.{k}", "variant")
-        there = F.schema_of_variant(part)
-        plain = kind.removesuffix("?")
-        text = F.try_variant_get(whole, f"$.{k}", "string")
-        if plain == "number":
-            v, right = F.try_variant_get(whole, f"$.{k}", "double"), there.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        elif plain == "boolean":
-            v, right = F.try_variant_get(whole, f"$.{k}", "boolean"), there == "BOOLEAN"
-        else:
-            v, right = text, there == "STRING"
-            if plain != "string":
-                right &= text.isin(*plain.split("|"))
-        ok &= F.coalesce(right, F.lit(False)) | F.coalesce(there == "VOID", F.lit(False)) & F.lit(kind.endswith("?"))
-        fields.append(v.alias(k))
-    return F.when(ok, F.struct(*fields))
+
+    def of(x: Column) -> Column:
+        ok, fields = x["object"], []
+        for k, kind in kinds.items():
+            part = F.try_variant_get(x["whole"], f"$.{k}", "variant")
+            there = F.schema_of_variant(part)
+            plain = kind.removesuffix("?")
+            text = F.try_variant_get(x["whole"], f"$.{k}", "string")
+            if plain == "number":
+                v, right = F.try_variant_get(x["whole"], f"$.{k}", "double"), there.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+            elif plain == "boolean":
+                v, right = F.try_variant_get(x["whole"], f"$.{k}", "boolean"), there == "BOOLEAN"
+            else:
+                v, right = text, there == "STRING"
+                if plain != "string":
+                    right &= text.isin(*plain.split("|"))
+            ok &= F.coalesce(right, F.lit(False)) | F.coalesce(there == "VOID", F.lit(False)) & F.lit(kind.endswith("?"))
+            fields.append(v.alias(k))
+        return F.when(ok, F.struct(*fields))
+
+    # an element of an array is parsed once, a plain expression wherever it is named
+    once = F.struct(F.try_parse_json(json).alias("whole"), F.coalesce(json.rlike(r"^\s*\{"), F.lit(False)).alias("object"))
+    return F.get(F.transform(F.array(once), of), F.lit(0))
 
 
 #: The keys of stored entry features and their types.

@@ -8,7 +8,7 @@ from ..functions import judgment, rules, texts
 from ..operators import asof, lookup, ranks
 from ..operators.series import DAY, half_up
 from ..operators.stats import wilson
-from ..sources.tables import alerts, labels, micros, read, scores, snapshots, sql
+from ..sources.tables import alerts, labels, micros, read, scores, snapshots, spread, sql
 from .analytics import CANDIDATES, candidates
 from .catalogue import query
 from .reports import _BREADTH, _DEPTH, _FAILED, _FLOW, _SCORED, _TILT, NAMED, delivered, token_names
@@ -203,7 +203,7 @@ def replayed_parts(spark, sf):
     }
     members = F.array(*[F.when((F.lit(name) != "isProxy") | (k % 9 != 6), F.concat(F.lit(f'"{name}": '), v)) for name, v in values.items()])
     json = F.concat(F.lit("{"), F.array_join(F.array_compact(members), ", "), F.lit("}"))
-    d = read(spark, sf, "part").select(k.alias("id"), (z * 900.0).alias("entry_fdv"), texts.entry_features(json).alias("e"))
+    d = spread(read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("id"), (z * 900.0).alias("entry_fdv"), texts.entry_features(json).alias("e"))
     return rules.replayed(d, "e", F.col("entry_fdv"))
 
 
