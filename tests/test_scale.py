@@ -121,3 +121,7 @@ def test_legs_are_computed_once(spark):
 
 def test_replay_is_spread(spark):
     assert judgment.replayed_parts(spark, str(DATA / "sf0.001")).rdd.getNumPartitions() > 1
+
+
+def test_creation_logs_are_spread(spark):
+    assert queries.creation_logs(spark, str(DATA / "sf0.001"))(0, 4000).rdd.getNumPartitions() > 1

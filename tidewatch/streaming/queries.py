@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import abi
 from ..plans.catalogue import query
 from ..sources.scratch import new_folder
-from ..sources.tables import read, sql, swaps
+from ..sources.tables import read, spread, sql, swaps
 from . import state
 from .ledger import Ledger
 from .passes import activity_pass, discovery_pass
@@ -41,7 +41,7 @@ QUOTES = [f"0x{10_000 + i:040x}" for i in range(1, 11)]
 def creation_logs(spark: SparkSession, sf: str) -> Callable[[int, int], DataFrame]:
     """A log a part; of every tenth a second one, with another token."""
     k, price = F.col("p_partkey").cast("bigint"), F.col("p_partkey") % 3 == 0
-    d = read(spark, sf, "part").select(k.alias("k"), (10_000 + F.col("p_size")).cast("bigint").alias("asset"), price.alias("price"), F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("log_index"))
+    d = spread(read(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("k"), (10_000 + F.col("p_size")).cast("bigint").alias("asset"), price.alias("price"), F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("log_index"))
     k, other = F.col("k"), F.col("k") + 20_000 + 7 * F.col("log_index")
     first = k % 5 == 0
     t0, t1 = F.when(first, other).otherwise(F.col("asset")), F.when(first, F.col("asset")).otherwise(other)
