@@ -23,6 +23,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.tables import spread
+
 #: Bits of a key's filter word per key that set one, words per key, rows a file.
 PROBES, ROWS_A_WORD, ROWS_A_FILE = 8, 2, 4_000_000
 
@@ -166,7 +168,8 @@ class Batch:
         batch's range of it aren't read."""
         whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
         row = F.min_by(F.struct(*rows.columns), F.struct(*(first or []), *rows.columns))
-        new = rows.where(whole).groupBy(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]).agg(row.alias("row")).select("row.*").persist()
+        # spread by key first: what comes in a few files is sorted for min_by by all tasks, once
+        new = spread(rows.where(whole), *keys).groupBy(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]).agg(row.alias("row")).select("row.*").persist()
         t = self.state["tables"].get(table)
         if t:
             folders = self.holding(table, t, new)
