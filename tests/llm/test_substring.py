@@ -1,11 +1,13 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from compare import DATA
 
 from tidewatch.llm import substring as s
+from tidewatch.llm.common import shared_dir
 
 RNG = random.Random(9)
 
@@ -307,3 +309,23 @@ def test_random_shared_stretches_by_brute_force(spark):
                     if (at := grams.get(tuple(v[k : k + 50]))) is not None:
                         exact |= {(i, at + x) for x in range(50)}
     assert exact <= got <= want and len(got) > 1000
+
+
+def test_finished_steps_leave_no_tables(spark):
+    """The large tables between steps are deleted once what is read from them is
+    written, so the shared folder holds a part of them at any time."""
+    folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(folder.iterdir())
+    line = " ".join(prose(60, 41))
+    rows = [(i, " ".join(prose(30, 800 + i)) + "\n" + line) for i in range(3)]
+    got = s.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["removed"]) for r in got} == {(0, False), (1, True), (2, True)}
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert "substring-paragraphs" in left
+    assert not left & {"substring-units", "substring-hits", "substring-texts", "substring-classes", "substring-lines", "substring-sets"}
+
+
+def test_texts_are_numbered_in_order(spark):
+    texts = spark.createDataFrame([("b", 1), (None, 2), ("a", 7), ("a", -3), ("c", 0)], "id string, th long").repartition(3)
+    got = sorted((r["n"], r["id"], r["th"]) for r in s._numbered(texts).collect())
+    assert got == [(0, None, 2), (1, "a", -3), (2, "a", 7), (3, "b", 1), (4, "c", 0)]

@@ -40,6 +40,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Deletes tables that stash wrote, once all that is read from them is
+    written too: a query of many steps would else fill the shared folder."""
+    for df in written:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver's JVM collect garbage, so that Spark's cleaner deletes the
     shuffle files of steps that are done and written. Spark itself does so by the

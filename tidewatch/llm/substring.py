@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER, as_bytes, join_bounded, mix64, release, small_batches, stash, word_hashes, word_starts
+from .common import LOWER, as_bytes, discard, join_bounded, mix64, release, small_batches, stash, word_hashes, word_starts
 from .components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -21,6 +21,9 @@ LEAST = 20
 PASSAGE, WINDOW = 20, 31
 STRETCH = PASSAGE + WINDOW - 1
 ROWS = 3
+#: Bits for a word of a text in a place that is one number; a text has fewer than
+#: 2^30 words, as an array has fewer than 2^31 bytes.
+PLACE = 30
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = 0.999, rows: int = ROWS) -> int:
@@ -236,47 +239,49 @@ def paragraph_units(docs: DataFrame, least: int = LEAST, n_bands: int = tune_ban
     return docs.mapInArrow(run, docs.select("id", "th").withColumns(more).schema)
 
 
-def _text_pass(docs: DataFrame, wanted: DataFrame, hits: DataFrame) -> DataFrame:
+def _text_pass(docs: DataFrame, wanted: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the texts are needed for again, in one pass over those that have any
     of it: the shingles, as sorted distinct hashes, of the paragraphs of `wanted`
-    (p, id, th, word, words), and (word, d1) of the passages beside `hits` (id,
-    th, word, chain) that show how far each one's stretch goes on: see _beside."""
+    (p, id, th, word, words), and (at, d1) of `hits` (id, th, word, chain) and of
+    the passages beside them that show how far each one's stretch goes on: see
+    _beside. at: the place, see _numbered. Also (n, id, th), the numbers of the
+    texts that have any."""
     none = F.lit(None).cast("long")
     places = wanted.select("id", "th", F.struct("p", "word", "words", none.alias("chain")).alias("x")).unionByName(hits.select("id", "th", F.struct(none.alias("p"), "word", F.lit(None).cast("int").alias("words"), "chain").alias("x")))
-    places = stash(places.groupBy("id", "th").agg(F.sort_array(F.collect_list("x")).alias("places")).withColumnsRenamed({"id": "at_id", "th": "at_th"}), "substring-places")
+    places = _numbered(places.groupBy("id", "th").agg(F.sort_array(F.collect_list("x")).alias("places")))
+    places = stash(places.withColumnsRenamed({"id": "at_id", "th": "at_th"}), "substring-places")
     on = (F.col("th") == F.col("at_th")) & F.col("id").eqNullSafe(F.col("at_id"))
-    d = join_bounded(docs, places, on, row_bytes=32 + 32 * F.size("places")).select("id", "th", "text", "places")
+    d = join_bounded(docs, places, on, row_bytes=32 + 32 * F.size("places")).select("n", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", SECTION):
-            keys = [batch.column("id"), batch.column("th")]
-            rows, at, d1 = [], [], []
-            owner, ps, sets = [], [], []
-            for i, (data, places) in enumerate(zip(as_bytes(batch.column("text")), batch.column("places"))):
+            at, d1 = [], []
+            ps, sets = [], []
+            for number, data, places in zip(batch.column("n").to_pylist(), as_bytes(batch.column("text")), batch.column("places")):
                 x = places.values
                 p, word, words, chain = (x.field(k) for k in ("p", "word", "words", "chain"))
                 # sorted, with the passages first, as their p is null
                 n = p.null_count
                 if n:
                     for w, h in _extend(data, word.slice(0, n).to_numpy(), chain.slice(0, n).to_numpy()):
-                        rows.append(np.full(len(w), i)), at.append(w), d1.append(h)
+                        at.append(w + (number << PLACE)), d1.append(h)
                 for q, s in _sets(data, *[c.slice(n).to_numpy() for c in (p, word, words)]) if n < len(x) else ():
-                    owner.append(i), ps.append(q), sets.append(s)
+                    ps.append(q), sets.append(s)
                 if sum(map(len, sets)) > 1 << 20:
-                    yield batch_of(keys, owner, p=pa.array(ps, pa.int64()), shingles=pa.array(sets, pa.list_(pa.int64())))
-                    owner, ps, sets = [], [], []
-            if rows:
-                yield batch_of(keys, np.concatenate(rows), word=pa.array(np.concatenate(at)), d1=pa.array(np.concatenate(d1)))
-            if owner:
-                yield batch_of(keys, owner, p=pa.array(ps, pa.int64()), shingles=pa.array(sets, pa.list_(pa.int64())))
-
-    def batch_of(keys: list[pa.Array], owner, **columns: pa.Array) -> pa.RecordBatch:
-        rows = pa.array(np.asarray(owner, np.int64))
-        kinds = {"p": pa.int64(), "shingles": pa.list_(pa.int64()), "word": pa.int64(), "d1": pa.int64()}
-        return pa.RecordBatch.from_arrays([*[k.take(rows) for k in keys], *[columns.get(n, pa.nulls(len(rows), kind)) for n, kind in kinds.items()]], names=["id", "th", *kinds])
+                    yield batch_of(p=pa.array(ps, pa.int64()), shingles=pa.array(sets, pa.list_(pa.int64())))
+                    ps, sets = [], []
+            if at:
+                yield batch_of(at=pa.array(np.concatenate(at)), d1=pa.array(np.concatenate(d1)))
+            if ps:
+                yield batch_of(p=pa.array(ps, pa.int64()), shingles=pa.array(sets, pa.list_(pa.int64())))
+
+    def batch_of(**columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"p": pa.int64(), "shingles": pa.list_(pa.int64()), "at": pa.int64(), "d1": pa.int64()}
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(rows, kind)) for n, kind in kinds.items()], names=[*kinds])
 
     def _extend(data: bytes, hits: np.ndarray, chains: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        wanted = _beside(hits, chains)
+        wanted = np.union1d(hits, _beside(hits, chains))
         for before, repeated, _, part in _sections(data, SECTION):
             raw = np.frombuffer(part.translate(LOWER), np.uint8)
             h = word_hashes(raw, word_starts(raw))
@@ -293,8 +298,24 @@ def _text_pass(docs: DataFrame, wanted: DataFrame, hits: DataFrame) -> DataFrame
             h = word_hashes(part, word_starts(part))
             yield int(p), np.unique(shingle_hashes(h)[: len(h) - SHINGLE + 1]).view(np.int64)
 
-    more = {"p": none, "shingles": F.lit(None).cast("array<bigint>"), "word": none, "d1": none}
-    return d.mapInArrow(run, d.select("id", "th").withColumns(more).schema)
+    return d.mapInArrow(run, "p long, shingles array<long>, at long, d1 long"), places.select("n", F.col("at_id").alias("id"), F.col("at_th").alias("th"))
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts (id, th, ...) with n: 0, 1, 2... in their order. n, shifted by PLACE,
+    and a word of the text make a place as one number, so that places compare as
+    id, th and word do."""
+    rows = 1 << 33  # see monotonically_increasing_id
+    # written first: a sort by ranges reads its input twice
+    texts = stash(texts, "substring-unnumbered")
+    t = stash(texts.orderBy("id", "th").withColumn("i", F.monotonically_increasing_id()), "substring-sorted")
+    discard(texts)
+    part = F.shiftright("i", 33)
+    # one row for each range
+    sizes = sorted((r["part"], r["n"]) for r in t.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    firsts = [(k, sum(n for _, n in sizes[:j])) for j, (k, _) in enumerate(sizes)]
+    firsts = texts.sparkSession.createDataFrame(firsts, "part long, first long")
+    return t.join(F.broadcast(firsts), part == F.col("part")).withColumn("n", F.col("first") + F.col("i") % rows).drop("part", "first", "i")
 
 
 def _chained(hits: DataFrame) -> DataFrame:
@@ -412,6 +433,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     does. Keys may be of any type that has an order. Columns other than key and
     text aren't used; a table without repeats gives an empty one.
     """
+    spark = docs.sparkSession
     d = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     # th tells rows apart that share a key; where none do, it is one number
     shared = docs.where(F.col(text).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
@@ -420,61 +442,64 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     units = stash(paragraph_units(d, least, tune_bands(similarity)), "substring-units")
     place = F.struct("id", "th", "word")
 
-    lines = units.where("line")
-    classes = lines.groupBy("d1", "d2").agg(F.min(F.struct("id", "th", "word", "words", "bands")).alias("m"), F.max(place).alias("hi"))
+    classes = units.where("line").groupBy("d1", "d2").agg(F.min(F.struct("id", "th", "word", "words", "bands")).alias("m"), F.max(place).alias("hi"))
     # classes are numbered as they are written, so numbers hold from here on
     classes = stash(classes.select(F.monotonically_increasing_id().alias("p"), "d1", "d2", "m.*", (F.struct("m.id", "m.th", "m.word") != F.col("hi")).alias("again")), "substring-classes")
-    release(docs.sparkSession)
+    lines = stash(units.where("line").select("id", "th", "word", "words", "d1", "d2"), "substring-lines")
+    release(spark)
+
+    kept = units.where("not line").select("id", "th", "word", "d1")
+    twice = kept.groupBy("d1").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
+    # written first: a join right above the grouping could not split a hot passage
+    twice = stash(twice, "substring-twice-kept")
+    release(spark)
+    hits = kept.join(twice, "d1")
+    repeated = stash(classes.where("again").select("d1", "d2", F.col("id").alias("i0"), F.col("th").alias("t0"), F.col("word").alias("w0")), "substring-again")
+    later = join_bounded(lines, repeated, ["d1", "d2"]).where(~(F.col("id").eqNullSafe(F.col("i0")) & (F.col("th") == F.col("t0")) & (F.col("word") == F.col("w0"))))
+    hits = stash(_outside(hits, later, PASSAGE), "substring-hits")
+    discard(units)
+    release(spark)
     bands = classes.select("p", F.explode("bands").alias("band"))
     buckets = stash(bands.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n")).where("n > 1"), "substring-buckets")
     crowded = stash(join_bounded(bands, stash(buckets.where("n > 2").select("band", "lo"), "substring-crowded"), "band"), "substring-members")
     star = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(crowded.where("p <> lo").select(F.col("lo").alias("a"), F.col("p").alias("b"))).distinct()
     star = stash(star, "substring-stars")
     wanted = star.select(F.col("a").alias("q")).unionByName(star.select(F.col("b").alias("q"))).unionByName(crowded.select(F.col("p").alias("q"))).distinct()
-    release(docs.sparkSession)
     wanted = classes.join(stash(wanted, "substring-wanted"), F.col("p") == F.col("q"), "left_semi").select("p", "id", "th", "word", "words")
+    release(spark)
 
-    def repeats(pieces: DataFrame, tag: str) -> DataFrame:
-        twice = pieces.groupBy("d1").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").drop("last")
-        # written first: a join right above the grouping could not split a hot passage
-        return pieces.join(stash(twice, f"substring-twice-{tag}"), "d1").select("id", "th", "word", "head", "d1")
-
-    hits = repeats(units.where("not line").select("id", "th", "word", "d1"), "kept")
-    repeated = stash(classes.where("again").select("d1", "d2", F.col("id").alias("i0"), F.col("th").alias("t0"), F.col("word").alias("w0")), "substring-again")
-    later = join_bounded(lines.select("id", "th", "word", "words", "d1", "d2"), repeated, ["d1", "d2"]).where(~(F.col("id").eqNullSafe(F.col("i0")) & (F.col("th") == F.col("t0")) & (F.col("word") == F.col("w0"))))
-    hits = stash(_outside(hits, later, PASSAGE), "substring-hits")
-    release(docs.sparkSession)
-    again = stash(_text_pass(d, wanted, _chained(hits)), "substring-texts")
-    release(docs.sparkSession)
+    again, numbers = _text_pass(d, wanted, _chained(hits))
+    again = stash(again, "substring-texts")
+    discard(hits)
+    release(spark)
     sets = stash(again.where("p is not null").select("p", "shingles").dropDuplicates(["p"]), "substring-sets")
+    release(spark)
+    runs = stash(_runs(again.where("p is null").select("at", "d1"), numbers), "substring-runs")
+    discard(again)
+    release(spark)
 
     first = stash(_similar(star, sets, similarity), "substring-links")
     roots = connected_components(first, "substring-roots")
     c = crowded.join(roots, crowded["p"] == roots["node"], "left").select("band", "p", F.coalesce("root", "p").alias("root"))
     mixed = c.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("band")
     c = stash(c.join(stash(mixed, "substring-bands"), "band", "left_semi").join(classes.select("p", "bands"), "p"), "substring-mixed")
+    release(spark)
     cross = stash(_linked_within(c, sets, similarity), "substring-cross")
+    discard(sets)
+    release(spark)
     near = connected_components(first.unionByName(cross), "substring-components")
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
 
     keep = classes.join(near, classes["p"] == near["node"], "left").where(F.col("again") | F.col("root").isNotNull()).select("d1", "d2", F.coalesce("root", "p").alias("class"), "id", "th", "word")
     keep = stash(keep, "substring-repeats")
+    discard(classes)
     head = stash(keep.groupBy("class").agg(F.min(place).alias("head")), "substring-heads")
     label = stash(keep.join(head, "class").select("d1", "d2", "head"), "substring-labels")
-    found = join_bounded(lines.select("id", "th", "word", "words", "d1", "d2"), label, ["d1", "d2"]).select("id", "th", "word", "words", F.lit(True).alias("near"), F.col("head.id").alias("class_id"), F.col("head.word").alias("class_word"), (place != F.col("head")).alias("removed"))
+    found = join_bounded(lines, label, ["d1", "d2"]).select("id", "th", "word", "words", F.lit(True).alias("near"), F.col("head.id").alias("class_id"), F.col("head.word").alias("class_word"), (place != F.col("head")).alias("removed"))
     found = stash(found.distinct(), "substring-paragraphs")
-    release(docs.sparkSession)
-
-    beside = again.where("p is null").select("id", "th", "word", "d1")
-    hit = repeats(hits.select("id", "th", "word", "d1").unionByName(beside), "all").drop("d1")
-    hit = hit.withColumn("later", place != F.col("head"))
-    # runs of repeated passages that overlap or touch: one for each document of
-    # first copies, and first copies apart from later ones
-    order = Window.partitionBy("id", "th", "head.id", "head.th", "later").orderBy("word")
-    end = F.col("word") + PASSAGE
-    runs = hit.withColumn("new", F.coalesce((F.lag(end).over(order) < F.col("word")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("id", "th", F.col("head.id").alias("class_id"), F.col("head.th").alias("head_th"), "later", "run").agg(F.min(F.struct("word", "head")).alias("m"), F.max(end).alias("end"))
-    runs = stash(runs.select("id", "th", F.col("m.word").alias("word"), "end", "class_id", F.col("m.head.word").alias("class_word"), F.col("later").alias("removed")), "substring-runs")
+    discard(lines)
+    release(spark)
+
     # that belong to a stretch of 50 words or more, whatever first copies it has
     order = Window.partitionBy("id", "th").orderBy("word", "end")
     runs = runs.withColumn("new", F.coalesce((F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("word")).cast("int"), F.lit(1))).withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -486,6 +511,26 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return found.unionByName(inside).drop("th").withColumnRenamed("id", key)
 
 
+def _runs(passages: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Runs of repeated passages (at, d1; see _text_pass) that overlap or touch:
+    one for each document of first copies, and first copies apart from later
+    ones. numbers: (n, id, th) of the texts."""
+    twice = passages.groupBy("d1").agg(F.min("at").alias("head"), F.max("at").alias("last")).where("head <> last").drop("last")
+    # written first: a join right above the grouping could not split a hot passage
+    twice = stash(twice, "substring-twice-all")
+    release(numbers.sparkSession)
+    # dealt out by the text before there are more columns: rows are two numbers
+    hit = passages.join(twice, "d1").select("at", "head").repartition(F.shiftright("at", PLACE))
+    hit = hit.select("at", "head", F.shiftright("at", PLACE).alias("n"), F.shiftright("head", PLACE).alias("head_n"), (F.col("at") != F.col("head")).alias("later"))
+    order = Window.partitionBy("n", "head_n", "later").orderBy("at")
+    new = F.coalesce((F.lag("at").over(order) + PASSAGE < F.col("at")).cast("int"), F.lit(1))
+    runs = hit.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("n", "head_n", "later", "run").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.max(F.when(F.col("new") == 1, F.col("head"))).alias("head"))
+    runs = runs.join(numbers, "n").join(numbers.select(F.col("n").alias("head_n"), F.col("id").alias("class_id")), "head_n")
+    word = lambda c: F.col(c).bitwiseAND((1 << PLACE) - 1)
+    return runs.select("id", "th", word("at").alias("word"), (word("last") + PASSAGE).alias("end"), "class_id", word("head").alias("class_word"), F.col("later").alias("removed"))
+
+
 def _outside(places: DataFrame, spans: DataFrame, words: Column | int) -> DataFrame:
     """The places (id, th, word) that don't lie, `words` long, in one of spans (id,
     th, word, words)."""
